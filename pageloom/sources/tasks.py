@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.schemas import PAYLOAD, STATUSES, TASKS
 
+_BROKEN = "_broken"
+
 
 def write_snapshot(tasks: DataFrame, path: str) -> None:
     """Write a new snapshot to a path of its own; never the one being read."""
@@ -35,9 +38,12 @@ def quarantine(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def payload_fields(tasks: DataFrame) -> DataFrame:
     """Add the payload's three fields and ``payload_valid``, false if one is missing or the JSON is broken."""
-    parsed = tasks.withColumn("_payload", F.from_json("payload", PAYLOAD))
-    fields = [F.col(f"_payload.{name}").alias(name) for name in PAYLOAD.fieldNames()]
-    complete = F.lit(True)
-    for name in PAYLOAD.fieldNames():
+    names = PAYLOAD.fieldNames()
+    layout = T.StructType([*PAYLOAD.fields, T.StructField(_BROKEN, T.StringType())])
+    parsed = tasks.withColumn("_payload", F.from_json("payload", layout, {"columnNameOfCorruptRecord": _BROKEN}))
+    whole = F.col("_payload").isNotNull() & F.col(f"_payload.{_BROKEN}").isNull()
+    fields = {name: F.when(whole, F.col(f"_payload.{name}")) for name in names}
+    complete = whole
+    for name in names:
         complete = complete & F.col(f"_payload.{name}").isNotNull()
-    return parsed.select("*", *fields, F.coalesce(complete, F.lit(False)).alias("payload_valid")).drop("_payload")
+    return parsed.withColumns({**fields, "payload_valid": complete}).drop("_payload")

@@ -116,7 +116,7 @@ def stream_stale(changes: DataFrame, minutes: int, delay: str) -> DataFrame:
     in_time = (
         (F.col("task_id") == F.col("start_id"))
         & (F.col("ended_at") >= F.col("started_at"))
-        & (F.col("ended_at") <= F.col("started_at") + F.make_dt_interval(mins=F.lit(minutes)))
+        & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {minutes} MINUTES"))
     )
     return (
         starts.join(ends, in_time, "leftOuter")

@@ -58,8 +58,9 @@ class Inputs:
         """A view over its base tables read as streams."""
 
         def opened(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-            path = f"{sf_dir}/{table}.parquet"
-            return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+            schema = views.table(spark, sf_dir, table).schema
+            # a pattern, as a stream takes one for a single file and for a folder of files
+            return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
         return views.view(self.spark, self.sf_dir, name, opened)
 
@@ -143,11 +144,12 @@ SELECT archive, idx, concat('scans/', turn, '_', role, '.img') AS filename, fals
  CASE WHEN role = 'user' THEN 4 ELSE 8 END + strlen(text) AS size,
  left(concat(CASE WHEN role = 'user' THEN 'FFD8FFE0' ELSE '89504E470D0A1A0A' END, hex(encode(text))), 32) AS head, NULL AS code
 FROM a WHERE archive NOT IN (SELECT archive FROM broken)
-UNION ALL SELECT archive, -1, NULL, NULL, -1, NULL, 'ZIP-01' FROM broken""")
+UNION ALL SELECT archive, -1, NULL, false, -1, NULL, 'ZIP-01' FROM broken""")
 def _(i):
     listed = archives.archive_entries(packed_archives(i))
     return listed.select(
-        "archive", F.coalesce("idx", F.lit(-1)).alias("idx"), "filename", "is_dir",
+        "archive", F.coalesce("idx", F.lit(-1)).alias("idx"), "filename",
+        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
         F.coalesce("size", F.lit(-1)).alias("size"), F.hex("head_bytes").alias("head"), "code",
     )
 
@@ -234,12 +236,10 @@ def _(i):
 
 
 @query("payload_fields", """WITH p AS (SELECT id, CASE WHEN json_valid(payload) THEN payload END AS j FROM raw_tasks)
-SELECT id, CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.object_name') END AS object_name, json_extract_string(j, '$.file_path') AS file_path,
+SELECT id, json_extract_string(j, '$.object_name') AS object_name, json_extract_string(j, '$.file_path') AS file_path,
  j IS NOT NULL AND json_extract_string(j, '$.file_path') IS NOT NULL AS payload_valid FROM p""")
 def _(i):
-    found = task_table.payload_fields(i.raw_tasks)
-    whole = F.col("payload_valid") | F.col("file_path").isNull()
-    return found.select("id", F.when(whole, F.col("object_name")).alias("object_name"), "file_path", "payload_valid")
+    return task_table.payload_fields(i.raw_tasks).select("id", "object_name", "file_path", "payload_valid")
 
 
 STORED = "'=== ' || original_file_name || ' ===' || chr(10) || text || chr(10) || chr(10)"
@@ -356,10 +356,10 @@ def _(i):
 @query("downloadable", f"""WITH {OWNERS}, c AS (SELECT request_id, r.context_id, user_id, owner, generation
  FROM requests r LEFT JOIN o USING (context_id) LEFT JOIN completed_before b ON r.context_id = b.context_id)
 SELECT request_id, context_id, CASE WHEN owner IS NULL OR owner <> user_id THEN 'TS-07' WHEN generation IS NULL THEN 'TS-08' END AS code,
- CASE WHEN owner = user_id THEN generation END AS generation FROM c""")
+ CASE WHEN owner = user_id THEN coalesce(generation, -1) ELSE -1 END AS generation FROM c""")
 def _(i):
     found = results.downloadable(i.requests, i.tasks, i.completed_before)
-    return found.select("request_id", "context_id", "code", "generation")
+    return found.select("request_id", "context_id", "code", F.coalesce("generation", F.lit(-1)).alias("generation"))
 
 
 CODE_SQL = "nullif(regexp_extract(failure_reason, '((?:ZIP|TS|WSP|CRWC)-[0-9]{2})', 1), '')"
@@ -524,9 +524,9 @@ def _(i):
 
 
 @query("gpu_windows", f"""WITH {_gauge_rows()} SELECT gauge, {_ts("date_trunc('hour', ts)")} AS window_start, count(*) AS samples,
- round(avg(value), 6) AS mean, round(max(value), 6) AS peak, round(arg_max(value, ts), 6) AS last FROM s GROUP BY gauge, date_trunc('hour', ts)""")
+ round(avg(value), 3) AS mean, round(max(value), 6) AS peak, round(arg_max(value, ts), 6) AS last FROM s GROUP BY gauge, date_trunc('hour', ts)""")
 def _(i):
-    return opmetrics.gpu_windows(i.gpu_samples)
+    return opmetrics.gpu_windows(i.gpu_samples).withColumn("mean", F.round("mean", 3))  # sums of bytes are large
 
 
 @query("throughput", f"""WITH m AS (SELECT date_trunc('minute', finished_at) AS w, context_id FROM tasks WHERE status = 'done')
@@ -984,7 +984,7 @@ def _(i):
     expected = results.context_progress(i.tasks).select("context_id", F.lit(0).cast("long").alias("generation"), "total")
     ended = queue.stream_ended(_changes(i), DELAY)
     queue.run_available(ended, i.fresh("checkpoint"), "update", each=queue.emit_completions(expected, path))
-    return i.spark.read.schema(queue.COMPLETIONS).parquet(path)
+    return i.spark.read.schema(queue.COMPLETIONS).parquet(path).drop("batch")
 
 
 @query("stream_stale", f"""WITH s AS (SELECT task_id, context_id, ts FROM task_changes WHERE status = 'running'),
@@ -1013,7 +1013,7 @@ def _(i):
 def _(i):
     path = i.fresh("outcomes")
     queue.run_available(i.stream("outcomes"), i.fresh("checkpoint"), each=queue.append_outcomes(path))
-    return queue.current_tasks(i.tasks, i.spark.read.schema(OUTCOMES).parquet(path))
+    return queue.current_tasks(i.tasks, i.spark.read.schema(OUTCOMES).parquet(path).drop("batch"))
 
 
 @query("stream_ingest", f"""WITH {PACKED_SQL}, o AS (SELECT archive AS context_id, 'u0' AS created_by,
@@ -1030,4 +1030,4 @@ def _(i):
         return submit(batch, uploads, now())[0]
 
     queue.run_available(incoming, i.fresh("checkpoint"), each=queue.ingest_batch(pending, path))
-    return i.spark.read.schema(task_table.TASKS).parquet(path)
+    return i.spark.read.schema(task_table.TASKS).parquet(path).drop("batch")

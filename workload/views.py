@@ -87,7 +87,7 @@ def _raw_tasks(d: Dialect) -> str:
     return f"""
 SELECT t.id, t.context_id, CASE WHEN e.value < 5 THEN 'cancelled' ELSE t.status END AS status, t.created_by,
  CASE WHEN e.value >= 5 AND e.value < 10 THEN {d.json({"object_name": "'page.jpg'"})}
-      WHEN e.value >= 10 AND e.value < 12 THEN concat(t.payload, chr(123)) ELSE t.payload END AS payload,
+      WHEN e.value >= 10 AND e.value < 12 THEN left(t.payload, length(t.payload) - 1) ELSE t.payload END AS payload,
  t.failure_reason, t.created_at, t.started_at, t.finished_at, t.priority
 FROM tasks t JOIN events e ON t.id = cast(e.event_id AS string)"""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-_BLOCK = 512  # columns recomputed at a time when an alignment is traced
+_BLOCK = 2048  # columns recomputed at a time when an alignment is traced
 
 
 def _masks(pattern: str) -> dict[str, int]:
@@ -22,13 +22,13 @@ def _columns(masks: dict[str, int], height: int, text: str, up: int, down: int)
     """Per text character (up, down, level): where the table rises or falls by one from the row above,
     and where it equals its upper left neighbour."""
     full = (1 << height) - 1
+    find = masks.get
     for char in text:
-        same = masks.get(char, 0)
-        level = ((((same & up) + up) ^ up) | same | down) & full
-        rise = down | (full & ~(level | up))
-        fall = up & level
-        rise = (rise << 1) | 1
-        up = ((fall << 1) | (full & ~(level | rise))) & full
+        same = find(char, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rise = ((down | (full ^ (full & (level | up)))) << 1) | 1
+        fall = (up & level) << 1
+        up = (fall | (full ^ (full & (level | rise)))) & full
         down = level & rise & full
         yield up, down, level
 
@@ -60,12 +60,12 @@ def alignment(source: str, target: str) -> list[tuple[str, int, int]]:
     """
     height = len(source)
     masks = _masks(source)
-    starts = []  # vectors before every block, so that only one block of columns is in memory
     up, down = (1 << height) - 1, 0
-    for first in range(0, len(target), _BLOCK):
-        starts.append((up, down))
-        for up, down, _ in _columns(masks, height, target[first : first + _BLOCK], up, down):  # noqa: B007
+    starts = [(up, down)]  # vectors before every block, so that only one block of columns is in memory
+    for end in range(_BLOCK, len(target), _BLOCK):
+        for up, down, _ in _columns(masks, height, target[end - _BLOCK : end], up, down):  # noqa: B007
             pass
+        starts.append((up, down))
     script = []
     row, col, block, columns = height, len(target), None, []
     while row and col:

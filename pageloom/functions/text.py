@@ -34,7 +34,6 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words: runs of letters and digits of any script."""
-    found = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(found, lambda word: word != "")
+def raw_words(text: Column) -> Column:
+    """Lower-case words, runs of letters and digits of any script; the ends of a text may add an empty one."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")

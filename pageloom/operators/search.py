@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import plain_text, words
+from pageloom.functions.text import plain_text, raw_words
 from pageloom.operators.inference import run_handler
 from pageloom.schemas import SEARCH_RESPONSE
+from pageloom.session import stage
 
 # Hits per query, and the most a query may ask for.
 HITS_PER_QUERY = 8
@@ -48,8 +49,13 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def _postings(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    return texts.select(*key, F.explode(words(F.col(text))).alias("word")).groupBy(*key, "word").agg(
+def _postings(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, url, tf) of the words that are asked for.
+
+    The words of a page are counted in the task that reads it before anything is shuffled.
+    """
+    found = pages.select("url", F.explode(raw_words(plain_text(F.col("html")))).alias("word")).filter("word <> ''")
+    return found.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "url").agg(
         F.count("*").alias("tf")
     )
 
@@ -60,15 +66,21 @@ def search_topk(queries: DataFrame, pages: DataFrame, limit: int = HITS_PER_QUER
     Score of a page: over the words it shares with the query, log((N - n + 0.5) / (n + 0.5)) for a word on
     n of N pages, weighted by how often the page has it (saturating). By that formula a word on half
     the pages or more weighs nothing, so it is left out before the join and cannot pair every query with
-    every page. What a query and a page have in common is summed on the map side first; only then are
-    hits ranked, ``limit`` per query and task.
+    every page.
+
+    The queries of a prompt share most of their words. A word is therefore joined once per prompt, with
+    the list of the queries that have it, and is summed per such list before the lists are taken apart.
     """
     if limit > MAX_HITS:
         raise ValueError(f"WSP-01: a query may ask for at most {MAX_HITS} hits")
-    asked = queries.select("prompt_id", "query_no", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
-    postings = _postings(pages.select("url", plain_text(F.col("html")).alias("text")), ["url"], "text")
-    # only words somebody asks for
-    postings = postings.join(asked.select("word").distinct(), "word", "left_semi")
+    asked = stage(  # read twice; also keeps the list building out of the join below
+        queries.select("prompt_id", "query_no", F.explode(raw_words(F.col("query"))).alias("word"))
+        .filter("word <> ''")
+        .groupBy("prompt_id", "word")
+        .agg(F.sort_array(F.collect_set("query_no")).alias("query_nos")),
+        "asked",
+    )
+    postings = stage(_postings(pages, asked), "postings")  # read twice
     total = pages.agg(F.count("*").alias("total"))  # one row
     seen = F.col("seen")
     weights = (
@@ -78,15 +90,17 @@ def search_topk(queries: DataFrame, pages: DataFrame, limit: int = HITS_PER_QUER
         .select("word", F.log((F.col("total") - seen + 0.5) / (seen + 0.5)).alias("weight"))
         .filter("weight > 0")
     )
-    tf = F.col("tf")
-    scored = (
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + _TF_SATURATION)
+    shared = (
         asked.join(weights, "word")
         .join(postings, "word")
+        .groupBy("prompt_id", "url", "query_nos")
+        .agg(F.sum(part).alias("part"), F.count("*").alias("words"))
+    )
+    scored = (
+        shared.select("prompt_id", "url", F.explode("query_nos").alias("query_no"), "part", "words")
         .groupBy("prompt_id", "query_no", "url")
-        .agg(
-            F.round(F.sum(F.col("weight") * tf / (tf + _TF_SATURATION)), 6).alias("score"),
-            F.count("*").alias("matched"),
-        )
+        .agg(F.round(F.sum("part"), 6).alias("score"), F.sum("words").alias("matched"))
     )
     best = Window.partitionBy("prompt_id", "query_no").orderBy(F.desc("score"), "url")
     return scored.withColumn("position", F.row_number().over(best).cast("long")).filter(F.col("position") <= limit)
@@ -105,7 +119,8 @@ def search_codes(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def describe_hits(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Add title, description (the page's heading) and snippet (what it shares with the query) to hits."""
-    fields = page_fields(pages.select("url", "html")).select("url", "title", F.col("heading").alias("description"))
+    hit_pages = pages.select("url", "html").join(hits.select("url").distinct(), "url", "left_semi")
+    fields = stage(page_fields(hit_pages).select("url", "title", F.col("heading").alias("description")), "fields")
     snippet = F.concat_ws(" ", F.col("matched").cast("string"), F.lit("matching words"))
     return hits.join(fields, "url").withColumn("snippet", snippet)
 
@@ -178,12 +193,20 @@ def scrape_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``pages`` is (url, html, reachable). Not reachable or unknown is CRWC-10, a page without content CRWC-11.
     """
-    fetched = urls.join(pages.select("url", "html", "reachable"), "url", "left")
-    reachable = F.coalesce("reachable", F.lit(False))
+    asked = pages.join(urls.select("url").distinct(), "url", "left_semi")
     empty = F.coalesce(F.col("html"), F.lit("")) == ""
-    code = F.when(~reachable, "CRWC-10").when(empty, "CRWC-11")
-    return fetched.withColumn("code", code).select(
-        "prompt_id", "pos", "url", "code", F.when(code.isNull(), plain_text(F.col("html"))).alias("text")
+    # a page that many prompts ask for is read once: unstored, its text would be made again for each of them
+    read = stage(
+        asked.select(
+            "url",
+            F.when(~F.col("reachable"), "CRWC-10").when(empty, "CRWC-11").otherwise("").alias("page_code"),
+            plain_text(F.col("html")).alias("page_text"),
+        ),
+        "read",
+    )
+    code = F.when(F.col("page_code").isNull(), "CRWC-10").when(F.col("page_code") != "", F.col("page_code"))
+    return urls.join(read, "url", "left").select(
+        "prompt_id", "pos", "url", code.alias("code"), F.when(code.isNull(), F.col("page_text")).alias("text")
     )
 
 

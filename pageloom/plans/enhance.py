@@ -23,6 +23,7 @@ def enhance_prompts(
     queries = search.expand_queries(prompts, generated)
     hits = stage(search.describe_hits(search.search_topk(queries, pages, limit), pages), "hits")
     messages = search.relevancy_message(prompts, queries, search.review_text(hits))
-    picked = search.ground_urls(search.relevant_urls(messages, choose), hits)
+    # the model's choice is asked for once and then read by two steps
+    picked = stage(search.ground_urls(search.relevant_urls(messages, choose), hits), "picked")
     scraped = search.scrape_pages(picked, pages)
     return search.summarise(search.assemble_context(prompts, scraped), open_model, concurrency)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +46,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Give the Python workers these packages, as ``--py-files`` would; each once per application."""
+    for name in packages:
+        key = (spark.sparkContext.applicationId, name)
+        if key in _shipped:
+            continue
+        root = os.path.dirname(os.path.dirname(os.path.abspath(importlib.import_module(name).__file__)))
+        packed = os.path.join(tempfile.mkdtemp(prefix="ship-"), name)
+        spark.sparkContext.addPyFile(shutil.make_archive(packed, "zip", root, name))
+        _shipped.add(key)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on. Sizes (shuffle partitions, memory) stay the cluster's own."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # per-row work is heavy here (texts, models), so small stages are kept spread over the cores
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",

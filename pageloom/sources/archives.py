@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,11 +64,10 @@ def archive_entries(archives: DataFrame) -> DataFrame:
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["archive"], batch["content"], strict=True):
-                rows = pd.DataFrame(list(_list_entries(name, content)), columns=columns)
-                rows["idx"] = rows["idx"].astype("Int64")
-                rows["size"] = rows["size"].astype("Int64")
-                yield rows.astype({"is_dir": "boolean"})
+            found = (row for pair in zip(batch["archive"], batch["content"]) for row in _list_entries(*pair))
+            while chunk := list(islice(found, 10000)):  # entry lists go out in bounded pieces
+                rows = pd.DataFrame(chunk, columns=columns)
+                yield rows.astype({"idx": "Int64", "size": "Int64", "is_dir": "boolean"})
 
     return archives.select("archive", "content").mapInPandas(listing, ENTRIES)
 

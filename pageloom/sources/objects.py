@@ -51,10 +51,15 @@ def read_page_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_transcripts(merged: DataFrame, path: str) -> None:
-    """Store transcripts (context_id, part, text) in 256 folders, sorted so that a lookup reads few row groups."""
+    """Store transcripts (context_id, part, text) in 256 folders, in order of context.
+
+    Range-partitioned, so a task writes few large files and a lookup reads few row groups.
+    """
+    layout = ["bucket", "context_id", "part"]
     (
         merged.withColumn("bucket", bucket_of("context_id"))
-        .sortWithinPartitions("bucket", "context_id", "part")
+        .repartitionByRange(*layout)
+        .sortWithinPartitions(*layout)
         .write.partitionBy("bucket")
         .parquet(path)
     )
@@ -64,16 +69,17 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("context_id STRING, part BIGINT, text STRING, bucket STRING").parquet(path)
 
 
-def export_transcripts(merged: DataFrame, path: str) -> None:
-    """Plain text for download: one folder per context, its parts in order of file name.
+def export_transcripts(merged: DataFrame, path: str, by: str = "context_id") -> None:
+    """Plain text for download: a folder per value of ``by``, its transcripts in order of file name and line.
 
-    For the contexts of one export, not for the whole store: a folder per context does not scale.
+    The default suits the contexts of one export; a whole store is exported by a coarser column, as a
+    folder per context does not scale.
     """
+    order = list(dict.fromkeys([by, "context_id", "part"]))
     (
-        merged.repartitionByRange("context_id", "part")
-        .sortWithinPartitions("context_id", "part")
-        .select("context_id", "text")
-        .write.partitionBy("context_id")
-        .option("lineSep", "\n")
+        merged.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(by, "text")
+        .write.partitionBy(by)
         .text(path)
     )

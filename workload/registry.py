@@ -22,7 +22,7 @@ from pageloom.plans.enhance import enhance_prompts
 from pageloom.plans.evaluate import evaluate
 from pageloom.plans.submit import submit
 from pageloom.schemas import ARCHIVES, OUTCOMES
-from pageloom.session import fresh_path, prepare, stage
+from pageloom.session import fresh_path, prepare, ship, stage
 from pageloom.sources import archives, evaljson, logs, objects
 from pageloom.sources import tasks as task_table
 from pageloom.streaming import queue
@@ -87,6 +87,7 @@ def query(name: str, sql: str | None = None):
 
     def add(function: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark, "pageloom", "workload")
             return _present(function(Inputs(prepare(spark), sf_dir)))
 
         QUERIES[name] = run
@@ -115,23 +116,23 @@ def packed_archives(i: Inputs) -> DataFrame:
 
     Archives that open with a system turn are cut in half on their way.
     """
-    turns = i.conversations.select(
-        F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 100)).alias("archive"), "turn", "role", "text"
-    )
+    archive = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 100)).alias("archive")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
 
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("turn")
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
-            for turn, role, text in zip(batch["turn"], batch["role"], batch["text"], strict=True):
-                lead = b"\xff\xd8\xff\xe0" if role == "user" else b"\x89PNG\r\n\x1a\n"
-                out.writestr(f"scans/{turn}_{role}.img", lead + text.encode())
-        content = held.getvalue()
-        if batch["role"].iloc[0] == "system":
-            content = content[: len(content) // 2]
-        return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [content]})
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for listed in batch["turns"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+                    for turn in listed:
+                        lead = b"\xff\xd8\xff\xe0" if turn["role"] == "user" else b"\x89PNG\r\n\x1a\n"
+                        out.writestr(f"scans/{turn['turn']}_{turn['role']}.img", lead + turn["text"].encode())
+                whole = held.getvalue()
+                packed.append(whole[: len(whole) // 2] if listed[0]["role"] == "system" else whole)
+            yield pd.DataFrame({"archive": batch["archive"], "content": packed})
 
-    return turns.groupBy("archive").applyInPandas(pack, ARCHIVES)
+    return i.conversations.groupBy(archive).agg(turns).mapInPandas(pack, ARCHIVES)
 
 
 PACKED_SQL = """a AS (SELECT concat(cast(conv_id AS varchar), '-', cast(floor(turn / 100) AS bigint)) AS archive, turn, role, text,
@@ -246,13 +247,15 @@ STORED = "'=== ' || original_file_name || ' ===' || chr(10) || text || chr(10) |
 
 
 @query("object_inventory", f"""WITH t AS (SELECT context_id, string_agg({STORED}, '' ORDER BY object_name) AS text
- FROM pages_text GROUP BY 1) SELECT context_id, sum(strlen(text) + 1)::bigint AS length FROM t GROUP BY 1""")
+ FROM pages_text GROUP BY 1)
+SELECT left(md5(context_id), 2) AS bucket, sum(strlen(text) + 1)::bigint AS length FROM t GROUP BY 1""")
 def _(i):
     path = i.fresh("export")
-    objects.export_transcripts(merge.merge_transcripts(merge.format_page(i.pages_text)), path)
-    listed = objects.object_inventory(i.spark, path, "context_id=")
-    context = F.substring_index(F.split("key", "/")[0], "=", -1)
-    return listed.groupBy(context.alias("context_id")).agg(F.sum("length").alias("length"))
+    merged = merge.merge_transcripts(merge.format_page(i.pages_text))
+    objects.export_transcripts(merged.withColumn("bucket", objects.bucket_of("context_id")), path, "bucket")
+    listed = objects.object_inventory(i.spark, path, "bucket=")
+    folder = F.substring_index(F.split("key", "/")[0], "=", -1)
+    return listed.groupBy(folder.alias("bucket")).agg(F.sum("length").alias("length"))
 
 
 @query("orphan_objects", """SELECT key, length FROM objects
@@ -475,7 +478,7 @@ def _(i):
 
 
 @query("context_idle", f"""SELECT context_id, {_ts('max(started_at)')} AS last_started,
- coalesce(floor(epoch_us({SQL_NOW}) / 1e6 - epoch_us(max(started_at)) / 1e6)::bigint, -1) AS idle_s FROM tasks GROUP BY 1""")
+ coalesce(trunc((epoch_us({SQL_NOW}) - epoch_us(max(started_at))) / 1e6)::bigint, -1) AS idle_s FROM tasks GROUP BY 1""")
 def _(i):
     return results.context_idle(i.tasks, now()).withColumn("idle_s", F.coalesce("idle_s", F.lit(-1)))
 
@@ -523,10 +526,15 @@ def _(i):
     return opmetrics.gpu_gauges(i.gpu_samples)
 
 
+# means of two-digit numbers often end in an exact half, which engines round either way
+NEAR_HALF = 0.500001
+
+
 @query("gpu_windows", f"""WITH {_gauge_rows()} SELECT gauge, {_ts("date_trunc('hour', ts)")} AS window_start, count(*) AS samples,
- round(avg(value), 3) AS mean, round(max(value), 6) AS peak, round(arg_max(value, ts), 6) AS last FROM s GROUP BY gauge, date_trunc('hour', ts)""")
+ floor(avg(value) * 1000 + {NEAR_HALF}) / 1000 AS mean, round(max(value), 6) AS peak, round(arg_max(value, ts), 6) AS last FROM s GROUP BY gauge, date_trunc('hour', ts)""")
 def _(i):
-    return opmetrics.gpu_windows(i.gpu_samples).withColumn("mean", F.round("mean", 3))  # sums of bytes are large
+    mean = F.floor(F.col("mean") * 1000 + NEAR_HALF) / 1000
+    return opmetrics.gpu_windows(i.gpu_samples).withColumn("mean", mean)
 
 
 @query("throughput", f"""WITH m AS (SELECT date_trunc('minute', finished_at) AS w, context_id FROM tasks WHERE status = 'done')
@@ -833,7 +841,7 @@ def _(i):
 
 def _grounded(i: Inputs) -> DataFrame:
     hits = stage(_described(i), "hits")
-    return search.ground_urls(search.relevant_urls(_messages(i, hits), _choose), hits)
+    return stage(search.ground_urls(search.relevant_urls(_messages(i, hits), _choose), hits), "picked")
 
 
 @query("ground_urls", f"WITH {HITS}, {PICKED} SELECT prompt_id, pos, url FROM picked")

@@ -30,6 +30,6 @@ def write_eval_json(records: DataFrame, path: str, shard_digits: int = 2) -> Non
 
 def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Rows (key, image, text). ``whole_file`` reads pretty-printed files of one object each."""
-    lines = spark.read.option("wholetext", whole_file).text(path)
+    lines = spark.read.text(path, wholetext=whole_file)
     entries = lines.select(F.explode(F.from_json("value", EVAL_MAP)).alias("key", "value"))
     return entries.select("key", "value.image", "value.text")

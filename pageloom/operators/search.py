@@ -81,13 +81,11 @@ def search_topk(queries: DataFrame, pages: DataFrame, limit: int = HITS_PER_QUER
         "asked",
     )
     postings = stage(_postings(pages, asked), "postings")  # read twice
-    total = pages.agg(F.count("*").alias("total"))  # one row
-    seen = F.col("seen")
+    total, seen = pages.agg(F.count("*")).scalar(), F.col("seen")
     weights = (
         postings.groupBy("word")
         .agg(F.count("*").alias("seen"))
-        .join(F.broadcast(total))
-        .select("word", F.log((F.col("total") - seen + 0.5) / (seen + 0.5)).alias("weight"))
+        .select("word", F.log((total - seen + 0.5) / (seen + 0.5)).alias("weight"))
         .filter("weight > 0")
     )
     part = F.col("weight") * F.col("tf") / (F.col("tf") + _TF_SATURATION)

@@ -8,13 +8,27 @@ from pyspark.sql import functions as F
 from pageloom.schemas import EVAL_MAP
 
 
-def eval_json(records: DataFrame, shard_digits: int = 2) -> DataFrame:
+# records per JSON object
+PER_SHARD = 100
+
+
+def shard_digits(records: int, per_shard: int = PER_SHARD) -> int:
+    """Hex digits that split so many records into objects of about ``per_shard`` or fewer."""
+    digits = 0
+    while records > per_shard * 16**digits:
+        digits += 1
+    return digits
+
+
+def eval_json(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
     """Rows (key, image, text) to JSON objects (shard, json), keys sorted.
 
-    A shard is named by the leading hex digits of the key's digest, so one object never holds the whole
-    table; 0 digits gives the single object of a small run. Keys are unique, so shards are of like size.
+    A shard is named by the leading hex digits of the key's digest, as many as the number of records asks
+    for: a small run gives a single object, and no object grows with the table. Keys are unique, so
+    shards are of like size.
     """
-    shard = F.substring(F.md5("key"), 1, shard_digits) if shard_digits else F.lit("")
+    digits = shard_digits(records.count(), per_shard)
+    shard = F.substring(F.md5("key"), 1, digits) if digits else F.lit("")
     entry = F.struct("key", F.struct("image", "text").alias("value"))
     return (
         records.groupBy(shard.alias("shard"))
@@ -23,9 +37,9 @@ def eval_json(records: DataFrame, shard_digits: int = 2) -> DataFrame:
     )
 
 
-def write_eval_json(records: DataFrame, path: str, shard_digits: int = 2) -> None:
+def write_eval_json(records: DataFrame, path: str, per_shard: int = PER_SHARD) -> None:
     """One JSON object per line, spread over files by shard."""
-    eval_json(records, shard_digits).select("json").write.text(path)
+    eval_json(records, per_shard).select("json").write.text(path)
 
 
 def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:

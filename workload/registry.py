@@ -293,7 +293,7 @@ def _(i):
     return evaljson.read_eval_json(i.spark, path)
 
 
-@query("write_eval_json", """SELECT left(md5(key), 2) AS shard,
+@query("write_eval_json", """SELECT left(md5(key), (SELECT greatest(0, ceil(ln(count(*) / 100.0) / ln(16)))::bigint FROM eval_gold)) AS shard,
  '{' || string_agg(to_json(key)::varchar || ':' || to_json({'image': image, 'text': text})::varchar, ',' ORDER BY key) || '}' AS json
 FROM eval_gold GROUP BY 1""")
 def _(i):

@@ -93,13 +93,13 @@ FROM tasks t JOIN events e ON t.id = cast(e.event_id AS string)"""
 
 
 def _outcomes(d: Dialect) -> str:
-    """One outcome per running task; every tenth is reported twice."""
+    """One outcome per running task; failures are reported twice."""
     one = """SELECT id AS task_id, CASE WHEN cast(id AS bigint) % 4 <> 0 THEN 'done' ELSE 'failed' END AS status,
  CASE WHEN cast(id AS bigint) % 4 <> 0 THEN '' ELSE 'AppError(''TS-02: simulated'')' END AS failure_reason,
  {finish} AS finished_at, 1 AS attempt FROM tasks WHERE status = 'running'""".format(
         finish=d.plus_ms("started_at", "7000")
     )
-    return f"{one} UNION ALL SELECT * FROM ({one}) AS again WHERE cast(task_id AS bigint) % 10 = 0"
+    return f"{one} UNION ALL SELECT * FROM ({one}) AS again WHERE status = 'failed'"
 
 
 FINISHED = """SELECT context_id FROM tasks GROUP BY context_id
@@ -107,13 +107,15 @@ FINISHED = """SELECT context_id FROM tasks GROUP BY context_id
 
 
 def _completion_failures(d: Dialect) -> str:
-    return f"""SELECT context_id, 'OSError(''merge failed'')' AS reason FROM ({FINISHED})
- WHERE cast(context_id AS bigint) % 3 = 0"""
+    """Merging failed for the finished contexts of which more than a fifth of the pages had failed."""
+    return f"""SELECT context_id, 'OSError(''merge failed'')' AS reason FROM ({FINISHED}
+ AND 5 * sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) > count(*))"""
 
 
 def _completed_before(d: Dialect) -> str:
-    return f"""SELECT context_id, cast(0 AS bigint) AS generation FROM ({FINISHED})
- WHERE cast(context_id AS bigint) % 2 = 0"""
+    """Finished contexts whose last page was done before the last day."""
+    return f"""SELECT context_id, cast(0 AS bigint) AS generation FROM ({FINISHED}
+ AND max(finished_at) < TIMESTAMP '2024-01-30 00:00:00')"""
 
 
 def _requests(d: Dialect) -> str:

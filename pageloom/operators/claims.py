@@ -88,12 +88,8 @@ def claim_licq(
     waiting = [
         F.count_if(is_pending & (tier == place)).alias(f"waiting_{place}") for place in range(len(names))
     ]
-    oldest = F.struct(tier.alias("tier"), *(c.alias(f"age_{i}") for i, c in enumerate(page_order())))
-    contexts = tasks.groupBy("context_id").agg(
-        F.max("started_at").alias("last_started"),
-        F.min(F.when(is_pending, oldest)).alias("oldest"),
-        *waiting,
-    )
+    # numbers and times only, so the whole table goes through a hash aggregate
+    contexts = tasks.groupBy("context_id").agg(F.max("started_at").alias("last_started"), *waiting)
     if after is not None:
         served = after.groupBy("context_id").agg(F.max("claim_no").alias("served"))
         # as many rows as the earlier claim asked for
@@ -113,7 +109,9 @@ def claim_licq(
         F.col("last_started").asc_nulls_first(),
         F.col("oldest"),
     ]
-    rows = _first_per_context(pending, n).join(contexts.filter("oldest IS NOT NULL"), "context_id")
+    in_context = Window.partitionBy("context_id").orderBy("tier", *_age())
+    oldest = F.first(F.struct("tier", *_age())).over(in_context)
+    rows = _first_per_context(pending, n).withColumn("oldest", oldest).join(contexts, "context_id")
     return _take(rows, order, n).select("claim_no", "id", "context_id")
 
 

@@ -53,6 +53,7 @@ def ship(spark: SparkSession, *packages: str) -> None:
         if key in _shipped:
             continue
         root = os.path.dirname(os.path.dirname(os.path.abspath(importlib.import_module(name).__file__)))
+        # a file of the driver's own, which Spark hands out
         packed = os.path.join(tempfile.mkdtemp(prefix="ship-"), name)
         spark.sparkContext.addPyFile(shutil.make_archive(packed, "zip", root, name))
         _shipped.add(key)
@@ -63,6 +64,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # rows hold whole archives, images and texts: batches for Python are bounded by bytes, not by rows alone
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     # per-row work is heavy here (texts, models), so small stages are kept spread over the cores
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")

@@ -155,8 +155,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stage(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,12 +170,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _sets(docs, classes.join(named, "cls", "left_semi").select("id", "cls"), size)
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return stage(joined.mapInArrow(similar, "a long, b long"), "links")
 
 
+def _enough(common: str, n_a: str, n_b: str, percent: int) -> str:
+    """Bound from all elements that two prefixes share: what is left of the prefix that ends first comes on top."""
+    rest = "greatest({}, {})".format(*(f"(({percent} * {n} + 99) DIV 100 - 1)" for n in (n_a, n_b)))
+    return f"({common} + {rest}) * {100 + percent} >= {percent} * ({n_a} + {n_b})"
+
+
 def _close(n_a: str, n_b: str, pos_a: str, pos_b: str, percent: int) -> str:
     """Size bound (a is not larger) and position bound on what two sets can share from this element on."""
     return (
@@ -216,15 +224,16 @@ def ngram_join(
         "postings",
     )
 
-    neighbours = shared.filter(_close("n_before", "n", "pos_before", "pos", percent)).select(
-        F.col("rep_before").alias("a"), F.col("rep").alias("b")
+    neighbours = (
+        shared.filter(_close("n_before", "n", "pos_before", "pos", percent))
+        .groupBy(F.col("rep_before").alias("a"), F.col("rep").alias("b"), "n_before", "n")
+        .agg(F.count("*").alias("common"))
+        .filter(_enough("common", "n_before", "n", percent))
+        .select("a", "b")
     )
     inside = classes.select(F.lag("cls").over(Window.partitionBy("n", "grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
     first = stage(neighbours.unionAll(inside.filter("a IS NOT NULL")).distinct(), "neighbours")
-
-    in_play = classes.join(shared.select("grp", "n").distinct(), ["grp", "n"], "left_semi")
-    sets = _sets(docs, in_play.select("id", "cls"), size)
-    links = _verified(first, sets, percent)
+    links = _verified(docs, classes, first, size, percent)
     labels = stage(components(links), "labels")
 
     members = shared.select("token", "pos", "n", "grp").join(classes.drop("id"), ["grp", "n"])
@@ -237,8 +246,13 @@ def ngram_join(
     apart = one.join(two, F.expr("p.token = q.token")).filter(
         "p.label <> q.label AND (p.n < q.n OR p.n = q.n AND p.cls < q.cls) AND " + _close("p.n", "q.n", "p.pos", "q.pos", percent)
     )
-    second = stage(apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), "apart")
-    more = _verified(second, sets, percent)
+    second = (
+        apart.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.n").alias("x"), F.col("q.n").alias("y"))
+        .agg(F.count("*").alias("common"))
+        .filter(_enough("common", "x", "y", percent))
+        .select("a", "b")
+    )
+    more = _verified(docs, classes, stage(second, "apart"), size, percent)
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = stage(components(stars.unionAll(more)), "labels")
 

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.hilbert import hilbert_shards
+from pageloom.llm.line_dedup import line_dedup
 from pageloom.llm.ngram_join import ngram_join
 from pageloom.llm.tables import opened, table
+from pageloom.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +29,55 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by components of 5-word shingle Jaccard of at least 0.8."""
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that five or more sources share."""
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "removed_lines")
+
+
+ORACLE["op2_line_dedup"] = r"""
+WITH lines AS (
+ SELECT DISTINCT trim(line, e' \t\r') AS line, source FROM (SELECT unnest(string_split(text, chr(10))) AS line, source FROM documents)
+ WHERE source IS NOT NULL),
+bad AS (SELECT line FROM lines WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 5),
+listed AS (SELECT list(line) AS bad FROM bad),
+parts AS (
+ SELECT doc_id, text, string_split(text, chr(10)) AS all_lines,
+  list_filter(string_split(text, chr(10)), lambda x: list_contains(bad, trim(x, e' \t\r'))) AS hit,
+  list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x, e' \t\r'))) AS kept
+ FROM documents, listed),
+judged AS (
+ SELECT *, len(hit) > 0 AND length(array_to_string(hit, '')) * 100 <= length(array_to_string(all_lines, '')) * 50 AS touched FROM parts)
+SELECT doc_id, CASE WHEN touched THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+ cast(CASE WHEN touched THEN len(hit) ELSE 0 END AS INTEGER) AS removed_lines
+FROM judged
+"""
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages' URLs: the rules', else the model's that learns from pages decided by rules."""
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+SHARDS = 40
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of equally many rows along a Hilbert curve over language, source, size and id."""
+    docs = table(spark, sf_dir, "documents")
+    encoded = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    listed = docs.select(
+        "doc_id", "lang", "source", (F.octet_length(encoded) + 16).cast("long").alias("size"), F.crc32(encoded).alias("text_crc32")
+    )
+    placed = hilbert_shards(listed, ["lang", "source", "size", "doc_id"], SHARDS, ties=[F.col("text_crc32"), F.col("doc_id")])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

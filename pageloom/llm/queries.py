@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.density import extract_pages
 from pageloom.llm.hilbert import hilbert_shards
 from pageloom.llm.line_dedup import line_dedup
 from pageloom.llm.ngram_join import ngram_join
+from pageloom.llm.packing import pack_documents
+from pageloom.llm.quality import CUT, fit_quality, score_quality
 from pageloom.llm.tables import opened, table
 from pageloom.llm.url_filter import judge_urls
 
@@ -81,3 +84,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def quality_model(spark: SparkSession, sf_dir: str, held_out: bool = True):
+    """The quality model of a folder; with ``held_out`` every fifth document by crc32 of its id is not learned from."""
+    labels = table(spark, sf_dir, "labels")
+    if held_out:
+        labels = labels.filter(~_held_out())
+    return fit_quality(table(spark, sf_dir, "documents"), labels)
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from a Bradley-Terry model."""
+    scored = score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = extract_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 128 to 1024 tokens."""
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_group")

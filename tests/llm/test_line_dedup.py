@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.line_dedup import boilerplate_lines, line_dedup
 
 NOTE = "All rights reserved by the publisher."
-OWN = "This line belongs to document number {} and to no other one of them all."
+OWN = "This long line belongs to document number {} and to no other one of all those that are in the table here."
 
 
 def frame(spark, rows):
@@ -43,7 +43,7 @@ def test_copies_short_lines_and_odd_rows(spark):
 
 
 def test_repeated_rows_and_clashing_columns_stay(spark):
-    rows = [(1, f"{OWN.format(1)}\n{NOTE}", f"s{i}", "kept", "kept") for i in range(5)] * 2
+    rows = [(1, f"{OWN.format(i)}\n{NOTE}", f"s{i}", "kept", "kept") for i in range(5)] * 2
     out = line_dedup(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "source", "removed_lines", "line"] and out.count() == 10
     assert out.filter((F.col("removed_lines") == 1) & (F.col("line") == "kept")).count() == 10

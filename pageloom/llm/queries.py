@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.decontaminate import contaminated, question_and_answer
 from pageloom.llm.density import extract_pages
 from pageloom.llm.hilbert import hilbert_shards
 from pageloom.llm.line_dedup import line_dedup
@@ -126,3 +127,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 128 to 1024 tokens."""
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_group")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that they contain."""
+    items = question_and_answer(table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), items)

@@ -39,7 +39,7 @@ def test_layouts(page, text):
 
 def test_very_long_page():
     assert main_text("<article>" + BODY * 4000 + "</article>").count("\n") == 5 * 4000 - 1
-    assert main_text("<" * 200_000 + "a") == "<" * 200_000 + "a"
+    assert main_text("<" * 200_000 + "a") == "<" * 199_999  # the last one begins a tag that never ends
 
 
 def test_odd_tables(spark):

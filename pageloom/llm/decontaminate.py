@@ -55,7 +55,11 @@ class Index:
     segment_begins: np.ndarray  # of each segment's terms
     segment_terms: np.ndarray
     segment_weights: np.ndarray
-    block_begins: np.ndarray  # of each term's blocks
+    rest: np.ndarray  # of each segment: what its frequent terms can give
+    posting_begins: np.ndarray  # of each term's segments in which it is not among those
+    posting_segments: np.ndarray
+    posting_weights: np.ndarray
+    block_begins: np.ndarray  # of each term's blocks of such segments
     blocks: np.ndarray
     block_maxima: np.ndarray
     block_rest: np.ndarray
@@ -109,14 +113,25 @@ def build_index(names: list, questions: list[str | None], answers: list[str | No
     np.maximum.at(maxima, at, weights[essential])
     block_rest = np.zeros(blocks)
     np.maximum.at(block_rest, np.arange(count) // BLOCK, rest)
+    by_term = np.flatnonzero(essential)[np.argsort(codes[essential], kind="stable")]
+    posting_begins = _csr(codes[by_term], len(vocabulary))
     slots = np.zeros(_SLOTS, dtype=bool)
-    slots[(vocabulary & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+    slots[(vocabulary[np.diff(posting_begins) > 0] & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
     return Index(
         kept, vocabulary, slots, np.array(owners, dtype=np.int64), segment_begins, codes, weights,
+        rest, posting_begins, owner[by_term], weights[by_term],
         _csr(keys // max(1, blocks), len(vocabulary)), keys % max(1, blocks), maxima, block_rest, question, answer,
     )
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(values[order], heads)
+
+
 def retrieve(index: Index, words: np.ndarray, begins: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(row, item, best score) for every document row and item with a passage and a segment above the threshold."""
     slack = threshold - 1e-9
@@ -125,6 +140,8 @@ def retrieve(index: Index, words: np.ndarray, begins: np.ndarray, threshold: flo
     term[term == len(index.vocabulary)] = 0
     hit = index.vocabulary[term] == words[maybe] if len(index.vocabulary) else np.zeros(len(maybe), bool)
     position, term = maybe[hit], term[hit]
+    rare = np.diff(index.posting_begins)[term] > 0
+    position, term = position[rare], term[rare]
     if not len(position):
         return []
     counts = np.diff(begins)
@@ -138,28 +155,33 @@ def retrieve(index: Index, words: np.ndarray, begins: np.ndarray, threshold: flo
     which = np.repeat(np.arange(len(position)), spans)
     window = window_begins[row[which]] + first[which] + np.arange(len(which)) - np.repeat(np.cumsum(spans) - spans, spans)
     # each term counts once in a passage
-    pairs = np.unique(window * len(index.vocabulary) + term[which])
+    pairs = hashing.distinct(window * len(index.vocabulary) + term[which])
     window, term = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
+    # by blocks of segments, then by segments of the blocks that can still reach the threshold
+    blocks = len(index.block_rest)
     entry, place = _spread(index.block_begins, term)
-    key = window[entry] * len(index.block_rest) + index.blocks[place]
-    order = np.argsort(key, kind="stable")
-    key, gains = key[order], index.block_maxima[place[order]]
-    if not len(key):
+    key, bound = _summed(window[entry] * blocks + index.blocks[place], index.block_maxima[place])
+    alive = key[bound + index.block_rest[key % blocks] >= slack]
+    if not len(alive):
         return []
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    bound = np.add.reduceat(gains, heads) + index.block_rest[key[heads] % len(index.block_rest)]
-    alive = key[heads][bound >= slack]
-    window_terms = _csr(window, window_begins[-1])
+    some = np.isin(window, alive // blocks)
+    window, term = window[some], term[some]
+    entry, place = _spread(index.posting_begins, term)
+    segment = index.posting_segments[place]
+    live = np.isin(window[entry] * blocks + segment // BLOCK, alive)
+    segments = len(index.segment_item)
+    key, bound = _summed((window[entry] * segments + segment)[live], index.posting_weights[place][live])
+    key = key[bound + index.rest[key % segments] >= slack]
     best: dict[tuple[int, int], float] = {}
-    for key in alive.tolist():
-        w, block = divmod(key, len(index.block_rest))
-        low, high = block * BLOCK, min((block + 1) * BLOCK, len(index.segment_item))
-        a, b = index.segment_begins[low], index.segment_begins[high]
-        present = np.isin(index.segment_terms[a:b], term[window_terms[w] : window_terms[w + 1]])
-        sums = np.add.reduceat(index.segment_weights[a:b] * present, index.segment_begins[low:high] - a)
-        for segment in np.flatnonzero(sums >= slack):
-            found = int(np.searchsorted(window_begins, w, side="right")) - 1, int(index.segment_item[low + segment])
-            best[found] = max(best.get(found, 0.0), float(sums[segment]))
+    for w, segment in zip((key // segments).tolist(), (key % segments).tolist(), strict=True):
+        r = int(np.searchsorted(window_begins, w, side="right")) - 1
+        at = begins[r] + (w - window_begins[r]) * STRIDE
+        a, b = index.segment_begins[segment], index.segment_begins[segment + 1]
+        present = np.isin(index.vocabulary[index.segment_terms[a:b]], words[at : min(at + WINDOW, begins[r + 1])])
+        score = float(index.segment_weights[a:b][present].sum())
+        if score >= slack:
+            found = r, int(index.segment_item[segment])
+            best[found] = max(best.get(found, 0.0), score)
     return [(r, i, score) for (r, i), score in sorted(best.items())]
 
 

@@ -43,6 +43,16 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values without repeats, in order."""
+    values = np.sort(values)
+    if len(values) < 2:
+        return values
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and where each row begins; a null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

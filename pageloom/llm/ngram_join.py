@@ -51,7 +51,9 @@ def frequent_shingles(texts: DataFrame, size: int = SIZE, most: int = FREQUENT)
     """
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        every = np.sort(np.concatenate(parts))
+        heads = np.flatnonzero(np.concatenate([[len(every) > 0], every[1:] != every[:-1]]))
+        values, counts = every[heads], np.diff(np.append(heads, len(every)))
         kept = counts >= _REPEATED
         return pa.RecordBatch.from_arrays(
             [pa.array(values[kept].view(np.int64)), pa.array(counts[kept].astype(np.int64))], ["token", "rows"]
@@ -108,7 +110,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
             runs, bounds = hashing.shingles(batch.column(1), size)
             counts, sets, groups, lists = [], [], [], []
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                values = np.unique(runs[low:high])
+                values = hashing.distinct(runs[low:high])
                 n = len(values)
                 head = ordered(values)[: prefix_length(n, percent)] if n else values
                 counts.append(n)
@@ -144,7 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, bounds = hashing.shingles(batch.column(0), size)
-            sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            sets = [hashing.distinct(runs[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(_digest, sets), pa.int64()), pa.array(sets, pa.binary())], ["cls", "elements"]
             )

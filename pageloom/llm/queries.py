@@ -15,6 +15,7 @@ from pageloom.llm.ngram_join import ngram_join
 from pageloom.llm.packing import pack_documents
 from pageloom.llm.quality import CUT, fit_quality, score_quality
 from pageloom.llm.tables import opened, table
+from pageloom.llm.topk import top_inner_products
 from pageloom.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and benchmark items that they contain."""
     items = question_and_answer(table(spark, sf_dir, "benchmark"))
     return contaminated(table(spark, sf_dir, "documents"), items)
+
+
+@query
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLE["op8_topk_search"] = """
+WITH v AS (
+ SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+ SELECT q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_dot_product(q.v, c.v) AS BIGINT) AS score
+ FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.decontaminate import contaminated, question_and_answer
 from pageloom.llm.density import extract_pages
+from pageloom.llm.edit_counts import build_trees, edited_counts
 from pageloom.llm.hilbert import hilbert_shards
 from pageloom.llm.line_dedup import line_dedup
 from pageloom.llm.ngram_join import ngram_join
@@ -17,6 +18,7 @@ from pageloom.llm.quality import CUT, fit_quality, score_quality
 from pageloom.llm.tables import opened, table
 from pageloom.llm.topk import top_inner_products
 from pageloom.llm.url_filter import judge_urls
+from pageloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +155,31 @@ scored AS (
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
+
+
+# personal data that is replaced before training: mail addresses and runs of digits as in phone and card numbers
+PERSONAL = [(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+", "[EMAIL]"), (r"\+?\d(?:[ .-]?\d){6,}", "[NUMBER]")]
+
+
+def redactions(texts: Column) -> Column:
+    """Edits that replace personal data in a text."""
+    import re
+
+    patterns = [(re.compile(p), by) for p, by in PERSONAL]
+
+    @F.pandas_udf("array<struct<start:int,end:int,replacement:string>>")
+    def found(column):
+        def edits(text):
+            return [{"start": m.start(), "end": m.end(), "replacement": by} for p, by in patterns for m in p.finditer(text or "")]
+
+        return column.map(edits, na_action=None)
+
+    return found(texts)
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data is replaced."""
+    trees = stage(build_trees(table(spark, sf_dir, "documents"), tokenizer_path()), "trees")
+    counted = edited_counts(trees.withColumn("edits", redactions(F.col("text"))), tokenizer_path())
+    return counted.select("doc_id", "tokens_before", "tokens_after", "edits_applied", "reencoded_chars")

@@ -81,21 +81,15 @@ class Encoder:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pieces = coded.dictionary.to_numpy(zero_copy_only=False)
         begins = np.concatenate([[0], np.cumsum(rows)])
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces), bool, len(pieces))
-        for mark in self._special:
-            odd |= np.fromiter((mark in p for p in pieces), bool, len(pieces))
-        odd = odd[codes]
+        told = lambda of: np.fromiter(map(of, pieces), bool, len(pieces))[codes]
         first, last = begins[:-1], begins[1:] - 1
-        single = rows == 1
-        # a text's own ends may be white space or empty: only where a space is next to it does that matter
-        spoilt = np.add.reduceat(odd, first).astype(np.int64) > 0 if len(rows) else np.zeros(0, bool)
-        for row in np.flatnonzero(spoilt):
-            inner = odd[first[row] + 1 : last[row]].any()
-            if single[row]:
-                spoilt[row] = any(m in pieces[codes[first[row]]] for m in self._special) if self._special else False
-            elif not inner:
-                a, b = pieces[codes[first[row]]], pieces[codes[last[row]]]
-                spoilt[row] = not a or a[-1].isspace() or not b or b[0].isspace() or any(m in a or m in b for m in self._special)
+        after, before = np.ones(len(codes), bool), np.ones(len(codes), bool)  # has a space on its left, on its right
+        after[first] = before[last] = False
+        empty = told(lambda p: not p)
+        bad = after & (empty | told(lambda p: p[:1].isspace())) | before & (empty & after | told(lambda p: p[-1:].isspace()))
+        if self._special:
+            bad |= told(lambda p: any(mark in p for mark in self._special))
+        spoilt = np.logical_or.reduceat(bad, first) if len(rows) else np.zeros(0, bool)
         # the first piece of a text has no space before it; the others are looked up with one
         heads = [self._ids(pieces[c]) for c in codes[first]]
         found = [self._ids(" " + p) for p in pieces]

@@ -55,7 +55,7 @@ def test_odd_rows(spark, made):
     docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,replacement:string>>")
     trees = build_trees(docs, tokenizer_path())
     out = {r.doc_id: r for r in edited_counts(trees, tokenizer_path()).collect()}
-    texts = {1: "a x y c", None: "a b", 2: "new text", 3: "", 4: "c de!", 5: "w w w w\nw " + "w " * 299_995 + "end", 6: "abc"}
+    texts = {1: "a x y c", None: "a b", 2: "new text", 3: "", 4: "c d!", 5: "w w w w\nw " + "w " * 299_995 + "end", 6: "abc"}
     texts[5] = ("w " * 300_000 + "end")[:7] + "\n" + ("w " * 300_000 + "end")[8:]
     assert {k: r.text for k, r in out.items()} == texts
     assert all(r.tokens_after == len(made.whole(r.text)) for r in out.values()) and out[4].edits_applied == 2

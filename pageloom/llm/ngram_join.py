@@ -6,10 +6,11 @@ them to all others. Documents with the same set are one class; classes with the
 group. Candidate pairs of groups come from shared prefix elements under the size and position bounds,
 are expanded into their classes and verified on the whole sets.
 
-Verifying goes in two rounds. First each group is compared with its neighbour, by size, under every
-element they share: that is as many pairs as rows at most and joins up large families of near copies. Then only
-classes that are still in different components are compared, all of them, so no link that would change
-a component is lost and no family is written out as pairs.
+Verifying goes in rounds. First each group is compared with its likeliest neighbour by size and its likeliest
+hub, the group that has a shared element nearest to its front: at most two pairs per group, which join up large
+families of near copies. Then each class with its likeliest hub in another component. Last, classes that are
+still in different components are compared, all of them, so no link that would change a component is
+lost and no family is written out as pairs.
 """
 
 from __future__ import annotations
@@ -186,12 +187,47 @@ def _enough(common: str, n_a: str, n_b: str, percent: int) -> str:
     return f"({common} + {rest}) * {100 + percent} >= {percent} * ({n_a} + {n_b})"
 
 
-def _close(n_a: str, n_b: str, pos_a: str, pos_b: str, percent: int) -> str:
-    """Size bound (a is not larger) and position bound on what two sets can share from this element on."""
+def _first_shared(n_a: str, n_b: str, pos_a: str, pos_b: str, percent: int) -> str:
+    """Size bound (a is not larger), and what two sets can share if this is the first element that both have.
+
+    That first one of a similar pair always passes, so asking it of each shared element loses no pair.
+    """
     return (
         f"100 * {n_a} >= {percent} * {n_b} AND "
-        f"(1 + least({n_a} - {pos_a}, {n_b} - {pos_b}) + least({pos_a}, {pos_b})) * {100 + percent} >= {percent} * ({n_a} + {n_b})"
+        f"least({n_a} - {pos_a}, {n_b} - {pos_b}) * {100 + percent} >= {percent} * ({n_a} + {n_b})"
+    )
+
+
+def _hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """Each posting with the one that has its element nearest to the front: the least edited of a family of near copies."""
+    hubs = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"))
+    pairs = posted.join(hubs, "token").filter("cls <> hub.cls")
+    if "label" in posted.columns:  # only those of other components
+        own = posted.select(F.col("cls").alias("hub_cls"), F.col("label").alias("hub_label")).distinct()
+        pairs = pairs.join(own, F.col("hub.cls") == F.col("hub_cls")).filter("label <> hub_label")
+    pairs = pairs.filter(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    return pairs.select(F.col("hub.cls").alias("a"), F.col("hub.n").alias("n_a"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
+
+
+def _likeliest(pairs: DataFrame, percent: int) -> DataFrame:
+    """For each b the a that it meets under most elements, if those are not far too few: at most one pair per class."""
+    counted = pairs.groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("common"))
+    counted = counted.filter(_enough("4 * common", "n_a", "n_b", percent))
+    best = counted.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b")
+
+
+def _apart(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with their component, under elements that more than one component has."""
+    named = posted.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "token", "pos", "n", "cls", F.coalesce("label", "cls").alias("label")
     )
+    split = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
+    return named.join(split, "token")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def ngram_join(
@@ -226,37 +262,27 @@ def ngram_join(
         "postings",
     )
 
-    neighbours = (
-        shared.filter(_close("n_before", "n", "pos_before", "pos", percent))
-        .groupBy(F.col("rep_before").alias("a"), F.col("rep").alias("b"), "n_before", "n")
-        .agg(F.count("*").alias("common"))
-        .filter(_enough("common", "n_before", "n", percent))
-        .select("a", "b")
-    )
+    before = shared.filter(_first_shared("n_before", "n", "pos_before", "pos", percent))
+    before = before.select(F.col("rep_before").alias("a"), F.col("n_before").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     inside = classes.select(F.lag("cls").over(Window.partitionBy("n", "grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
-    first = stage(neighbours.unionAll(inside.filter("a IS NOT NULL")).distinct(), "neighbours")
-    links = _verified(docs, classes, first, size, percent)
+    hubs = _hub_pairs(shared.select("token", "pos", "n", F.col("rep").alias("cls")), percent)
+    likely = _likeliest(before, percent).unionAll(_likeliest(hubs, percent)).unionAll(inside.filter("a IS NOT NULL"))
+    links = _verified(docs, classes, stage(likely.distinct(), "likely"), size, percent)
     labels = stage(components(links), "labels")
 
-    members = shared.select("token", "pos", "n", "grp").join(classes.drop("id"), ["grp", "n"])
-    members = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "token", "pos", "n", "cls", F.coalesce("label", "cls").alias("label")
-    )
-    split = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    members = stage(members.join(split, "token"), "members")
+    posted = shared.select("token", "pos", "n", "grp").join(classes.drop("id"), ["grp", "n"])
+    members = stage(_apart(posted, labels), "members")
+    hubs = _hub_pairs(members, percent)
+    more = _verified(docs, classes, stage(_likeliest(hubs, percent), "likely"), size, percent)
+    labels = stage(components(_stars(labels).unionAll(more)), "labels")
+    members = stage(_apart(members.drop("label"), labels), "members")
     one, two = members.alias("p"), members.alias("q")
     apart = one.join(two, F.expr("p.token = q.token")).filter(
-        "p.label <> q.label AND (p.n < q.n OR p.n = q.n AND p.cls < q.cls) AND " + _close("p.n", "q.n", "p.pos", "q.pos", percent)
-    )
-    second = (
-        apart.groupBy(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.n").alias("x"), F.col("q.n").alias("y"))
-        .agg(F.count("*").alias("common"))
-        .filter(_enough("common", "x", "y", percent))
-        .select("a", "b")
+        "p.label <> q.label AND (p.n < q.n OR p.n = q.n AND p.cls < q.cls) AND " + _first_shared("p.n", "q.n", "p.pos", "q.pos", percent)
     )
+    second = apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
     more = _verified(docs, classes, stage(second, "apart"), size, percent)
-    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = stage(components(stars.unionAll(more)), "labels")
+    labels = stage(components(_stars(labels).unionAll(more)), "labels")
 
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "n", "id", F.coalesce("label", "cls").alias("label")

@@ -32,6 +32,8 @@ SIZE = 5
 PERCENT = 80
 # the order's list of frequent shingles: it only makes the join cheaper, whatever is in it
 FREQUENT = 1 << 16
+# so many ids of documents to verify are sent to all tasks; with more the join is Spark's to plan
+BROADCAST_IDS = 1_000_000
 _COUNTED = 1 << 22  # shingles counted at once in a task
 _REPEATED = 3
 
@@ -152,7 +154,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 [pa.array(map(_digest, sets), pa.int64()), pa.array(sets, pa.binary())], ["cls", "elements"]
             )
 
+    wanted = stage(wanted, "wanted")
     ids = wanted.select(F.col("id").alias("wanted")).distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled, or whatever Spark finds cheaper
+        ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     found = texts.mapInArrow(whole, "cls long, elements binary")
     return stage(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")

@@ -163,8 +163,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stage(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _possible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough, which all similar ones do."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    heads = rows.select("cls", "n", "prefix").join(named, "cls", "left_semi").dropDuplicates(["cls"])
+    left, right = (heads.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "prefix"))) for x in "ab")
+    met = pairs.join(left, F.col("a") == F.col("cls_a")).join(right, F.col("b") == F.col("cls_b"))
+    return met.filter(_enough("size(array_intersect(prefix_a, prefix_b))", "n_a", "n_b", percent)).select("a", "b")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
+    pairs = stage(_possible(rows, pairs, percent), "possible")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,13 +282,13 @@ def ngram_join(
     inside = classes.select(F.lag("cls").over(Window.partitionBy("n", "grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
     hubs = _hub_pairs(shared.select("token", "pos", "n", F.col("rep").alias("cls")), percent)
     likely = _likeliest(before, percent).unionAll(_likeliest(hubs, percent)).unionAll(inside.filter("a IS NOT NULL"))
-    links = _verified(docs, classes, stage(likely.distinct(), "likely"), size, percent)
+    links = _verified(docs, rows, classes, stage(likely.distinct(), "likely"), size, percent)
     labels = stage(components(links), "labels")
 
     posted = shared.select("token", "pos", "n", "grp").join(classes.drop("id"), ["grp", "n"])
     members = stage(_apart(posted, labels), "members")
     hubs = _hub_pairs(members, percent)
-    more = _verified(docs, classes, stage(_likeliest(hubs, percent), "likely"), size, percent)
+    more = _verified(docs, rows, classes, stage(_likeliest(hubs, percent), "likely"), size, percent)
     labels = stage(components(_stars(labels).unionAll(more)), "labels")
     members = stage(_apart(members.drop("label"), labels), "members")
     one, two = members.alias("p"), members.alias("q")
@@ -286,7 +296,7 @@ def ngram_join(
         "p.label <> q.label AND (p.n < q.n OR p.n = q.n AND p.cls < q.cls) AND " + _first_shared("p.n", "q.n", "p.pos", "q.pos", percent)
     )
     second = apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
-    more = _verified(docs, classes, stage(second, "apart"), size, percent)
+    more = _verified(docs, rows, classes, stage(second, "apart"), size, percent)
     labels = stage(components(_stars(labels).unionAll(more)), "labels")
 
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(

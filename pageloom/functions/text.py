@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 _LINE_BREAK = r"\R|[\x1C-\x1E]"
 _TRAILING_SPACE = r"(?U)[\s\x1F]+\z"
 
+# each element ends with its own end tag
+_UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->"
+
 _ENTITIES = (
     ("&nbsp;", " "),
     ("&middot;", "\u00b7"),
@@ -27,7 +30,7 @@ def normalise_text(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles, comments or tags, entities resolved, spaces collapsed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|title)\b.*?</(script|style|title)>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, _UNSEEN, " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
     for entity, character in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))

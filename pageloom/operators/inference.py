@@ -20,6 +20,9 @@ INSTRUCTIONS = (
 REQUEST = "Transcribe the text in this image."
 MAX_DIM = 1536
 
+# what a task records whose image is not there
+NO_IMAGE = repr(FileNotFoundError("no image"))
+
 
 @dataclass(frozen=True)
 class ModelSettings:
@@ -97,7 +100,13 @@ def transcribe(
 
     def open_handler():
         model = open_model(chosen)
-        return lambda row: {"model": chosen.model, **model(row["image"])}
+
+        def read(row: dict) -> dict:
+            if row["image"] is None:
+                raise FileNotFoundError("no image")
+            return {"model": chosen.model, **model(row["image"])}
+
+        return read
 
     return truncation_check(run_handler(images.select("id", "image"), "id", open_handler, TRANSCRIPTION, concurrency))
 

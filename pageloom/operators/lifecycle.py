@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.ordered import previous
 from pageloom.operators.results import context_progress, finished_contexts
 from pageloom.schemas import TRANSITIONS
 
 
-def _changed(tasks: DataFrame, changes: dict[str, Column]) -> DataFrame:
-    """The task columns with some replaced, in the table's order."""
-    return tasks.select(*(changes.get(name, F.col(name)).alias(name) for name in tasks.columns if name[0] != "_"))
+def _changed(tasks: DataFrame, columns: list[str], changes: dict[str, Column]) -> DataFrame:
+    """The columns of the task table with some replaced, in the table's order."""
+    return tasks.select(*(changes.get(name, F.col(name)).alias(name) for name in columns))
 
 
 def stale_tasks(tasks: DataFrame, now: Column, minutes: int = 5, limit: int | None = None) -> DataFrame:
@@ -28,16 +27,17 @@ def _before(now: Column, minutes: int) -> Column:
 def reclaim_stale(tasks: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
     """Start stale tasks anew. One pass over the table, nothing is shuffled."""
     stale = (F.col("status") == "running") & (F.col("started_at") < _before(now, minutes))
-    return _changed(tasks, {"started_at": F.when(stale, now).otherwise(F.col("started_at"))})
+    return _changed(tasks, tasks.columns, {"started_at": F.when(stale, now).otherwise(F.col("started_at"))})
 
 
 def apply_claim(tasks: DataFrame, claimed: DataFrame, now: Column) -> DataFrame:
-    """Mark the claimed ids as running. A claim has at most the n rows it asked for, so it is broadcast."""
+    """Mark the claimed ids as running. Whether the claim is small enough to be broadcast is left to its measured size."""
     marked = claimed.select("id", F.lit(True).alias("_claimed"))
-    joined = tasks.join(F.broadcast(marked), "id", "left").select(*tasks.columns, "_claimed")
+    joined = tasks.join(marked, "id", "left").select(*tasks.columns, "_claimed")
     hit = F.col("_claimed").isNotNull()
     return _changed(
         joined,
+        tasks.columns,
         {
             "status": F.when(hit, "running").otherwise(F.col("status")),
             "started_at": F.when(hit, now).otherwise(F.col("started_at")),
@@ -52,8 +52,12 @@ def latest_outcomes(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("task_id").agg(newest).select("task_id", "_last.*")
 
 
-def record_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Set status, failure_reason ('' when done) and finished_at of the tasks that have an outcome."""
+def record_outcomes(tasks: DataFrame, outcomes: DataFrame, current_only: bool = False) -> DataFrame:
+    """Set status, failure_reason ('' when done) and finished_at of the tasks that have an outcome.
+
+    With ``current_only`` an outcome counts for a running task alone, and only if it finished after the
+    task's present start: what is left of a run before a retry or a reclaim changes nothing.
+    """
     last = latest_outcomes(outcomes).select(
         F.col("task_id").alias("id"),
         F.col("status").alias("_status"),
@@ -62,10 +66,13 @@ def record_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
     joined = tasks.join(last, "id", "left").select(*tasks.columns, "_status", "_reason", "_finished")
     hit = F.col("_status").isNotNull()
+    if current_only:
+        hit &= F.coalesce((F.col("status") == "running") & (F.col("_finished") >= F.col("started_at")), F.lit(False))
     return _changed(
         joined,
+        tasks.columns,
         {
-            "status": F.coalesce("_status", "status"),
+            "status": F.when(hit, F.col("_status")).otherwise(F.col("status")),
             "failure_reason": F.when(hit, F.col("_reason")).otherwise(F.col("failure_reason")),
             "finished_at": F.when(hit, F.col("_finished")).otherwise(F.col("finished_at")),
         },
@@ -88,7 +95,8 @@ def retry_failed(tasks: DataFrame, requested: DataFrame | None = None) -> DataFr
     joined = tasks.join(chosen.withColumn("_retry", F.lit(True)), "context_id", "left")
     hit = F.col("_retry").isNotNull() & (F.col("status") == "failed")
     return _changed(
-        joined.select(*tasks.columns, "_retry"),
+        joined,
+        tasks.columns,
         {
             "status": F.when(hit, "pending").otherwise(F.col("status")),
             "failure_reason": F.when(hit, "").otherwise(F.col("failure_reason")),
@@ -111,6 +119,7 @@ def fail_contexts(tasks: DataFrame, failures: DataFrame) -> DataFrame:
     hit = F.col("_reason").isNotNull()
     return _changed(
         joined,
+        tasks.columns,
         {
             "status": F.when(hit, "failed").otherwise(F.col("status")),
             "failure_reason": F.coalesce("_reason", "failure_reason"),
@@ -118,11 +127,12 @@ def fail_contexts(tasks: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
-def invalid_transitions(task_events: DataFrame, slices: int | None = None) -> DataFrame:
-    """Status changes that the state machine does not allow, with the status before."""
+def invalid_transitions(task_events: DataFrame) -> DataFrame:
+    """Status changes that the state machine does not allow, with the status before. A task has a few events."""
     # events of one instant are taken in the order a task goes through
     stage_no = F.array_position(F.array(*map(F.lit, ("pending", "running", "done", "failed"))), F.col("status"))
-    log = previous(task_events, ["task_id"], [F.col("ts"), stage_no], "status", "from_status", slices)
+    before_it = F.lag("status").over(Window.partitionBy("task_id").orderBy("ts", stage_no))
+    log = task_events.withColumn("from_status", before_it)
     allowed = F.lit(False)
     for before, after in TRANSITIONS:
         allowed = allowed | (F.col("from_status").eqNullSafe(F.lit(before)) & (F.col("status") == after))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,11 +146,13 @@ def parse_search_json(responses: DataFrame) -> DataFrame:
 def review_text(hits: DataFrame) -> DataFrame:
     """(prompt_id, query_no, position, url, title, description, snippet) to one text per prompt.
 
-    A prompt has a handful of queries of at most ``MAX_HITS`` hits, which bounds the list.
+    A prompt has a handful of queries of at most ``MAX_HITS`` hits, which bounds the list. A field that is
+    NULL is left empty.
     """
+    url, title, description, snippet = (F.coalesce(F.col(x), F.lit("")) for x in ("url", "title", "description", "snippet"))
     block = F.concat(
-        F.lit("[URL: "), "url", F.lit("\nTitle: "), "title", F.lit("\nDescription: "), "description",
-        F.lit("\nSnippet: "), "snippet", F.lit("]\n\n"),
+        F.lit("[URL: "), url, F.lit("\nTitle: "), title, F.lit("\nDescription: "), description,
+        F.lit("\nSnippet: "), snippet, F.lit("]\n\n"),
     )
     listed = F.array_sort(F.collect_list(F.struct("query_no", "position", block.alias("block"))))
     return hits.groupBy("prompt_id").agg(F.array_join(listed["block"], "").alias("content"))
@@ -172,13 +173,16 @@ def relevancy_message(prompts: DataFrame, queries: DataFrame, reviews: DataFrame
 
 
 def relevant_urls(messages: DataFrame, choose: Callable[[str], list[str]]) -> DataFrame:
-    """(prompt_id, message) to (prompt_id, pos, url), the URLs a model picks, in its order."""
+    """(prompt_id, message) to (prompt_id, pos, url), the URLs a model picks, in its order.
 
-    @F.pandas_udf("array<string>")
-    def picked(texts: pd.Series) -> pd.Series:
-        return texts.map(choose)
+    A prompt whose call fails has no URLs, which ``scrape_codes`` reports; the others go on.
+    """
+
+    def open_handler():
+        return lambda row: {"urls": list(choose(row["message"]))}
 
-    return messages.select("prompt_id", F.posexplode(picked("message")).alias("pos", "url"))
+    answers = run_handler(messages.select("prompt_id", "message"), "prompt_id", open_handler, "urls ARRAY<STRING>")
+    return answers.select("prompt_id", F.posexplode("urls").alias("pos", "url"))
 
 
 def ground_urls(picked: DataFrame, hits: DataFrame) -> DataFrame:
@@ -197,7 +201,7 @@ def scrape_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     read = stage(
         asked.select(
             "url",
-            F.when(~F.col("reachable"), "CRWC-10").when(empty, "CRWC-11").otherwise("").alias("page_code"),
+            F.when(~F.coalesce("reachable", F.lit(False)), "CRWC-10").when(empty, "CRWC-11").otherwise("").alias("page_code"),
             plain_text(F.col("html")).alias("page_text"),
         ),
         "read",

@@ -36,8 +36,9 @@ def process_round(
 ) -> Round:
     """Claim up to n tasks, run the model on their images and return the next snapshot and due transcripts.
 
-    ``images`` is (file_path, image). Model answers are staged before anything reads them, so the model
-    runs once per claimed page even though outcomes and texts are used apart.
+    ``images`` is (file_path, image); a task without an image fails. Model answers are staged before anything
+    reads them, so the model runs once per claimed page even though outcomes and texts are used apart. The tasks
+    in work are staged too: where they are small by their measured size, they go to the images and not the other way.
     """
     spark = tasks.sparkSession
     revived = lifecycle.reclaim_stale(tasks, now)
@@ -46,11 +47,15 @@ def process_round(
     claimed = stage(claimed.select("id", "context_id"), "claimed")
     running = lifecycle.apply_claim(revived, claimed, now)
 
-    todo = payload_fields(tasks).join(claimed.select("id").unionByName(again.select("id")), "id", "left_semi")
-    with_image = todo.join(images, "file_path").select("id", "image")
+    chosen = payload_fields(tasks).join(claimed.select("id").unionByName(again.select("id")), "id", "left_semi")
+    todo = stage(chosen.select("id", "context_id", "object_name", "original_file_name", "file_path"), "todo")
+    with_image = images.join(todo.select("id", "file_path"), "file_path").select("id", "image")
     answers = stage(inference.transcribe(with_image, open_model, concurrency=concurrency), "answers")
 
-    outcomes = answers.select(
+    without = todo.join(answers.select("id"), "id", "left_anti").select(
+        "id", F.lit("failed").alias("status"), F.lit(inference.NO_IMAGE).alias("failure_reason")
+    )
+    outcomes = answers.select("id", "status", "failure_reason").unionByName(without).select(
         F.col("id").alias("task_id"), "status", "failure_reason", now.alias("finished_at"), F.lit(1).alias("attempt")
     )
     after = lifecycle.record_outcomes(running, outcomes)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.schemas import ENTRIES, TASKS
+from pageloom.sources.objects import key_below
 
 # Limits of an upload.
 MAX_IMAGES = 100
@@ -32,9 +33,9 @@ HEAD_BYTES = 16
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Zip files under ``path`` as rows (archive, content)."""
+    """Zip files under ``path`` as rows (archive, content); an archive is named by its path below that folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    return files.select(key_below(spark, path).alias("archive"), "content")
 
 
 def _list_entries(name: str, content: bytes) -> Iterator[tuple]:
@@ -168,7 +169,7 @@ def assign_object_names(images: DataFrame) -> DataFrame:
 def enqueue_tasks(named: DataFrame, now: Column, priority: str = "standard") -> DataFrame:
     """One pending task per image. Needs context_id and created_by next to the columns of assign_object_names.
 
-    The id is a digest of context and object name, so replaying an upload gives the same ids.
+    The id is a digest of the object's path, so replaying an upload gives the same ids.
     """
     payload = F.to_json(
         F.struct(
@@ -177,7 +178,7 @@ def enqueue_tasks(named: DataFrame, now: Column, priority: str = "standard") ->
     )
     never = F.lit(None)
     columns = {
-        "id": F.sha2(F.concat("context_id", "object_name"), 256),
+        "id": F.sha2(F.concat_ws("/", "context_id", "object_name"), 256),
         "status": F.lit("pending"),
         "payload": payload,
         "failure_reason": never,

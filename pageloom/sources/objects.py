@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _qualified(spark: SparkSession, path: str):
+    """A path with its file system and from its root on, and the file system."""
+    context = spark.sparkContext
+    named = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.makeQualified(named), system
+
+
+def key_below(spark: SparkSession, root: str) -> Column:
+    """Key of a file of the binary source: its path below ``root``, or its name where ``root`` is the file or a pattern."""
+    folder = _qualified(spark, root)[0].toString().rstrip("/") + "/"
+    below = F.col("path").substr(F.lit(len(folder) + 1), F.length("path"))
+    return F.when(F.col("path").startswith(folder), below).otherwise(F.element_at(F.split("path", "/"), -1))
+
+
 def object_inventory(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Objects under ``root`` whose key starts with ``prefix``: key, length, modification time, no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    key = F.expr(f"substring(path, instr(path, '{marker}') + {len(marker)})")
-    return files.select(key.alias("key"), "length", "modificationTime").filter(F.col("key").startswith(prefix))
+    """Objects under ``root`` whose key starts with ``prefix``: key, length, modification time, no content.
+
+    Only folders and files that begin with the prefix are listed; a prefix that nothing has gives no rows.
+    """
+    pattern = root.rstrip("/") + "/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", prefix) + "*"
+    path, system = _qualified(spark, pattern)
+    if not system.globStatus(path):
+        return spark.createDataFrame([], "key STRING, length LONG, modificationTime TIMESTAMP")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+    return files.select(key_below(spark, root).alias("key"), "length", "modificationTime").filter(F.col("key").startswith(prefix))
 
 
 def orphan_objects(objects: DataFrame, tasks: DataFrame) -> DataFrame:

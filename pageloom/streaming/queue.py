@@ -30,14 +30,17 @@ def stream_progress(changes: DataFrame) -> DataFrame:
     """Running total, done and failed per context (update mode).
 
     Every change adds one to the status entered and takes one from the status left, so the counts are
-    plain sums: a busy context is summed on the map side before the shuffle.
+    plain sums: a busy context is summed on the map side before the shuffle. A status that a task has
+    already entered in this generation is a repeat, however late it comes, and counts nothing.
     """
+    once = changes.dropDuplicates(["task_id", "generation", "status"])
+
     def net(status):
         entered = (F.col("status") == status).cast("long")
         left = F.coalesce((F.col("from_status") == status).cast("long"), F.lit(0))
         return F.sum(entered - left)
 
-    return changes.groupBy("context_id").agg(
+    return once.groupBy("context_id").agg(
         F.count_if(F.col("from_status").isNull()).alias("total"), net("done").alias("done"), net("failed").alias("failed")
     )
 
@@ -63,10 +66,14 @@ def stream_dedup(outcomes: DataFrame, delay: str) -> DataFrame:
     return outcomes.withWatermark("finished_at", delay).dropDuplicatesWithinWatermark(["task_id", "attempt"])
 
 
-def stream_ended(changes: DataFrame, delay: str) -> DataFrame:
-    """Ended tasks per (context, generation), repeats of one end within ``delay`` counted once (update mode)."""
-    ends = changes.filter(F.col("status").isin("done", "failed")).withWatermark("ts", delay)
-    once = ends.dropDuplicatesWithinWatermark(["task_id", "generation"])
+def stream_ended(changes: DataFrame) -> DataFrame:
+    """Ended tasks per (context, generation), each task once whenever it is reported again (update mode).
+
+    The state is the set of ended tasks, spread by task, so a hot context is no hot key. It must outlive any
+    delay, as a task reclaimed hours later ends again; it starts afresh with a new checkpoint.
+    """
+    ends = changes.filter(F.col("status").isin("done", "failed"))
+    once = ends.dropDuplicates(["context_id", "generation", "task_id"])
     return once.groupBy("context_id", "generation").agg(
         F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed")
     )
@@ -135,22 +142,26 @@ def stream_metrics(changes: DataFrame, delay: str, width: str = EXPORT_INTERVAL)
     )
 
 
-def append_outcomes(path: str) -> Callable[[DataFrame, int], None]:
-    """Per batch, store one outcome per task in the batch's folder of the outcome log."""
+def append_outcomes(path: str, run: str = "0") -> Callable[[DataFrame, int], None]:
+    """Per batch, store one outcome per task in the batch's folder of the outcome log.
+
+    Batches are numbered from 0 in every checkpoint: a stream with a new one needs a ``run`` of its own.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_outcomes(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest_outcomes(batch).write.mode("overwrite").parquet(f"{path}/batch={run}-{batch_id}")
 
     return write
 
 
 def current_tasks(snapshot: DataFrame, outcome_log: DataFrame) -> DataFrame:
-    """The snapshot with the logged outcomes applied on reading.
+    """The snapshot with the logged outcomes of its running tasks applied on reading.
 
     A batch writes only its own outcomes; the table itself is rewritten now and then, by storing what
-    this returns as the next snapshot and starting a new log.
+    this returns as the next snapshot and starting a new log. Store a snapshot that was changed on top of an
+    earlier reading of the log: Spark takes two readings of one folder in one plan for the same.
     """
-    return record_outcomes(snapshot, outcome_log)
+    return record_outcomes(snapshot, outcome_log, current_only=True)
 
 
 def ingest_batch(submit: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

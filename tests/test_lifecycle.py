@@ -114,7 +114,7 @@ def test_transitions(spark):
     log = [(f"{a}>{b}", s, at(k)) for a in (None, "pending", "running", "done", "failed")
            for b in ("pending", "running", "done", "failed") for k, s in enumerate((a, b)) if s]
     frame = spark.createDataFrame(log, "task_id STRING, status STRING, ts TIMESTAMP").withColumn("context_id", F.lit("c"))
-    bad = {(row["from_status"], row["status"]) for row in lifecycle.invalid_transitions(frame, slices=5).collect()}
+    bad = {(row["from_status"], row["status"]) for row in lifecycle.invalid_transitions(frame).collect()}
     pairs = {(a, b) for a in ("pending", "running", "done", "failed") for b in ("pending", "running", "done", "failed")}
     starts = {(None, s) for s in ("running", "done", "failed")}
     assert bad == (pairs | starts) - set(TRANSITIONS)

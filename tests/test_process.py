@@ -54,6 +54,23 @@ def test_two_rounds(spark, tmp_path):
     assert {r["context_id"] for r in lifecycle.retriable_contexts(second.tasks).collect()} == {"a", "c"}
 
 
+def test_task_without_image_fails(spark, tmp_path):
+    rows, images = [], [("c/0000_a.jpg", b"text"), ("c/0002_c.jpg", None)]
+    for k, name in enumerate(("0000_a.jpg", "0001_b.jpg", "0002_c.jpg")):
+        payload = {"object_name": name, "file_path": f"c/{name}", "original_file_name": name[5:]}
+        rows.append((str(k), "c", "pending", "u", json.dumps(payload), None, T, None, None, "standard"))
+
+    def open_model(settings):
+        return lambda image: {"text": bytes(image).decode(), "finish_reason": "stop", "input_tokens": 1, "output_tokens": 1}
+
+    done = process_round(
+        spark.createDataFrame(rows, TASKS), spark.createDataFrame(images, "file_path STRING, image BINARY"), open_model,
+        str(tmp_path / "pages"), 0, F.lit(T + dt.timedelta(hours=1)), n_licq=3)
+    got = {row["id"]: (row["status"], row["failure_reason"]) for row in done.tasks.collect()}
+    assert got == {"0": ("done", ""), "1": ("failed", inference.NO_IMAGE), "2": ("failed", inference.NO_IMAGE)}
+    assert [r["text"] for r in done.transcripts.collect()] == ["=== a.jpg ===\ntext\n\n"]
+
+
 def test_handler_opens_once_per_task_and_spreads(spark):
     def open_handler():
         opened = []
@@ -94,6 +111,13 @@ def test_stores(spark, tmp_path):
     assert read == {"context_id=c1": "AB2\n", "context_id=c2": "é\nx\n"}
     listed = objects.object_inventory(spark, out, "context_id=c1/").collect()
     assert len(listed) == 1 and listed[0]["length"] == 4
+    deep = tmp_path / "data" / "x" / "data"
+    (deep / "ctx1").mkdir(parents=True)
+    (deep / "ctx1" / "a[1].txt").write_text("abc")
+    (deep / "ctx2").mkdir()
+    (deep / "ctx2" / "b.txt").write_text("b")
+    keys = lambda prefix: sorted(r["key"] for r in objects.object_inventory(spark, str(deep), prefix).collect())
+    assert keys("") == ["ctx1/a[1].txt", "ctx2/b.txt"] and keys("ctx1") == keys("ctx1/a[1]") == ["ctx1/a[1].txt"] and keys("no") == []
     objects.write_transcripts(merged, str(tmp_path / "transcripts"))
     one = objects.read_transcripts(spark, str(tmp_path / "transcripts")).filter("context_id = 'c1'").collect()
     assert [(r["part"], r["text"]) for r in one] == [(0, "AB2")]

@@ -58,7 +58,7 @@ def test_completion_once(spark, tmp_path, log):
     out, check = str(tmp_path / "out"), str(tmp_path / "cp")
 
     def run():
-        queue.run_available(queue.stream_ended(log.stream(), "1 hour"), check, "update", each=queue.emit_completions(expected, out))
+        queue.run_available(queue.stream_ended(log.stream()), check, "update", each=queue.emit_completions(expected, out))
         rows = spark.read.schema(queue.COMPLETIONS).parquet(out).collect()
         return sorted((r["context_id"], r["generation"], r["done"], r["failed"]) for r in rows)
 
@@ -72,6 +72,40 @@ def test_completion_once(spark, tmp_path, log):
     assert run() == [("a", 0, 1, 1), ("a", 1, 1, 0)]
 
 
+def test_repeats_hours_apart_count_once(spark, tmp_path, log):
+    """A task that is reclaimed ends twice: it is neither two tasks done nor a reason to complete its context."""
+    expected = spark.createDataFrame([("c", 0, 2)], "context_id STRING, generation BIGINT, total BIGINT")
+    log.add(walk("a", "c", 0, 1) + walk("b", "c", 0, None))
+    log.add([("z", "other", "running", "done", 0, at(500))])
+    log.add([("a", "c", "running", "done", 0, at(600))])
+    ended, counts = str(tmp_path / "ended"), str(tmp_path / "counts")
+    queue.run_available(queue.stream_ended(log.stream()), str(tmp_path / "cp1"), "update", each=queue.emit_completions(expected, ended))
+    assert spark.read.schema(queue.COMPLETIONS).parquet(ended).count() == 0
+    queue.run_available(queue.stream_progress(log.stream()), str(tmp_path / "cp2"), "update", each=queue.keep_batch(counts))
+    got = queue.latest_rows(spark, counts, "context_id STRING, total BIGINT, done BIGINT, failed BIGINT", ["context_id"])
+    assert ("c", 2, 1, 0) in set(map(tuple, got.collect()))
+    log.add([("b", "c", "running", "failed", 0, at(601))])
+    queue.run_available(queue.stream_ended(log.stream()), str(tmp_path / "cp1"), "update", each=queue.emit_completions(expected, ended))
+    assert [(r["done"], r["failed"]) for r in spark.read.schema(queue.COMPLETIONS).parquet(ended).collect()] == [(1, 1)]
+
+
+def test_logged_outcome_does_not_undo_a_retry(spark, tmp_path):
+    kept = str(tmp_path / "kept")
+    queue.append_outcomes(kept)(spark.createDataFrame([("1", "failed", "E('x')", at(5), 1)], OUTCOMES), 0)
+    tasks = spark.createDataFrame([("1", "c", "running", "u", "{}", None, T, T, None, "standard")], TASKS)
+    read = lambda: spark.read.schema(OUTCOMES).parquet(kept).drop("batch")
+    failed = queue.current_tasks(tasks, read())
+    assert failed.first()["status"] == "failed"
+    stored = lambda frame: spark.createDataFrame(frame.collect(), TASKS)
+    retried = stored(lifecycle.retry_failed(failed))
+    assert queue.current_tasks(retried, read()).first()["status"] == "pending"
+    again = stored(lifecycle.apply_claim(retried, retried.select("id"), F.lit(at(10))))
+    assert queue.current_tasks(again, read()).first()["status"] == "running"
+    # a stream with a new checkpoint numbers its batches from 0 as well
+    queue.append_outcomes(kept, "1")(spark.createDataFrame([("1", "done", "", at(12), 2)], OUTCOMES), 0)
+    assert read().count() == 2 and queue.current_tasks(again, read()).first()["status"] == "done"
+
+
 def test_completion_batch_can_be_replayed(spark, tmp_path):
     expected = spark.createDataFrame([("a", 0, 1)], "context_id STRING, generation BIGINT, total BIGINT")
     ended = spark.createDataFrame([("a", 0, 1, 0)], "context_id STRING, generation BIGINT, done BIGINT, failed BIGINT")

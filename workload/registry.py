@@ -208,7 +208,7 @@ def _(i):
     return _named(i).select("archive", "idx", "object_index", "object_name")
 
 
-ENQUEUED = f"""sha256(context_id || object_name) AS id, context_id, 'pending' AS status, created_by,
+ENQUEUED = f"""sha256(context_id || '/' || object_name) AS id, context_id, 'pending' AS status, created_by,
  to_json({{'object_name': object_name, 'file_path': context_id || '/' || object_name,
  'original_file_name': original_file_name}})::varchar AS payload, NULL::varchar AS failure_reason,
  {_ts(SQL_NOW)} AS created_at, NULL::varchar AS started_at, NULL::varchar AS finished_at, 'standard' AS priority"""
@@ -729,7 +729,7 @@ ASKED = f"""q AS (SELECT prompt_id, 0 AS query_no, prompt AS query FROM prompts
 
 
 def _plain_sql(html: str) -> str:
-    text = rf"regexp_replace({html}, '(?is)<(script|style|title)\b.*?</(script|style|title)>|<!--.*?-->', ' ', 'g')"
+    text = rf"regexp_replace({html}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->', ' ', 'g')"
     text = rf"regexp_replace({text}, '(?s)<[^>]*>', ' ', 'g')"
     for entity, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"),
                          ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
@@ -990,7 +990,7 @@ WHERE done + failed = total""")
 def _(i):
     path = i.fresh("stream")
     expected = results.context_progress(i.tasks).select("context_id", F.lit(0).cast("long").alias("generation"), "total")
-    ended = queue.stream_ended(_changes(i), DELAY)
+    ended = queue.stream_ended(_changes(i))
     queue.run_available(ended, i.fresh("checkpoint"), "update", each=queue.emit_completions(expected, path))
     return i.spark.read.schema(queue.COMPLETIONS).parquet(path).drop("batch")
 
@@ -1017,7 +1017,13 @@ def _(i):
     return _appended(i, queue.stream_metrics(_changes(i), DELAY))
 
 
-@query("stream_upsert", RECORDED)
+CURRENT = "coalesce(t.status = 'running' AND o.f >= t.started_at, false)"
+
+
+@query("stream_upsert", f"WITH {LAST_OUTCOME} " + _tasks_sql({
+    "status": f"CASE WHEN {CURRENT} THEN o.s ELSE t.status END",
+    "failure_reason": f"CASE WHEN {CURRENT} THEN o.r ELSE t.failure_reason END",
+    "finished_at": f"CASE WHEN {CURRENT} THEN o.f ELSE t.finished_at END"}, "tasks t LEFT JOIN o ON t.id = o.task_id"))
 def _(i):
     path = i.fresh("outcomes")
     queue.run_available(i.stream("outcomes"), i.fresh("checkpoint"), each=queue.append_outcomes(path))

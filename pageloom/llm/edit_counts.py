@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pageloom.llm.tokens import Encoder, encoder
 
 LEAF_CHARS = 256
+_AT_ONCE = 1 << 20  # characters encoded at once in a task
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
 EDITS = "array<struct<start:int,end:int,replacement:string>>"
@@ -109,7 +110,14 @@ def apply_edits(text: str, begins: np.ndarray, tree: np.ndarray, edits: list[tup
 
 
 def _counts(made: Encoder, pieces: list[str]) -> np.ndarray:
-    return np.diff(made.encode(pa.array(pieces, pa.large_string()))[1])
+    """How many ids each piece has. Encoded in runs of pieces, so that the ids of a whole batch are never held at once."""
+    counts, begin, size = [np.zeros(0, np.int64)], 0, 0
+    for end, piece in enumerate(pieces, 1):
+        size += len(piece)
+        if size >= _AT_ONCE or end == len(pieces):
+            counts.append(np.diff(made.encode(pa.array(pieces[begin:end], pa.large_string()))[1]))
+            begin, size = end, 0
+    return np.concatenate(counts)
 
 
 def build_trees(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.ordered import position
 from pageloom.operators.results import context_progress, finished_contexts
 
-# page numbers per transcript row: an accepted archive has no more pages than this
+# default number of pages per transcript row: an accepted archive has no more pages than this
 PAGES_PER_PART = 100
 
 
@@ -17,20 +18,21 @@ def format_page(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", page)
 
 
-def merge_transcripts(pages: DataFrame) -> DataFrame:
+def merge_transcripts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
     """(context_id, object_name, text) to (context_id, part, pages, text), pages in order of object name.
 
-    A context of up to ``PAGES_PER_PART`` pages is part 0 and whole. Longer ones go on in parts 1, 2, ...
-    by the number that leads each object name, so no task ever holds more than one part's pages. Pages
-    that failed have no text and are absent.
+    Pages are ordered by the number that leads their name, those without one first, then by name. Parts 0, 1, ...
+    have ``pages_per_part`` pages each by place in that order, the last one the rest, so no task ever
+    holds more than one part's pages whatever they are called. Pages that failed have no text and are absent.
     """
     number = F.regexp_extract("object_name", r"^(\d+)_", 1).try_cast("long")
-    part = F.floor(F.coalesce(number, F.lit(0)) / PAGES_PER_PART).alias("part")
-    page = F.struct(number.alias("number"), "object_name", "text")
+    order = [number.asc_nulls_first(), F.col("object_name").asc_nulls_first()]
+    read = pages.filter("text IS NOT NULL").select("context_id", "object_name", "text")
+    part = F.floor((F.col("page_no") - 1) / pages_per_part).alias("part")
     return (
-        pages.filter("text IS NOT NULL")
+        position(read, ["context_id"], order, "page_no")
         .groupBy("context_id", part)
-        .agg(F.array_sort(F.collect_list(page)).alias("pages"))
+        .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
         .select(
             "context_id",
             "part",

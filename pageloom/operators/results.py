@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.ordered import position
 
-# failure reasons per result row; a context that came from an accepted archive never needs a second row
+# default number of failure reasons per result row, as many as an accepted archive has pages
 REASONS_PER_PAGE = 100
 
 
@@ -68,31 +68,39 @@ def failure_reasons(tasks: DataFrame, slices: int | None = None) -> DataFrame:
     return position(failed, ["context_id"], latest_first, "reason_no", slices)
 
 
-def derive_result(tasks: DataFrame, base_url: str, slices: int | None = None) -> DataFrame:
+def derive_result(
+    tasks: DataFrame, base_url: str, slices: int | None = None, reasons_per_page: int = REASONS_PER_PAGE
+) -> DataFrame:
     """Per context: derived status, counts, reasons and download link.
 
-    Reasons are listed in order, ``REASONS_PER_PAGE`` to a row; a context with more of them has
-    further rows (reasons_page 1, 2, ...), so none is cut and no row grows without bound.
+    Reasons are listed in order, ``reasons_per_page`` to a row; a context with more of them has
+    further rows (reasons_page 1, 2, ...) that repeat its counts, so none is cut and no row grows without
+    bound. The rows of reasons_page 0 are the contexts, each once; ``failure_reasons`` has a reason per row.
     """
-    page = F.floor((F.col("reason_no") - 1) / REASONS_PER_PAGE).alias("reasons_page")
+    page = F.floor((F.col("reason_no") - 1) / reasons_per_page).alias("reasons_page")
     entry = F.struct("reason_no", F.struct("id", "failure_reason").alias("reason"))
     pages = (
         failure_reasons(tasks, slices)
         .groupBy("context_id", page)
         .agg(F.array_sort(F.collect_list(entry))["reason"].alias("failure_reasons"))
     )
+    progress = context_progress(tasks)
+    # an inner join can be split on either side, so a context with most of the reasons is no single task
+    listed = progress.filter("failed > 0").join(pages, "context_id")
+    none = F.array().cast("array<struct<id:string,failure_reason:string>>")
+    others = progress.filter("failed = 0 OR context_id IS NULL").withColumns(
+        {"reasons_page": F.lit(0).cast("long"), "failure_reasons": none}
+    )
     finished = F.col("done") + F.col("failed") == F.col("total")
     started = F.col("done") + F.col("failed") > 0
     link = F.concat(F.lit(f"{base_url}/"), "context_id", F.lit("/download"))
-    return context_progress(tasks).join(pages, "context_id", "left").select(
+    return listed.unionByName(others).select(
         "context_id",
         F.when(finished, "done").when(started, "running").otherwise("pending").alias("status"),
         "total",
         "done",
         "failed",
-        F.coalesce("reasons_page", F.lit(0)).alias("reasons_page"),
-        F.coalesce("failure_reasons", F.array().cast("array<struct<id:string,failure_reason:string>>")).alias(
-            "failure_reasons"
-        ),
+        "reasons_page",
+        "failure_reasons",
         F.when(finished, link).otherwise("").alias("download_link"),
     )

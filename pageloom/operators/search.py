@@ -16,7 +16,12 @@ from pageloom.session import stage
 HITS_PER_QUERY = 8
 MAX_HITS = 10
 
+# so many asked words are sent to all tasks
+BROADCAST_WORDS = 1_000_000
+
 _TF_SATURATION = 1.2
+_QUERY = ["prompt_id", "query_no"]
+_MARGIN = 1e-5  # above what rounding and the order of a sum change
 
 
 def expand_queries(prompts: DataFrame, generated: Column) -> DataFrame:
@@ -48,59 +53,90 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def _postings(pages: DataFrame, asked: DataFrame) -> DataFrame:
-    """(word, url, tf) of the words that are asked for.
+def _postings(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, url, tf) of ``words``, counted by page and word together, so that a frequent word is no single task.
 
-    The words of a page are counted in the task that reads it before anything is shuffled.
+    Up to ``BROADCAST_WORDS`` words are sent to all tasks and the others are dropped where a page is read;
+    with more the counts of all words are joined with them.
     """
     found = pages.select("url", F.explode(raw_words(plain_text(F.col("html")))).alias("word")).filter("word <> ''")
-    return found.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "url").agg(
-        F.count("*").alias("tf")
+    if words.count() <= BROADCAST_WORDS:
+        found, words = found.join(F.broadcast(words), "word", "left_semi"), None
+    counted = found.groupBy("url", "word").agg(F.count("*").alias("tf"))
+    return counted if words is None else counted.join(words, "word", "left_semi")
+
+
+def _part(tf: str) -> Column:
+    """What a word adds to the score of a page that has it so often; less than its weight."""
+    return F.col("weight") * F.col(tf) / (F.col(tf) + _TF_SATURATION)
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    best = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "url")
+    return scored.withColumn("position", F.row_number().over(best).cast("long")).filter(F.col("position") <= limit)
+
+
+def _scores(found: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Whole scores of the pages (prompt_id, query_no, url), looked up word by word."""
+    return (
+        found.select(*_QUERY, "url")
+        .join(terms, _QUERY)
+        .join(postings, ["word", "url"])
+        .groupBy(*_QUERY, "url")
+        .agg(F.round(F.sum(_part("tf")), 6).alias("score"), F.count("*").alias("matched"))
+    )
+
+
+def _candidates(terms: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """(prompt_id, query_no, url) of all pages that can be among the best ``limit``, and few others.
+
+    The pages that have a word most often, ``limit`` per word, are scored first; the last of a query's best
+    ``limit`` of them is a floor under its results. A result's heaviest word must reach the floor together with all
+    lighter words at their most. That asks a least tf of each word of a query, above what any page
+    has for most frequent words, which then are not looked up at all. The join is by word and tf and
+    touches no posting below it.
+    """
+    by_tf = Window.partitionBy("word").orderBy(F.desc("tf"), "url")
+    champions = postings.withColumn("place", F.row_number().over(by_tf)).filter(F.col("place") <= limit).drop("place")
+    seeds = terms.join(champions, "word").groupBy(*_QUERY, "url").agg(F.sum(_part("tf")).alias("score"))
+    floors = _scores(_best(seeds, limit), terms, postings).groupBy(*_QUERY).agg(
+        F.when(F.count("*") == limit, F.min("score")).otherwise(0.0).alias("floor")
+    )
+    lighter = Window.partitionBy(*_QUERY).orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.coalesce(F.sum(_part("most")).over(lighter), F.lit(0.0))
+    wanted = (
+        terms.withColumn("rest", rest)
+        .join(floors, _QUERY)
+        .withColumn("need", F.col("floor") - _MARGIN - F.col("rest"))
+        .filter(_part("most") >= F.col("need"))
     )
+    levels = postings.select("word", "tf").distinct()
+    reached = wanted.join(levels, "word").filter(_part("tf") >= F.col("need")).select(*_QUERY, "word", "tf")
+    return reached.join(postings, ["word", "tf"]).select(*_QUERY, "url").distinct()
 
 
 def search_topk(queries: DataFrame, pages: DataFrame, limit: int = HITS_PER_QUERY) -> DataFrame:
     """Best ``limit`` pages per query: (prompt_id, query_no, position, url, score, matched).
 
-    Score of a page: over the words it shares with the query, log((N - n + 0.5) / (n + 0.5)) for a word on
-    n of N pages, weighted by how often the page has it (saturating). By that formula a word on half
-    the pages or more weighs nothing, so it is left out before the join and cannot pair every query with
-    every page.
-
-    The queries of a prompt share most of their words. A word is therefore joined once per prompt, with
-    the list of the queries that have it, and is summed per such list before the lists are taken apart.
+    Score of a page: over the words it shares with the query, log(1 + (N - n + 0.5) / (n + 0.5)) for a word on
+    n of N pages, weighted by how often the page has it (saturating). Every word counts; which pages are
+    scored is cut by exact bounds alone, see ``_candidates``. Equal scores are ordered by url.
     """
     if limit > MAX_HITS:
         raise ValueError(f"WSP-01: a query may ask for at most {MAX_HITS} hits")
-    asked = stage(  # read twice; also keeps the list building out of the join below
-        queries.select("prompt_id", "query_no", F.explode(raw_words(F.col("query"))).alias("word"))
-        .filter("word <> ''")
-        .groupBy("prompt_id", "word")
-        .agg(F.sort_array(F.collect_set("query_no")).alias("query_nos")),
-        "asked",
-    )
-    postings = stage(_postings(pages, asked), "postings")  # read twice
+    asked = stage(
+        queries.select(*_QUERY, F.explode(raw_words(F.col("query"))).alias("word")).filter("word <> ''").distinct(), "asked"
+    )
+    postings = stage(_postings(pages, asked.select("word").distinct()), "postings")
     total, seen = pages.agg(F.count("*")).scalar(), F.col("seen")
-    weights = (
+    words = (
         postings.groupBy("word")
-        .agg(F.count("*").alias("seen"))
-        .select("word", F.log((total - seen + 0.5) / (seen + 0.5)).alias("weight"))
-        .filter("weight > 0")
-    )
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + _TF_SATURATION)
-    shared = (
-        asked.join(weights, "word")
-        .join(postings, "word")
-        .groupBy("prompt_id", "url", "query_nos")
-        .agg(F.sum(part).alias("part"), F.count("*").alias("words"))
-    )
-    scored = (
-        shared.select("prompt_id", "url", F.explode("query_nos").alias("query_no"), "part", "words")
-        .groupBy("prompt_id", "query_no", "url")
-        .agg(F.round(F.sum("part"), 6).alias("score"), F.sum("words").alias("matched"))
-    )
-    best = Window.partitionBy("prompt_id", "query_no").orderBy(F.desc("score"), "url")
-    return scored.withColumn("position", F.row_number().over(best).cast("long")).filter(F.col("position") <= limit)
+        .agg(F.count("*").alias("seen"), F.max("tf").alias("most"))
+        .select("word", F.log(1 + (total - seen + 0.5) / (seen + 0.5)).alias("weight"), "most")
+    )
+    terms = stage(asked.join(words, "word"), "terms")
+    candidates = stage(_candidates(terms, postings, limit), "candidates")
+    return _best(_scores(candidates, terms, postings), limit)
 
 
 def search_codes(queries: DataFrame, hits: DataFrame) -> DataFrame:

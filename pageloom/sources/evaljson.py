@@ -8,26 +8,16 @@ from pyspark.sql import functions as F
 from pageloom.schemas import EVAL_MAP
 
 
-# records per JSON object
-PER_SHARD = 100
+# hex digits of a key's digest that name its shard: 256 objects, whatever the number of records
+SHARD_DIGITS = 2
 
 
-def shard_digits(records: int, per_shard: int = PER_SHARD) -> int:
-    """Hex digits that split so many records into objects of about ``per_shard`` or fewer."""
-    digits = 0
-    while records > per_shard * 16**digits:
-        digits += 1
-    return digits
-
-
-def eval_json(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
+def eval_json(records: DataFrame, digits: int = SHARD_DIGITS) -> DataFrame:
     """Rows (key, image, text) to JSON objects (shard, json), keys sorted.
 
-    A shard is named by the leading hex digits of the key's digest, as many as the number of records asks
-    for: a small run gives a single object, and no object grows with the table. Keys are unique, so
-    shards are of like size.
+    A shard is named by the leading ``digits`` hex digits of the key's digest: 0 for one object, 2 for up to 256, 4
+    for up to 65,536. The layout follows the parameter alone. Keys are unique, so shards are of like size.
     """
-    digits = shard_digits(records.count(), per_shard)
     shard = F.substring(F.md5("key"), 1, digits) if digits else F.lit("")
     entry = F.struct("key", F.struct("image", "text").alias("value"))
     return (
@@ -37,9 +27,9 @@ def eval_json(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
     )
 
 
-def write_eval_json(records: DataFrame, path: str, per_shard: int = PER_SHARD) -> None:
+def write_eval_json(records: DataFrame, path: str, digits: int = SHARD_DIGITS) -> None:
     """One JSON object per line, spread over files by shard."""
-    eval_json(records, per_shard).select("json").write.text(path)
+    eval_json(records, digits).select("json").write.text(path)
 
 
 def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:

@@ -142,6 +142,8 @@ def test_parts(spark):
     got = merge.merge_transcripts(spark.createDataFrame(pages, "context_id STRING, object_name STRING, text STRING"))
     rows = sorted(got.collect())
     assert [(r["context_id"], r["part"], r["pages"]) for r in rows] == [("hot", 0, 100), ("hot", 1, 100), ("hot", 2, 30), ("small", 0, 2)]
+    bare = spark.createDataFrame([("c", f"p{k:04d}", "x") for k in range(25)], "context_id STRING, object_name STRING, text STRING")
+    assert sorted(r["pages"] for r in merge.merge_transcripts(bare, 10).collect()) == [5, 10, 10]
     assert "".join(r["text"] for r in rows[:3]) == "".join(f"<{k}>" for k in range(230)) and rows[3]["text"] == "CB"
 
 

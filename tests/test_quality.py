@@ -74,10 +74,11 @@ def test_eval_json_files(spark, tmp_path):
     records = spark.createDataFrame(
         [("a/1", "p.jpg", 'two\nlines "q" é'), ("b", None, "x")], "key STRING, image STRING, text STRING"
     )
-    assert [evaljson.shard_digits(n, 100) for n in (0, 100, 101, 1600, 1601)] == [0, 0, 1, 1, 2]
-    for per_shard in (1, 100):
-        path = str(tmp_path / f"s{per_shard}")
-        evaljson.write_eval_json(records, path, per_shard)
+    assert evaljson.eval_json(records, 0).count() == 1
+    assert {len(row["shard"]) for row in evaljson.eval_json(records).collect()} == {evaljson.SHARD_DIGITS}
+    for digits in (0, 1, 4):
+        path = str(tmp_path / f"s{digits}")
+        evaljson.write_eval_json(records, path, digits)
         assert sorted(evaljson.read_eval_json(spark, path).collect()) == sorted(records.collect())
     (tmp_path / "pretty").mkdir()
     (tmp_path / "pretty" / "gold.json").write_text('{\n  "k": {\n    "image": "i.jpg",\n    "text": "t"\n  }\n}')

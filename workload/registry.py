@@ -273,8 +273,9 @@ def _(i):
     return objects.read_page_text(i.spark, path).select("key", "text")
 
 
-MERGED = f"""merged AS (SELECT context_id, floor(cast(split_part(object_name, '_', 1) AS bigint) / 100)::bigint AS part, count(*) AS pages,
- string_agg({STORED}, '' ORDER BY object_name) AS text FROM pages_text GROUP BY 1, 2)"""
+MERGED = f"""placed AS (SELECT *, (row_number() OVER (PARTITION BY context_id ORDER BY object_name) - 1) // 100 AS part
+ FROM pages_text WHERE text IS NOT NULL),
+ merged AS (SELECT context_id, part, count(*) AS pages, string_agg({STORED}, '' ORDER BY object_name) AS text FROM placed GROUP BY 1, 2)"""
 
 
 @query("write_transcripts", f"WITH {MERGED} SELECT context_id, part, text, left(md5(context_id), 2) AS bucket FROM merged")
@@ -293,7 +294,7 @@ def _(i):
     return evaljson.read_eval_json(i.spark, path)
 
 
-@query("write_eval_json", """SELECT left(md5(key), (SELECT greatest(0, ceil(ln(count(*) / 100.0) / ln(16)))::bigint FROM eval_gold)) AS shard,
+@query("write_eval_json", """SELECT left(md5(key), 2) AS shard,
  '{' || string_agg(to_json(key)::varchar || ':' || to_json({'image': image, 'text': text})::varchar, ',' ORDER BY key) || '}' AS json
 FROM eval_gold GROUP BY 1""")
 def _(i):
@@ -746,9 +747,9 @@ HITS = f"""{ASKED}, {PLAIN},
  asked AS (SELECT DISTINCT prompt_id, query_no, unnest({_words_sql('query')}) AS word FROM q),
  post AS (SELECT url, word, count(*) AS tf FROM (SELECT url, unnest({_words_sql('text')}) AS word FROM plain) GROUP BY 1, 2),
  df AS (SELECT word, count(*) AS seen FROM post GROUP BY 1),
- wt AS (SELECT word, ln(((SELECT count(*) FROM pages) - seen + 0.5::double) / (seen + 0.5::double)) AS weight FROM df),
+ wt AS (SELECT word, ln(1 + ((SELECT count(*) FROM pages) - seen + 0.5::double) / (seen + 0.5::double)) AS weight FROM df),
  sc AS (SELECT prompt_id, query_no, url, round(sum(weight * tf / (tf + 1.2::double)), 6) AS score, count(*) AS matched
-  FROM asked JOIN wt USING (word) JOIN post USING (word) WHERE weight > 0 GROUP BY 1, 2, 3),
+  FROM asked JOIN wt USING (word) JOIN post USING (word) GROUP BY 1, 2, 3),
  hits AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, query_no ORDER BY score DESC, url) AS position FROM sc
   QUALIFY position <= 8)"""
 
@@ -939,23 +940,33 @@ def _(i):
     return quality.cer(_pairs(i).filter("pairing = 'paired'")).select("key", "gold_chars", "distance", "cer", "accuracy")
 
 
-@query("punctuation_scores")
+# what the stand-in transcriber adds and drops: a comma per ', ', a full stop per '. An'
+PUNCTUATION = rf"""marks AS (SELECT key, length(gold) - length(regexp_replace(gold, '[!-/:-@\[-`{{-~—]', '', 'g')) AS marks,
+  (length(gold) - length(replace(gold, ', ', ''))) // 2 AS added, (length(gold) - length(replace(gold, '. An', ''))) // 4 AS missing
+  FROM pair WHERE gold IS NOT NULL AND output IS NOT NULL),
+ s AS (SELECT key, marks - missing AS kept, missing, added, (marks - missing) / nullif(marks, 0) * 100 AS recall,
+  (marks - missing) / nullif(marks - missing + added, 0) * 100 AS precision FROM marks)"""
+GATE = """(1 - distance / gold_chars) * 100 AS accuracy, recall, precision,
+ coalesce((1 - distance / gold_chars) * 100 >= 99, false) AS accuracy_ok, coalesce(recall > 95, false) AS recall_ok,
+ coalesce(precision > 95, false) AS precision_ok, accuracy_ok AND recall_ok AND precision_ok AS passed"""
+
+
+@query("punctuation_scores", f"WITH {PAIRS}, {PUNCTUATION} SELECT * FROM s")
 def _(i):
     pairs = _pairs(i).filter("pairing = 'paired'")
     return quality.punctuation_scores(pairs).select("key", "kept", "missing", "added", "recall", "precision")
 
 
-@query("quality_gate", f"""WITH {SCORED} SELECT key, round((1 - distance / gold_chars) * 100, 6) AS accuracy,
- coalesce((1 - distance / gold_chars) * 100 >= 99, false) AS accuracy_ok FROM d""")
+@query("quality_gate", f"WITH {SCORED}, {PUNCTUATION} SELECT key, {GATE} FROM d JOIN s USING (key)")
 def _(i):
-    scored = quality.cer(_pairs(i).filter("pairing = 'paired'"))
-    none = F.lit(None).cast("double")
-    return quality.quality_gate(scored.withColumn("recall", none).withColumn("precision", none)).select(
-        "key", "accuracy", "accuracy_ok"
+    scored = quality.punctuation_scores(quality.cer(_pairs(i).filter("pairing = 'paired'")))
+    return quality.quality_gate(scored).select(
+        "key", "accuracy", "recall", "precision", "accuracy_ok", "recall_ok", "precision_ok", "passed"
     )
 
 
-@query("evaluate")
+@query("evaluate", f"""WITH {SCORED}, {PUNCTUATION} SELECT key, gold_chars, distance, distance / gold_chars AS cer, kept, missing, added, {GATE}
+FROM d JOIN s USING (key)""")
 def _(i):
     return evaluate(i.eval_gold, i.eval_output)
 

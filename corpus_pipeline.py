@@ -42,7 +42,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the lines that five or more sources share; every document stays and ``n_chars`` follows its text."""
     opened(spark)
     columns = docs.columns
-    cleaned = line_dedup(docs)
+    cleaned = line_dedup(docs, by_evidence=True)
     if "n_chars" in columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, length).otherwise(F.col("n_chars")))

@@ -7,6 +7,8 @@ get an exact distinct count, over the rows of those lines. DataFrame functions o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,66 @@ def boilerplate_lines(
     return stage(sketched.filter(~near).select("line", F.col("estimate").alias("sites")).unionByName(exact), "boilerplate")
 
 
+def _judged(docs: DataFrame, lines: DataFrame, text_column: str, site_column: str, min_sites: int, min_chars: int, max_percent: int) -> DataFrame:
+    """(_key, _bad): per text, told by its hash, the lines to take out when copies are told by evidence."""
+    text = F.col(text_column).cast("string")
+    listed = F.transform(
+        F.split(text, "\n"),
+        lambda x, i: F.struct(
+            i.alias("at"), _line_hash(x).alias("line"), F.char_length(x).alias("chars"), F.char_length(F.btrim(x, F.lit(_SPACE))).alias("n")
+        ),
+    )
+    found = docs.select(
+        F.xxhash64(text).alias("_key"),
+        F.char_length(F.regexp_replace(text, "\n", "")).alias("total"),
+        F.explode(F.filter(listed, lambda x: x["n"] >= min_chars)).alias("x"),
+    ).select("_key", "total", "x", F.col("x.line").alias("_line"))
+    # one row per text: its shared lines in order, and how many rows have it
+    texts = (
+        found.join(lines, "_line", "left_semi")
+        .groupBy("_key")
+        .agg(F.array_sort(F.collect_set("x")).alias("x"), F.max("total").alias("total"), F.count("*").alias("places"))
+        .withColumns({"rows": F.expr("places DIV size(x)"), "chars": F.expr("aggregate(x, 0L, (a, v) -> a + v.chars)")})
+        .select("_key", F.col("x.line").alias("_all"), "rows", (F.col("chars") * 100 > F.col("total") * max_percent).alias("mostly"))
+    )
+    texts = stage(texts, "shared")
+    doubtful = texts.filter("mostly")
+
+    # lines that are spread over enough sites even by the texts which they are a minor part of
+    asked = doubtful.select(F.explode("_all").alias("_line")).distinct()
+    spread = (
+        docs.select(F.xxhash64(text).alias("_key"), F.col(site_column).cast("string").alias("site"), F.explode(_candidates(text, min_chars)).alias("_line"))
+        .filter("site IS NOT NULL")
+        .join(asked, "_line", "left_semi")
+        .join(doubtful.select("_key"), "_key", "left_anti")
+        .groupBy("_line")
+        .agg(F.count_distinct("site").alias("sites"))
+        .filter(F.col("sites") >= min_sites)
+        .select("_line", F.lit(True).alias("_own"))
+    )
+    each = doubtful.select("_key", "rows", F.posexplode("_all").alias("at", "_line")).join(stage(spread, "spread"), "_line", "left")
+    each = each.groupBy("_key", "rows").agg(F.array_sort(F.collect_list(F.struct("at", "_line", "_own"))).alias("x"))
+    each = stage(
+        each.select(
+            "_key",
+            "rows",
+            F.expr("transform(filter(x, v -> v._own), v -> v._line)").alias("_free"),
+            F.expr("transform(filter(x, v -> v._own IS NULL), v -> v._line)").alias("_tied"),
+        ),
+        "doubtful",
+    )
+    pairs = each.select(
+        "_key",
+        F.explode(F.expr("array_distinct(transform(slice(_tied, 2, size(_tied)), (v, i) -> xxhash64(_tied[i], v)))")).alias("pair"),
+    )
+    again = pairs.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = each.filter("rows > 1").select("_key").unionAll(pairs.join(again, "pair", "left_semi").select("_key")).distinct()
+    kept = each.join(copies, "_key").select("_key", "_free")
+    # of copies only what is spread without them
+    judged = texts.join(kept, "_key", "left").select("_key", F.coalesce("_free", "_all").alias("_bad"))
+    return judged.filter(F.size("_bad") > 0)
+
+
 def line_dedup(
     docs: DataFrame,
     text_column: str = "text",
@@ -63,6 +125,7 @@ def line_dedup(
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
     max_percent: int = MAX_PERCENT,
+    by_evidence: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` with the boilerplate lines taken out of the text, and ``removed_lines``.
 
@@ -73,9 +136,18 @@ def line_dedup(
     empty one stays empty. A null site counts as no site. Repeated rows are all kept; a line repeated inside
     a document goes at each place. An empty table gives no rows. A column that is already named
     ``removed_lines`` is replaced; other columns may have any names.
+
+    With ``by_evidence`` the share alone exempts nothing. Such a document stays a copy if another row has the same text,
+    or another such document the same two shared lines one after the other (own and freely spread lines between them
+    aside); it then still loses the lines that are on ``min_sites`` sites by documents they are a minor part of. All others lose every shared line.
     """
     text = F.col(text_column).cast("string")
     lines = boilerplate_lines(docs, text_column, site_column, min_sites, min_chars).select(F.col("line").alias("_line"))
+    if by_evidence:
+        joined = docs.withColumn("_key", F.xxhash64(text)).join(
+            _judged(docs, lines, text_column, site_column, min_sites, min_chars, max_percent), "_key", "left"
+        )
+        return _taken_out(joined, text_column, lambda bad: F.col("_bad").isNotNull())
     hits = (
         docs.select(F.xxhash64(text).alias("_key"), F.explode(_candidates(text, min_chars)).alias("_line"))
         .join(lines, "_line", "left_semi")
@@ -83,14 +155,20 @@ def line_dedup(
         .agg(F.collect_set("_line").alias("_bad"))
     )
     joined = docs.withColumn("_key", F.xxhash64(text)).join(hits, "_key", "left")
+    without_feeds = F.char_length(F.regexp_replace(text, "\n", ""))
+    minor = lambda bad: F.char_length(F.array_join(bad, "")) * 100 <= without_feeds * max_percent
+    return _taken_out(joined, text_column, lambda bad: F.col("_bad").isNotNull() & minor(bad))
+
+
+def _taken_out(joined: DataFrame, text_column: str, touched: Callable[[Column], Column]) -> DataFrame:
+    """The texts without the lines in ``_bad`` where ``touched`` of the removed lines says so."""
+    text = F.col(text_column).cast("string")
     parts = F.split(text, "\n")
     is_bad = lambda x: F.array_contains("_bad", _line_hash(x))
     bad = F.filter(parts, is_bad)
-    minor = F.char_length(F.array_join(bad, "")) * 100 <= F.char_length(F.regexp_replace(text, "\n", "")) * max_percent
-    touched = F.col("_bad").isNotNull() & minor
     return joined.withColumns(
         {
-            "removed_lines": F.when(touched, F.size(bad)).otherwise(0),
-            text_column: F.when(touched, F.array_join(F.filter(parts, lambda x: ~is_bad(x)), "\n")).otherwise(text),
+            "removed_lines": F.when(touched(bad), F.size(bad)).otherwise(0),
+            text_column: F.when(touched(bad), F.array_join(F.filter(parts, lambda x: ~is_bad(x)), "\n")).otherwise(text),
         }
     ).drop("_key", "_bad")

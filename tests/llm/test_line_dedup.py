@@ -47,3 +47,21 @@ def test_repeated_rows_and_clashing_columns_stay(spark):
     out = line_dedup(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "source", "removed_lines", "line"] and out.count() == 10
     assert out.filter((F.col("removed_lines") == 1) & (F.col("line") == "kept")).count() == 10
+
+
+def test_copies_by_evidence(spark):
+    pages = [(i, f"{OWN.format(i)}\n{NOTE}", f"s{i}", None, None) for i in range(5)]
+    short = [(10, f"Own words.\n{NOTE}", "s1", None, None), (11, f"Other own words.\n{NOTE}", "s2", None, None)]
+    exact = [(20 + i, f"{OWN.format('x')}\n{OWN.format('y')}\n{NOTE}", f"s{i}", None, None) for i in range(6)]
+    near = [(30 + i, "\n".join(f"edit {i} of it" if k == i else OWN.format(f"n{k}") for k in range(7)), f"s{i}", None, None) for i in range(7)]
+    passage = [(40 + i, f"{OWN.format('p')}\nA page of {i}.", f"s{i}", None, None) for i in range(5)]
+    rows = pages + short + exact + near + passage
+    out = cleaned(spark, rows, by_evidence=True)
+    assert all(out[i] == (OWN.format(i), 1) for i in range(5))
+    assert out[10] == ("Own words.", 1) and out[11] == ("Other own words.", 1)
+    assert all(out[20 + i] == (f"{OWN.format('x')}\n{OWN.format('y')}", 1) for i in range(6))
+    assert all(out[30 + i] == (near[i][1], 0) for i in range(7))
+    assert all(out[40 + i] == (f"A page of {i}.", 1) for i in range(5))
+    odd = [(200, None, "s1", None, None), (201, "", None, None, None), (202, "\n" * 3, "s", None, None)]
+    assert cleaned(spark, odd, by_evidence=True) == {200: (None, 0), 201: ("", 0), 202: ("\n" * 3, 0)}
+    assert cleaned(spark, [], by_evidence=True) == {}

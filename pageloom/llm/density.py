@@ -3,8 +3,8 @@
 A node's density is its characters per tag, damped by how much of it is link text. The subtree whose children's
 densities have the largest sum is the main part; the lowest density on the way from the body to it is the
 threshold that other parts must reach to belong to the text as well. What cannot be main text by its element or its
-declared role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) is left
-out of the tree beforehand.
+declared role (menus, headers, footers, sidebars, notices, adverts, forms, scripts) is left out of the tree beforehand. A class or
+id that names such a part, or reader comments, only counts against parts that do not hold the page's text (``_judge``).
 """
 
 from __future__ import annotations
@@ -44,13 +44,15 @@ DROPPED = frozenset(
     "dialog title xmp noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|comments?|commentlist|respond|disqus|"
+_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|comments?|commentlist|respond|disqus|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|signup|login|sidebars?|side|widgets?|"
     r"navs?|navbar|navigation|menus?|breadcrumbs?|pager|pagination|footers?|headers?|masthead|toolbars?|social|share|sharing|related|"
-    r"recommended|recommendations|skip|search|forms?|toc)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+    r"recommended|recommendations|skip|search|forms?|toc)"
 )
+MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-]|\d)", re.IGNORECASE)
+# a name made of such words alone: "comments", but not "comments-open"
+WHOLE = re.compile(rf"(?:^|\s){_WORDS}\d*(?:[_-]+(?:{_WORDS}\d*|\d+))*(?=\s|$)", re.IGNORECASE)
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
@@ -58,13 +60,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density")
+    __slots__ = ("name", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "mark", "plain")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
+        # 1: a word of class or id is in MARKS, 2: a whole name is
+        self.mark = self.plain = 0
 
 
 def _unwanted(name: str, attributes: str, parent: Node) -> bool:
@@ -72,17 +76,26 @@ def _unwanted(name: str, attributes: str, parent: Node) -> bool:
         # the heading part of the article itself is text
         return not (name == "header" and _within(parent, "article"))
     if attributes and name not in ("html", "body", "main", "article"):
+        # marks of class and id are judged later, with the text
         for found in _ATTRIBUTE.finditer(attributes):
             key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
             if key == "role" and value.strip().lower() in ROLES:
                 return True
-            if key in ("class", "id") and MARKS.search(html.unescape(value)):
-                return True
     return False
 
 
+def _mark(name: str, attributes: str) -> int:
+    if not attributes or name in ("html", "body", "main"):
+        return 0
+    values = [html.unescape(x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(attributes) if x[1].lower() in ("class", "id")]
+    if any(WHOLE.search(x) for x in values):
+        return 2
+    # an article is one unless a whole name says what else it is
+    return int(name != "article" and any(MARKS.search(x) for x in values))
+
+
 def _within(node: Node | None, name: str) -> bool:
     while node is not None:
         if node.name == name:
@@ -133,6 +146,7 @@ def parse(source: str) -> Node:
             continue
         node = _implied(node, name)
         child = Node(name, node, node.dropped or _unwanted(name, attributes, node))
+        child.mark = 0 if child.dropped else _mark(name, attributes)
         node.children.append(child)
         if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW and _within(node, "svg"):
             continue
@@ -178,6 +192,57 @@ def _closed(node: Node, name: str) -> Node:
     return walk.parent if walk.parent is not None else node
 
 
+def _judge(root: Node) -> None:
+    """Drops the marked parts, except those that hold the page's text whatever their name says.
+
+    A part that holds an article or main stays. Inside one, a part stays if it has most of its text outside of links and
+    its name also has other words, or if there is no other text. On pages without article or main, a part
+    with most of the page's text outside of links stays.
+    """
+    order, waiting, marked = [], [(root, False, None)], False
+    while waiting:
+        node, linked, named = waiting.pop()
+        linked = linked or node.name == "a"
+        order.append((node, linked, named))
+        marked = marked or node.mark > 0
+        if node.mark == 2:
+            named = node
+        waiting += [(x, linked, named) for x in node.children if isinstance(x, Node) and not x.dropped]
+    if not marked:
+        return
+    for node, linked, _ in reversed(order):
+        for x in node.children:
+            if isinstance(x, str):
+                node.plain += 0 if linked else len(_SPACE.sub(" ", x).strip())
+            elif not x.dropped:
+                node.plain += x.plain
+    most = lambda node, whole: node.plain * 2 > whole.plain
+    articles = [(node, named) for node, _, named in order if node.name in ("article", "main") and not node.mark]
+    # reader comments hold articles too: one under a whole name (the innermost is the smallest) counts if there is no other and it is most of the page
+    told = [node for node, named in articles if named is None] or [node for node, named in articles if most(named, root)]
+    holding: set[int] = set()
+    for node in told:
+        walk = node.parent
+        while walk is not None and id(walk) not in holding:
+            holding.add(id(walk))
+            walk = walk.parent
+    known = {id(x) for x in told}
+    waiting = [(root, None)]
+    while waiting:
+        node, scope = waiting.pop()
+        if node.mark and id(node) not in holding:
+            if scope is not None:
+                stays = 0 < node.plain == scope.plain or node.mark == 1 and most(node, scope)
+            else:
+                stays = not told and most(node, root)
+            if not stays:
+                node.dropped = True
+                continue
+        if id(node) in known:
+            scope = node
+        waiting += [(x, scope) for x in node.children if isinstance(x, Node) and not x.dropped]
+
+
 def _measured(root: Node) -> list[Node]:
     """Characters, tags and densities of all kept nodes; returned children first."""
     order, waiting = [], [(root, False)]
@@ -267,6 +332,7 @@ def _blocks(node: Node) -> list[str]:
 def main_text(source: str | None) -> str:
     """Blocks of the main part joined by line feeds; empty for null, empty or text-free pages."""
     root = parse(source or "")
+    _judge(root)
     return "\n".join(block for part in _selected(root) for block in _blocks(part))
 
 

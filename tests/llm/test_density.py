@@ -47,3 +47,21 @@ def test_odd_tables(spark):
     out = extract_pages(pages)
     assert out.columns == ["page_id", "html", "text"] and sorted(r.text for r in out.collect()) == ["", "", TEXT]
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout no-sidebar", "post comments-open", "search-results", "side"])
+def test_a_name_alone_drops_no_page(name):
+    part = f'<div class="sidebar"><p>{PARAGRAPHS[0]}</p></div>'
+    assert main_text(f'<div class="{name}"><article>{BODY}</article>{part}</div>') == TEXT
+    assert main_text(f'<div class="{name}"><div>{BODY}</div>{part}</div><p>(c)</p>') == TEXT
+    assert main_text(f'<article><div class="{name}">{BODY}</div></article>') == TEXT
+
+
+@pytest.mark.parametrize("comment", ['class="comment even"', 'id="comment-12" class="comment-body"'])
+def test_comments_in_articles(comment):
+    said = f"<article {comment}><p>{PARAGRAPHS[0]}</p></article>"
+    assert main_text(f"<article>{BODY}{said * 4}</article>") == TEXT
+    assert main_text(f"<main>{BODY}<div>{said * 9}</div></main>") == TEXT
+    assert main_text(f"<article>{BODY}</article>{said * 9}") == TEXT
+    assert main_text(f"<div>{BODY}</div>{said}{said}") == TEXT
+    assert main_text(f'<article>{BODY}</article><div id="comments"><article class="comment-body"><p>{TEXT}</p></article></div>') == TEXT

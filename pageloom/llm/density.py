@@ -290,17 +290,63 @@ def _selected(root: Node) -> list[Node]:
     if told:
         return [told[-1]]
     threshold = min(n.density for n in path)
-    chosen, waiting = [], [root]
+    on_path = {id(n) for n in path}
+    chosen, waiting = [], [(root, False)]
     while waiting:
-        node = waiting.pop()
-        inside = node in path
-        if node is best or not inside and node.density >= threshold:
+        node, run = waiting.pop()
+        if run:
+            chosen += _own(node, threshold)
+        elif node is best or id(node) not in on_path and node.density >= threshold:
             chosen.append(node)
-        elif inside:
-            waiting += [x for x in reversed(node.children) if isinstance(x, Node) and not x.dropped]
+        elif id(node) in on_path:
+            waiting += reversed(_parts(node, on_path))
     return chosen
 
 
+def _parts(node: Node, on_path: set[int]) -> list[tuple[Node, bool]]:
+    """Children in page order as (part, whether it is a run of text and inline elements that stands directly in the node)."""
+    parts: list[tuple[Node, bool]] = []
+    run: list[Node | str] = []
+
+    def flush() -> None:
+        if any(isinstance(x, Node) or x.strip() for x in run):
+            held = Node("div", node, False)
+            held.children = list(run)
+            parts.append((held, True))
+        run.clear()
+
+    for x in node.children:
+        if isinstance(x, str) or not x.dropped and id(x) not in on_path and _inline(x):
+            run.append(x)
+        elif not x.dropped:
+            flush()
+            parts.append((x, False))
+    flush()
+    return parts
+
+
+def _inline(node: Node) -> bool:
+    waiting = [node]
+    while waiting:
+        x = waiting.pop()
+        if x.name in BLOCK:
+            return False
+        waiting += [y for y in x.children if isinstance(y, Node) and not y.dropped]
+    return True
+
+
+def _own(run: Node, threshold: float) -> list[Node]:
+    """What of a run is text: all of it, or without words of its own or mostly links only elements that are dense enough, and the words."""
+    own = [x for x in run.children if isinstance(x, str)]
+    elements = [x for x in run.children if isinstance(x, Node)]
+    words = any(c.isalnum() for x in own for c in x)
+    plain = sum(len(x.strip()) for x in own) + sum(x.chars - x.link_chars for x in elements)
+    if words and plain >= sum(x.link_chars for x in elements):
+        return [run]
+    run.children = [x for x in run.children if (words if isinstance(x, str) else x.name == "br" or x.density >= threshold)]
+    return [run]
+
+
 def _blocks(node: Node) -> list[str]:
     out: list[str] = []
     run: list[str] = []

@@ -65,3 +65,10 @@ def test_comments_in_articles(comment):
     assert main_text(f"<article>{BODY}</article>{said * 9}") == TEXT
     assert main_text(f"<div>{BODY}</div>{said}{said}") == TEXT
     assert main_text(f'<article>{BODY}</article><div id="comments"><article class="comment-body"><p>{TEXT}</p></article></div>') == TEXT
+
+
+def test_bare_text_beside_the_best_part():
+    inner = f"<div>{BODY}</div>"
+    assert main_text(f"<div>Lead<br>text {inner}</div>") == f"Lead text\n{TEXT}"
+    assert main_text(f"<body>Top<div>Lead <b>in</b> bold{inner}After</div>End") == f"Top\nLead in bold\n{TEXT}\nAfter\nEnd"
+    assert main_text(f"<div><a href=x>Home</a> | <a href=y>About this</a>{inner}</div>") == TEXT

@@ -287,9 +287,13 @@ def _selected(root: Node) -> list[Node]:
         walk = walk.parent
     # a page that says what its article is: the outermost such element around the best part
     told = [n for n in path if n.name in ("article", "main")]
+    threshold = min(n.density for n in path)
+    if told and told[-1].name == "article" and told[-1].parent is not None:
+        # articles side by side are parts like any other
+        beside = [x for x in told[-1].parent.children if isinstance(x, Node) and x.name == "article" and not x.dropped]
+        return [x for x in beside if x is told[-1] or x.density >= threshold]
     if told:
         return [told[-1]]
-    threshold = min(n.density for n in path)
     on_path = {id(n) for n in path}
     chosen, waiting = [], [(root, False)]
     while waiting:

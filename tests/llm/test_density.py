@@ -72,3 +72,8 @@ def test_bare_text_beside_the_best_part():
     assert main_text(f"<div>Lead<br>text {inner}</div>") == f"Lead text\n{TEXT}"
     assert main_text(f"<body>Top<div>Lead <b>in</b> bold{inner}After</div>End") == f"Top\nLead in bold\n{TEXT}\nAfter\nEnd"
     assert main_text(f"<div><a href=x>Home</a> | <a href=y>About this</a>{inner}</div>") == TEXT
+
+
+def test_articles_side_by_side():
+    teaser = '<article><a href="x">Read more of this</a></article>'
+    assert main_text(f"<div><article>{BODY}</article><article>{BODY}{BODY}</article>{teaser}</div>") == f"{TEXT}\n{TEXT}\n{TEXT}"

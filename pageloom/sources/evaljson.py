@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.ordered import position
 from pageloom.schemas import EVAL_MAP
 
 
 # hex digits of a key's digest that name its shard: 256 objects, whatever the number of records
 SHARD_DIGITS = 2
+RECORDS_PER_OBJECT = 1000
 
 
-def eval_json(records: DataFrame, digits: int = SHARD_DIGITS) -> DataFrame:
+def eval_json(records: DataFrame, digits: int = SHARD_DIGITS, per_object: int = RECORDS_PER_OBJECT) -> DataFrame:
     """Rows (key, image, text) to JSON objects (shard, json), keys sorted.
 
     A shard is named by the leading ``digits`` hex digits of the key's digest: 0 for one object, 2 for up to 256, 4
-    for up to 65,536. The layout follows the parameter alone. Keys are unique, so shards are of like size.
+    for up to 65,536. The layout follows the parameter alone. Keys are unique, so shards are of like size. A shard of more than
+    ``per_object`` records has further rows, each an object with the next keys in order, so nothing is cut.
     """
     shard = F.substring(F.md5("key"), 1, digits) if digits else F.lit("")
     entry = F.struct("key", F.struct("image", "text").alias("value"))
+    placed = position(records.select(shard.alias("shard"), "key", "image", "text"), ["shard"], [F.col("key")], "place")
     return (
-        records.groupBy(shard.alias("shard"))
+        placed.groupBy("shard", F.expr(f"(place - 1) DIV {per_object}").alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         .select("shard", F.to_json(F.map_from_entries("entries")).alias("json"))
     )
 
 
-def write_eval_json(records: DataFrame, path: str, digits: int = SHARD_DIGITS) -> None:
+def write_eval_json(records: DataFrame, path: str, digits: int = SHARD_DIGITS, per_object: int = RECORDS_PER_OBJECT) -> None:
     """One JSON object per line, spread over files by shard."""
-    eval_json(records, digits).select("json").write.text(path)
+    eval_json(records, digits, per_object).select("json").write.text(path)
 
 
 def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:

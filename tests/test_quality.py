@@ -1,5 +1,7 @@
 """Scores of short texts, counted by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,12 @@ def test_eval_json_files(spark, tmp_path):
     (tmp_path / "pretty").mkdir()
     (tmp_path / "pretty" / "gold.json").write_text('{\n  "k": {\n    "image": "i.jpg",\n    "text": "t"\n  }\n}')
     assert evaljson.read_eval_json(spark, str(tmp_path / "pretty"), whole_file=True).collect() == [("k", "i.jpg", "t")]
+
+
+def test_eval_json_objects_are_bounded(spark, tmp_path):
+    records = spark.createDataFrame([(f"k{i:03}", None, str(i)) for i in range(250)], "key STRING, image STRING, text STRING")
+    objects = [json.loads(row["json"]) for row in evaljson.eval_json(records, 0, 100).collect()]
+    assert sorted(len(x) for x in objects) == [50, 100, 100]
+    assert sorted(key for x in objects for key in x) == [f"k{i:03}" for i in range(250)]
+    evaljson.write_eval_json(records, str(tmp_path / "bounded"), 0, 100)
+    assert sorted(evaljson.read_eval_json(spark, str(tmp_path / "bounded")).collect()) == sorted(records.collect())

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pageloom.llm.decontaminate import contaminated, question_and_answer
 from pageloom.llm.density import extract_pages
 from pageloom.llm.edit_counts import build_trees, edited_counts
+from pageloom.llm.fingerprints import compare_with_edits
 from pageloom.llm.hilbert import hilbert_shards
 from pageloom.llm.line_dedup import line_dedup
+from pageloom.llm.manifest import leaf_hash, lower_letters, manifest
 from pageloom.llm.ngram_join import ngram_join
 from pageloom.llm.packing import pack_documents
+from pageloom.llm.phrases import collocations
 from pageloom.llm.quality import CUT, fit_quality, score_quality
 from pageloom.llm.tables import opened, table
 from pageloom.llm.topk import top_inner_products
@@ -183,3 +186,112 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = stage(build_trees(table(spark, sf_dir, "documents"), tokenizer_path()), "trees")
     counted = edited_counts(trees.withColumn("edits", redactions(F.col("text"))), tokenizer_path())
     return counted.select("doc_id", "tokens_before", "tokens_after", "edits_applied", "reencoded_chars")
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrase_mining"] = r"""
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+ FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+ SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+ UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: concat_ws(' ', w[i], w[i + 1]))) FROM split
+ UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) FROM split),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+inside AS (
+ SELECT lang, phrase, max(a) AS longer
+ FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+ SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+ FROM cuts c
+ JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+ JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of an edit of each, and how alike they are."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a Merkle tree by source, every fifth by crc32 of its id checked with a tampered text."""
+    tampered = leaf_hash(*(lower_letters(F.col(x)) if x == "text" else F.col(x) for x in MANIFEST_FIELDS))
+    forged = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    return manifest(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, "source", "doc_id", forged)
+
+
+ORACLE["op13_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+ SELECT doc_id, source,
+  concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+   coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head,
+  text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+   lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))) AS crc
+ FROM documents),
+leaves AS (
+ SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(octet_length(encode(lowered)) || ':' || lowered, '-')) AS tampered, coalesce(crc % 5 = 0, false) AS hit FROM d),
+placed AS (
+ SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS total FROM leaves),
+tree AS (
+ SELECT source, 0 AS lvl, i, leaf AS h, total FROM placed
+ UNION ALL
+ SELECT source, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (total + 15) // 16 FROM tree WHERE total > 1 GROUP BY source, lvl, i // 16, total),
+subroots AS (
+ SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS total FROM tree WHERE total = 1),
+top AS (
+ SELECT 0 AS lvl, i, subroot AS h, total FROM subroots
+ UNION ALL
+ SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (total + 15) // 16 FROM top WHERE total > 1 GROUP BY lvl, i // 16, total),
+depth AS (SELECT source, max(lvl) AS depth FROM tree GROUP BY source),
+ways AS (
+ SELECT p.doc_id, p.source, p.leaf, p.i AS leaf_at, t.lvl,
+  coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i < (p.i >> (4 * t.lvl))), '') AS l,
+  coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i > (p.i >> (4 * t.lvl))), '') AS r
+ FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND t.total > 1 AND t.i // 16 = (p.i >> (4 * t.lvl)) // 16
+ GROUP BY ALL),
+top_ways AS (
+ SELECT s.source, t.lvl,
+  coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i < (s.i >> (4 * t.lvl))), '') AS l,
+  coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i > (s.i >> (4 * t.lvl))), '') AS r
+ FROM subroots s JOIN top t ON t.total > 1 AND t.i // 16 = (s.i >> (4 * t.lvl)) // 16
+ GROUP BY s.source, s.i, t.lvl),
+steps AS (
+ SELECT source, leaf_at, lvl, l, r FROM ways
+ UNION ALL
+ SELECT p.source, p.i, d.depth + t.lvl, t.l, t.r
+ FROM placed p JOIN depth d ON d.source IS NOT DISTINCT FROM p.source JOIN top_ways t ON t.source IS NOT DISTINCT FROM p.source),
+folds AS (
+ SELECT source, i AS leaf_at, 0::BIGINT AS lvl, CASE WHEN hit THEN tampered ELSE leaf END AS h FROM placed
+ UNION ALL
+ SELECT f.source, f.leaf_at, f.lvl + 1, sha256(s.l || f.h || s.r)
+ FROM folds f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.leaf_at = f.leaf_at AND s.lvl = f.lvl),
+ends AS (SELECT source, leaf_at, arg_max(h, lvl) AS folded_root FROM folds GROUP BY ALL),
+proofs AS (SELECT source, leaf_at, string_agg(l || r, '' ORDER BY lvl) AS siblings FROM steps GROUP BY ALL)
+SELECT p.doc_id, p.leaf, s.subroot, top.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN top ON top.total = 1
+JOIN ends e ON e.source IS NOT DISTINCT FROM p.source AND e.leaf_at = p.i
+LEFT JOIN proofs o ON o.source IS NOT DISTINCT FROM p.source AND o.leaf_at = p.i
+"""

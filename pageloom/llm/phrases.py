@@ -7,7 +7,7 @@ allow, until a pass has no failure. Every phrase is counted in exactly one pass,
 
 Tasks know the proposals as a bit map of fixed size (``filter_bytes``), the only thing broadcast. A bit map lets some phrases through
 that are not proposed, and more so the more it holds; they are counted for nothing and change no result. In a task the
-phrases of a run of texts are told apart by numbers, and leave it as text with their counts.
+phrases of a run of texts are told apart by 64-bit hashes, and leave it as text with their counts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MAX_WORDS, MIN_COUNT = 3, 10
 SAMPLE_RATE, LOWERING = 0.25, 0.8
 FILTER_BYTES = 16 << 20
 PROBES = 3
-RUN_WORDS = 2_000_000
+RUN_WORDS = 400_000
 HOT_SHARE = 1024  # a part that more than one in so many lookups asks for is broadcast: there are at most as many of them
 
 COUNTS = "lang string, size int, phrase string, f long"
@@ -100,11 +100,11 @@ def _runs(texts: pa.Array, seeds: np.ndarray, overlap: int, run_words: float = R
         yield data, _Run(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """These byte ranges, A-Z lower-cased, as strings."""
-    sizes = ends - starts
+def _words(data: np.ndarray, run: _Run) -> pa.Array:
+    """The words of a run as strings, A-Z lower-cased."""
+    sizes = run.ends - run.starts
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    flat = _LOWER[data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]]
+    flat = _LOWER[data[np.repeat(run.starts - offsets[:-1], sizes) + np.arange(offsets[-1])]]
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
@@ -123,75 +123,54 @@ def _known(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of one of each distinct key, and each key's number among the distinct ones."""
-    order = np.argsort(keys)
-    sorted_keys = keys[order]
-    new = np.ones(len(keys), bool)
-    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
-    numbers = np.empty(len(keys), np.int64)
-    numbers[order] = np.cumsum(new) - 1
-    return order[new], numbers
-
-
 def _counted(data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now, before, words_too: bool) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of a run whose inner phrases ``now`` knows, less those whose inner phrases ``before`` knew.
 
     ``now`` of None stands for a map that knows every phrase.
     """
 
-    def batch(size: int, own: np.ndarray, numbers: np.ndarray, last: np.ndarray, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``numbers`` tells the phrase of each occurrence, ``last`` the place of its last word; only ``chosen`` phrases."""
-        amounts = np.bincount(numbers[own], minlength=len(chosen))
-        kept = np.flatnonzero(chosen & (amounts > 0))
-        if not len(kept):
+    def batch(size: int, last: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of occurrences by the place of their last word and the hash of the phrase."""
+        own = run.own[last]
+        last, keys = last[own], keys[own]
+        if not len(keys):
             return
-        ends = last[kept]
-        joined = pc.binary_join_element_wise(*(words.take(pa.array(first_number[ends - k])) for k in range(size - 1, -1, -1)), _SPACE)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
+        begins = np.flatnonzero(new)
+        total = np.zeros(len(run.hashes), np.int64)
+        total[last[order[begins]]] = np.diff(begins, append=len(keys))
+        places = np.flatnonzero(total)  # in the order of the text, whose words are then read in order
+        amounts = total[places]
+        apart = [words.take(pa.array(places - k)) for k in range(size - 1, -1, -1)]
+        told = pc.binary_join_element_wise(*apart, _SPACE) if size else pa.array([""] * len(places))
         yield pa.record_batch(
-            [langs.take(pa.array(run.rows[ends])), pa.array(np.full(len(kept), size, np.int32)), joined.cast(pa.string()), pa.array(amounts[kept])],
-            schema=_ARROW,
+            [langs.take(pa.array(run.rows[places])), pa.array(np.full(len(places), size, np.int32)), told.cast(pa.string()), pa.array(amounts)], schema=_ARROW
         )
 
-    all_known = lambda hashes: np.ones(len(hashes), bool)
-    tell_now = all_known if now is None else lambda hashes: _known(now, hashes)
-    tell_before = lambda hashes: _known(before, hashes)
+    words = _words(data, run)
 
-    firsts, first_number = _numbered(run.hashes)
-    words = _texts(data, run.starts[firsts], run.ends[firsts])
     if words_too:
-        yield from batch(1, run.own, first_number, firsts, np.ones(len(firsts), bool))
-        rows, of_row = _numbered(langs.dictionary_encode().indices.to_numpy(zero_copy_only=False)[run.rows])
-        total = np.bincount(of_row[run.own], minlength=len(rows))
-        yield pa.record_batch(
-            [langs.take(pa.array(run.rows[rows])), pa.array(np.zeros(len(rows), np.int32)), pa.array([""] * len(rows)), pa.array(total)], schema=_ARROW
-        )
-    # per place of a last word: the phrase that ends there (-1: none), its hash, and whether the maps know it
-    number, hashes = first_number, run.hashes
-    known, old = tell_now(run.hashes[firsts])[number], tell_before(run.hashes[firsts])[number]
-    together = np.zeros(len(number), bool)
+        everywhere = np.arange(len(run.hashes))
+        yield from batch(1, everywhere, run.hashes)
+        yield from batch(0, everywhere, langs.dictionary_encode().indices.to_numpy(zero_copy_only=False)[run.rows])
+    # per place of a last word: the hash of the phrase that ends there, and whether the maps know it
+    hashes = run.hashes
+    known = np.ones(len(hashes), bool) if now is None else _known(now, hashes)
+    old = _known(before, hashes)
+    together = np.zeros(len(hashes), bool)
     together[1:] = run.pieces[1:] == run.pieces[:-1]
     for size in range(2, max_words + 1):
-        fits = np.zeros(len(number), bool)
+        fits = np.zeros(len(hashes), bool)
         fits[1:] = together[1:] & known[1:] & known[:-1]
-        if size < max_words:
-            at = np.flatnonzero(fits)
-            fresh = ~(old[at] & old[at - 1])
-        else:  # nothing is built on the longest phrases
-            fits[1:] &= ~(old[1:] & old[:-1])
-            at = np.flatnonzero(fits)
-            fresh = np.ones(len(at), bool)
-        if not len(at):
-            return
-        found, numbers = _numbered(number[at - 1] << 32 | first_number[at])
-        yield from batch(size, run.own[at], numbers, at[found], fresh[found])
-        if size < max_words:
-            own_hash = mix(hashes[at[found] - 1] * _CHAIN + run.hashes[at[found]])
-            longer, longer_hash = np.full(len(number), -1, np.int64), np.zeros(len(number), np.uint64)
-            longer[at], longer_hash[at] = numbers, own_hash[numbers]
-            knows, knew = np.zeros(len(number), bool), np.zeros(len(number), bool)
-            knows[at], knew[at] = tell_now(own_hash)[numbers], tell_before(own_hash)[numbers]
-            number, hashes, known, old = longer, longer_hash, knows, knew
+        at = np.flatnonzero(fits)
+        told = mix(hashes[at - 1] * _CHAIN + run.hashes[at])
+        fresh = ~(old[at] & old[at - 1])
+        yield from batch(size, at[fresh], told[fresh])
+        if size < max_words:  # nothing is built on the longest phrases
+            hashes, known, old = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+            hashes[at], known[at], old[at] = told, now is None or _known(now, told), _known(before, told)
 
 
 def _seeds(langs: pa.Array) -> np.ndarray:
@@ -223,7 +202,7 @@ def count_phrases(docs: DataFrame, max_words: int, now: Broadcast | None, before
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [None if x is None else np.frombuffer(x.value, np.uint64) for x in (now, before)]
-        for table in _together(batches, 16 << 20):
+        for table in _together(batches, 3 << 20):
             langs = _column(table, 0, pa.string())
             for data, run in _runs(_column(table, 1, pa.large_string()), _seeds(langs), max_words - 1):
                 yield from _counted(data, run, langs, max_words, *maps, words_too)

@@ -70,7 +70,7 @@ def test_against_counting_everything(spark):
 
 def test_longer_phrases(spark):
     opened(spark)
-    rows = prose(8, 120, 12)
+    rows = prose(8, 60, 12)
     assert mined(spark, rows, max_words=5) == brute(rows, longest=5)
 
 

@@ -27,13 +27,14 @@ from pageloom.session import stage
 
 MAX_WORDS, MIN_COUNT = 3, 10
 SAMPLE_RATE, LOWERING = 0.25, 0.8
-FILTER_BYTES = 16 << 20
+FILTER_BYTES = 8 << 20
 PROBES = 3
-RUN_WORDS = 400_000
+RUN_WORDS = 200_000
 HOT_SHARE = 1024  # a part that more than one in so many lookups asks for is broadcast: there are at most as many of them
 
-COUNTS = "lang string, size int, phrase string, f long"
-_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+# a phrase and its lang leave a task as one key: no word holds a tab
+_ARROW = pa.schema([("key", pa.string()), ("f", pa.int64())])
+_TAB = pa.scalar("\t", pa.large_string())
 _SPACE = pa.scalar(" ", pa.large_string())
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -144,12 +145,11 @@ def _counted(data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now,
         places = np.flatnonzero(total)  # in the order of the text, whose words are then read in order
         amounts = total[places]
         apart = [words.take(pa.array(places - k)) for k in range(size - 1, -1, -1)]
-        told = pc.binary_join_element_wise(*apart, _SPACE) if size else pa.array([""] * len(places))
-        yield pa.record_batch(
-            [langs.take(pa.array(run.rows[places])), pa.array(np.full(len(places), size, np.int32)), told.cast(pa.string()), pa.array(amounts)], schema=_ARROW
-        )
+        told = pc.binary_join_element_wise(*apart, _SPACE) if size else pa.array([""] * len(places), pa.large_string())
+        told = pc.binary_join_element_wise(told, wide_langs.take(pa.array(run.rows[places])), _TAB)
+        yield pa.record_batch([told.cast(pa.string()), pa.array(amounts)], schema=_ARROW)
 
-    words = _words(data, run)
+    words, wide_langs = _words(data, run), langs.cast(pa.large_string())
 
     if words_too:
         everywhere = np.arange(len(run.hashes))
@@ -197,18 +197,22 @@ def _column(table: pa.Table, place: int, kind: pa.DataType) -> pa.Array:
     return chunks.chunk(0) if chunks.num_chunks == 1 else pa.concat_arrays(chunks.chunks)
 
 
-def count_phrases(docs: DataFrame, max_words: int, now: Broadcast | None, before: Broadcast | None, words_too: bool) -> DataFrame:
-    """(lang, size, phrase, f) over docs (lang, text); with ``words_too`` the words, and as the empty phrase their total."""
+def count_phrases(docs: DataFrame, max_words: int, now: Broadcast | None, before: Broadcast | None, words_too: bool, least: int) -> DataFrame:
+    """(lang, size, phrase, f) of phrases that occur ``least`` times in docs (lang, text); with ``words_too`` the words, and as the empty phrase their total."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [None if x is None else np.frombuffer(x.value, np.uint64) for x in (now, before)]
-        for table in _together(batches, 3 << 20):
+        for table in _together(batches, 2 << 20):
             langs = _column(table, 0, pa.string())
             for data, run in _runs(_column(table, 1, pa.large_string()), _seeds(langs), max_words - 1):
                 yield from _counted(data, run, langs, max_words, *maps, words_too)
 
-    counted = docs.select("lang", "text").mapInArrow(work, COUNTS)
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    counted = docs.select("lang", "text").mapInArrow(work, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\t", 1)
+    size = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))
+    return counted.filter((F.col("f") >= least) | F.startswith("key", F.lit("\t"))).select(
+        F.expr("substring(key, locate('\t', key) + 1)").alias("lang"), size.alias("size"), phrase.alias("phrase"), "f"
+    )
 
 
 def bit_map(phrases: DataFrame, size: int) -> Broadcast:
@@ -247,14 +251,13 @@ def frequent_phrases(
     seed: int = 11,
 ) -> DataFrame:
     """All phrases of up to ``max_words`` words with at least ``min_count`` occurrences, and totals as size 0, of docs (lang, text)."""
-    kept = F.col("f") >= min_count
     lowered = max(1, int(min_count * rate * LOWERING))
-    sampled = count_phrases(docs.sample(rate, seed=seed), max_words - 1, None, None, True)
-    proposed = stage(sampled.filter((F.col("size") > 0) & (F.col("f") >= lowered)), "proposed")
+    sampled = count_phrases(docs.sample(rate, seed=seed), max_words - 1, None, None, True, lowered)
+    proposed = stage(sampled.filter("size > 0"), "proposed")
     now, before = bit_map(proposed, filter_bytes), None
     found: DataFrame | None = None
     while True:
-        counted = stage(count_phrases(docs, max_words, now, before, found is None).filter(kept | (F.col("size") == 0)), "counted")
+        counted = stage(count_phrases(docs, max_words, now, before, found is None, min_count), "counted")
         found = counted if found is None else found.unionByName(counted)
         # what proved frequent without having been proposed and may be part of something longer
         inner = counted.filter((F.col("size") > 0) & (F.col("size") < max_words))

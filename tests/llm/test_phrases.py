@@ -103,9 +103,10 @@ def test_runs_and_steps_overlap(spark, monkeypatch):
     total = Counter()
     for data, run in phrases._runs(texts, phrases._seeds(langs), 2, run_words=50):
         for batch in phrases._counted(data, run, langs, 3, None, None, True):
-            for lang, size, phrase, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size:
-                    total[lang, size, tuple(phrase.split(" "))] += f
+            for key, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                phrase, lang = key.split("\t", 1)
+                if phrase:
+                    total[lang, phrase.count(" ") + 1, tuple(phrase.split(" "))] += f
     assert total == counted(rows)
 
 

@@ -66,72 +66,6 @@ def stream_dedup(outcomes: DataFrame, delay: str) -> DataFrame:
     return outcomes.withWatermark("finished_at", delay).dropDuplicatesWithinWatermark(["task_id", "attempt"])
 
 
-def stream_ended(changes: DataFrame) -> DataFrame:
-    """Ended tasks per (context, generation), each task once whenever it is reported again (update mode).
-
-    The state is the set of ended tasks, spread by task, so a hot context is no hot key. It must outlive any
-    delay, as a task reclaimed hours later ends again; it starts afresh with a new checkpoint.
-    """
-    ends = changes.filter(F.col("status").isin("done", "failed"))
-    once = ends.dropDuplicates(["context_id", "generation", "task_id"])
-    return once.groupBy("context_id", "generation").agg(
-        F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed")
-    )
-
-
-COMPLETIONS = "context_id STRING, generation BIGINT, total BIGINT, done BIGINT, failed BIGINT"
-
-
-def emit_completions(expected: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Per batch, store the contexts whose last task has now ended; each (context, generation) once.
-
-    ``expected`` (context_id, generation, total) says how many tasks each context has to end. A batch
-    that is replayed looks only at the batches before it and replaces its own folder.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = spark.createDataFrame([], f"{COMPLETIONS}, batch BIGINT")
-        if batch_id:
-            earlier = spark.read.schema(f"{COMPLETIONS}, batch BIGINT").parquet(path).filter(F.col("batch") < batch_id)
-        keys = ["context_id", "generation"]
-        ended = batch.join(expected, keys).filter("done + failed = total")
-        new = ended.join(earlier.select(*keys), keys, "left_anti")
-        new.select("context_id", "generation", "total", "done", "failed").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
-
-    return write
-
-
-def stream_stale(changes: DataFrame, minutes: int, delay: str) -> DataFrame:
-    """Starts that no end follows within ``minutes``: (task_id, context_id, started_at).
-
-    A left outer join of starts and ends on the task and a time range; state is dropped as the
-    watermark passes, and a start without a partner comes out then.
-    """
-    starts = (
-        changes.filter("status = 'running'")
-        .select(F.col("task_id").alias("start_id"), "context_id", F.col("ts").alias("started_at"))
-        .withWatermark("started_at", delay)
-    )
-    ends = (
-        changes.filter(F.col("status").isin("done", "failed"))
-        .select("task_id", F.col("ts").alias("ended_at"))
-        .withWatermark("ended_at", delay)
-    )
-    in_time = (
-        (F.col("task_id") == F.col("start_id"))
-        & (F.col("ended_at") >= F.col("started_at"))
-        & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {minutes} MINUTES"))
-    )
-    return (
-        starts.join(ends, in_time, "leftOuter")
-        .filter("task_id IS NULL")
-        .select(F.col("start_id").alias("task_id"), "context_id", "started_at")
-    )
-
-
 def stream_metrics(changes: DataFrame, delay: str, width: str = EXPORT_INTERVAL) -> DataFrame:
     """Changes per export interval and status (append mode: a window comes out when it can no longer change)."""
     return (

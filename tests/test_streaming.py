@@ -53,40 +53,15 @@ def test_progress_with_retry(spark, tmp_path, log):
     assert sorted(map(tuple, got.collect())) == [("a", 2, 2, 0), ("b", 1, 0, 0)]
 
 
-def test_completion_once(spark, tmp_path, log):
-    expected = spark.createDataFrame([("a", 0, 2), ("a", 1, 1), ("b", 0, 2)], "context_id STRING, generation BIGINT, total BIGINT")
-    out, check = str(tmp_path / "out"), str(tmp_path / "cp")
-
-    def run():
-        queue.run_available(queue.stream_ended(log.stream()), check, "update", each=queue.emit_completions(expected, out))
-        rows = spark.read.schema(queue.COMPLETIONS).parquet(out).collect()
-        return sorted((r["context_id"], r["generation"], r["done"], r["failed"]) for r in rows)
-
-    log.add(walk("1", "a", 0, 5, "failed") + walk("1", "a", 0, 5, "failed") + walk("3", "b", 0, 4))
-    assert run() == []  # a task reported twice is not two tasks
-    log.add(walk("2", "a", 0, 6))
-    assert run() == [("a", 0, 1, 1)]
-    log.add(walk("2", "a", 0, 6))
-    log.add(walk("1", "a", 10, 12, "done", 1, first=False))
-    assert run() == [("a", 0, 1, 1), ("a", 1, 1, 0)]
-    assert run() == [("a", 0, 1, 1), ("a", 1, 1, 0)]
-
-
 def test_repeats_hours_apart_count_once(spark, tmp_path, log):
-    """A task that is reclaimed ends twice: it is neither two tasks done nor a reason to complete its context."""
-    expected = spark.createDataFrame([("c", 0, 2)], "context_id STRING, generation BIGINT, total BIGINT")
+    """A task that is reclaimed ends twice: it is not two tasks done."""
     log.add(walk("a", "c", 0, 1) + walk("b", "c", 0, None))
     log.add([("z", "other", "running", "done", 0, at(500))])
     log.add([("a", "c", "running", "done", 0, at(600))])
-    ended, counts = str(tmp_path / "ended"), str(tmp_path / "counts")
-    queue.run_available(queue.stream_ended(log.stream()), str(tmp_path / "cp1"), "update", each=queue.emit_completions(expected, ended))
-    assert spark.read.schema(queue.COMPLETIONS).parquet(ended).count() == 0
+    counts = str(tmp_path / "counts")
     queue.run_available(queue.stream_progress(log.stream()), str(tmp_path / "cp2"), "update", each=queue.keep_batch(counts))
     got = queue.latest_rows(spark, counts, "context_id STRING, total BIGINT, done BIGINT, failed BIGINT", ["context_id"])
     assert ("c", 2, 1, 0) in set(map(tuple, got.collect()))
-    log.add([("b", "c", "running", "failed", 0, at(601))])
-    queue.run_available(queue.stream_ended(log.stream()), str(tmp_path / "cp1"), "update", each=queue.emit_completions(expected, ended))
-    assert [(r["done"], r["failed"]) for r in spark.read.schema(queue.COMPLETIONS).parquet(ended).collect()] == [(1, 1)]
 
 
 def test_logged_outcome_does_not_undo_a_retry(spark, tmp_path):
@@ -106,26 +81,6 @@ def test_logged_outcome_does_not_undo_a_retry(spark, tmp_path):
     assert read().count() == 2 and queue.current_tasks(again, read()).first()["status"] == "done"
 
 
-def test_completion_batch_can_be_replayed(spark, tmp_path):
-    expected = spark.createDataFrame([("a", 0, 1)], "context_id STRING, generation BIGINT, total BIGINT")
-    ended = spark.createDataFrame([("a", 0, 1, 0)], "context_id STRING, generation BIGINT, done BIGINT, failed BIGINT")
-    write = queue.emit_completions(expected, str(tmp_path))
-    for batch_id in (0, 0, 1, 1):
-        write(ended, batch_id)
-    assert spark.read.schema(queue.COMPLETIONS).parquet(str(tmp_path)).count() == 1
-
-
-def test_stale_alerts(spark, tmp_path, log):
-    log.add(walk("quick", "a", 0, 3) + walk("slow", "a", 0, 30) + walk("lost", "b", 1, None) + walk("now", "b", 170, None))
-    log.add(walk("late", "c", 180, 181))
-    log.add(walk("later", "c", 300, 301))
-    out = str(tmp_path / "out")
-    stale = queue.stream_stale(log.stream(), 5, "30 minutes")
-    queue.run_available(stale, str(tmp_path / "cp"), path=out)
-    got = {row["task_id"] for row in spark.read.schema("task_id STRING").parquet(out).collect()}
-    assert got == {"slow", "lost", "now"}
-
-
 def test_metrics_windows(spark, tmp_path, log):
     log.add(walk("1", "a", 0, 1) + walk("2", "a", 0, 90))
     log.add(walk("3", "a", 200, 201))

@@ -25,7 +25,7 @@ from pageloom.schemas import ARCHIVES, OUTCOMES
 from pageloom.session import fresh_path, prepare, ship, stage
 from pageloom.sources import archives, evaljson, logs, objects
 from pageloom.sources import tasks as task_table
-from pageloom.streaming import queue
+from pageloom.streaming import processors, queue
 from workload import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -999,11 +999,26 @@ def _(i):
 @query("stream_completion", f"""WITH {PROGRESS} SELECT context_id, 0::bigint AS generation, total, done, failed FROM p
 WHERE done + failed = total""")
 def _(i):
-    path = i.fresh("stream")
-    expected = results.context_progress(i.tasks).select("context_id", F.lit(0).cast("long").alias("generation"), "total")
-    ended = queue.stream_ended(_changes(i))
-    queue.run_available(ended, i.fresh("checkpoint"), "update", each=queue.emit_completions(expected, path))
-    return i.spark.read.schema(queue.COMPLETIONS).parquet(path).drop("batch")
+    return _appended(i, processors.stream_completion(_changes(i), "60 days"))
+
+
+@query("stream_completion_retries", f"""WITH {PROGRESS}, c AS (SELECT * FROM p WHERE done + failed = total)
+SELECT context_id, 0::bigint AS generation, total, done, failed FROM c
+UNION ALL SELECT context_id, 1, failed, failed, 0 FROM c WHERE failed > 0""")
+def _(i):
+    """Submissions, then outcomes, then repeats of them with a retry of all that failed: a batch each."""
+    changes, ended = i.task_changes, F.col("status").isin("done", "failed")
+    again = changes.filter("status = 'failed'").join(results.finished_contexts(results.context_progress(i.tasks)), "context_id", "left_semi")
+    retried = again.withColumn("generation", F.lit(1).cast("long")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    done = retried.withColumns({"from_status": F.lit("running"), "status": F.lit("done"), "ts": F.col("ts") + F.expr("INTERVAL 1 HOUR")})
+    retried = retried.withColumns({"from_status": F.lit("failed"), "status": F.lit("pending")})
+    batches = [changes.filter("status = 'pending'"), changes.filter(ended), changes.filter(ended).unionByName(retried).unionByName(done)]
+    log, checkpoint, path = i.fresh("log"), i.fresh("checkpoint"), i.fresh("stream")
+    for batch in batches:  # each run starts from the checkpoint of the one before
+        batch.write.mode("append").parquet(log)
+        arriving = i.spark.readStream.schema(changes.schema).parquet(log)
+        queue.run_available(processors.stream_completion(arriving, "90 days"), checkpoint, path=path)
+    return i.spark.read.schema(processors.COMPLETIONS).parquet(path)
 
 
 @query("stream_stale", f"""WITH s AS (SELECT task_id, context_id, ts FROM task_changes WHERE status = 'running'),
@@ -1013,7 +1028,7 @@ SELECT task_id, context_id, {_ts('ts')} AS started_at FROM s
 WHERE ts + INTERVAL 5 MINUTE < (SELECT mark FROM w) AND NOT EXISTS (SELECT 1 FROM e WHERE e.task_id = s.task_id
  AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 5 MINUTE)""")
 def _(i):
-    return _appended(i, queue.stream_stale(_changes(i), 5, DELAY))
+    return _appended(i, processors.stream_stale(_changes(i), 5, DELAY))
 
 
 @query("stream_dedup", f"""SELECT DISTINCT task_id, status, failure_reason, {_ts('finished_at')} AS finished_at, attempt::bigint AS attempt

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import inference, lifecycle
 from pageloom.operators.merge import merge_transcripts
-from pageloom.plans.process import process_round
+from pageloom.plans.process import advance, process_round
 from pageloom.schemas import TASKS
 from pageloom.sources import objects
+from pageloom.sources.versions import Conflict, VersionedTable
 
 T = dt.datetime(2024, 1, 1)
 
@@ -121,3 +124,77 @@ def test_stores(spark, tmp_path):
     objects.write_transcripts(merged, str(tmp_path / "transcripts"))
     one = objects.read_transcripts(spark, str(tmp_path / "transcripts")).filter("context_id = 'c1'").collect()
     assert [(r["part"], r["text"]) for r in one] == [(0, "AB2")]
+
+
+def test_limits(spark):
+    """What hangs fails in time, one dropped request costs one more attempt, a coded answer is not asked for again."""
+
+    def open_handler():
+        asked = {}
+
+        def handle(row):
+            asked[row["id"]] = asked.get(row["id"], 0) + 1
+            if row["id"] == "hangs":
+                time.sleep(30)
+            if row["id"] == "drops" and asked["drops"] == 1:
+                raise ConnectionError("dropped")
+            if row["id"] == "coded":
+                raise inference.AppError("TS-02", "no")
+            if row["id"] == "broken":
+                raise ValueError("always")
+            return {"asked": asked[row["id"]]}
+
+        return handle
+
+    rows = spark.createDataFrame([(x,) for x in ("hangs", "drops", "coded", "broken", "fine")], "id STRING").coalesce(1)
+    begun = time.monotonic()
+    limits = inference.Limits(window=5, timeout_s=0.4, retries=2, backoff_s=0.1)
+    got = {r["id"]: r for r in inference.run_handler(rows, "id", open_handler, "asked LONG", limits=limits, cost=True).collect()}
+    assert time.monotonic() - begun < 20
+    assert {k: (r["status"], r["failure_reason"], r["asked"], r["attempts"]) for k, r in got.items()} == {
+        "hangs": ("failed", "TimeoutError('no answer within 0.4 s')", None, 3),
+        "drops": ("done", "", 2, 2),
+        "coded": ("failed", "AppError('TS-02: no')", None, 1),
+        "broken": ("failed", "ValueError('always')", None, 3),
+        "fine": ("done", "", 1, 1),
+    }
+    assert got["hangs"]["duration_s"] >= 1.4 and got["broken"]["duration_s"] >= 0.3 > got["fine"]["duration_s"]
+
+
+def test_images_by_path_and_media_type(spark):
+    """Tasks are spread by path and fetch the bytes themselves; no image is part of a shuffle."""
+    kept = {"a": b"\x89PNG\r\n\x1a\nA", "b": b"GIF89a", "c": None, "d": b"\xff\xd8\xffB", "e": b"text"}
+
+    def open_model(settings):
+        return lambda image, kind: {"text": kind, "finish_reason": "stop", "input_tokens": 1, "output_tokens": 1}
+
+    rows = spark.createDataFrame([(k, k) for k in kept], "id STRING, file_path STRING")
+    done = inference.transcribe(rows, open_model, concurrency=3, window=2, media_types=True, open_fetch=lambda: kept.get)
+    refused = "AppError('TS-02: Failed image media_type parse for llm')"
+    assert sorted((r["id"], r["text"], r["failure_reason"]) for r in done.collect()) == [
+        ("a", "image/png", ""), ("b", None, refused), ("c", None, inference.NO_IMAGE), ("d", "image/jpeg", ""), ("e", None, refused)]
+
+
+def test_rounds_on_a_versioned_table(spark, tmp_path):
+    def open_model(settings):
+        return lambda image: {"text": bytes(image).decode(), "finish_reason": "stop", "input_tokens": 1, "output_tokens": 1}
+
+    rows = []
+    for k in range(6):
+        name = f"{k:04d}_p.jpg"
+        payload = {"object_name": name, "file_path": f"c/{name}", "original_file_name": "p.jpg"}
+        rows.append((str(k), "c", "pending", "u", json.dumps(payload), None, T, None, None, "standard"))
+    table = VersionedTable(spark, str(tmp_path / "tasks"), TASKS)
+    table.create(spark.createDataFrame(rows, TASKS))
+    images = spark.createDataFrame([(f"c/{k:04d}_p.jpg", b"t") for k in range(6)], "file_path STRING, image BINARY")
+    now, store = F.lit(T + dt.timedelta(hours=1)), str(tmp_path / "pages")
+    first, done = advance(table, images, open_model, store, 0, now, n_licq=4)
+    assert table.changes(first).count() == 4 and done.transcripts.count() == 0
+    ends = table.changes(first).select("started_at", "finished_at").collect()
+    assert all(r["finished_at"] >= r["started_at"] for r in ends) and len({r["finished_at"] for r in ends}) > 1
+    assert advance(table, images, open_model, store, 0, now, n_licq=4) == (first, None)
+    with pytest.raises(Conflict):
+        table.commit(done.changes, table.version(0))
+    second, done = advance(table, images, open_model, store, 1, now, n_licq=4)
+    assert table.changes(second).count() == 2 and done.transcripts.count() == 1
+    assert {r["status"] for r in table.read().collect()} == {"done"} and second.number == 2

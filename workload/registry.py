@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from pageloom.functions.text import normalise_text
 from pageloom.operators import claims, inference, lifecycle, merge, opmetrics, quality, results, search
+from pageloom.plans import process
 from pageloom.plans.enhance import enhance_prompts
 from pageloom.plans.evaluate import evaluate
 from pageloom.plans.submit import submit
@@ -25,6 +27,8 @@ from pageloom.schemas import ARCHIVES, OUTCOMES
 from pageloom.session import fresh_path, prepare, ship, stage
 from pageloom.sources import archives, evaljson, logs, objects
 from pageloom.sources import tasks as task_table
+from pageloom.sources.tasks import payload_fields
+from pageloom.sources.versions import Version, VersionedTable
 from pageloom.streaming import processors, queue
 from workload import views
 
@@ -649,7 +653,7 @@ def _(i):
 def _reading_model(settings: inference.ModelSettings):
     """A stand-in for a vision model: the page's text stands in the image after its signature."""
 
-    def read(image: bytes) -> dict:
+    def read(image: bytes, media_type: str = "image/png") -> dict:
         text = image[8:].decode()
         used = len(text) // 4
         stop = "length" if used >= settings.max_tokens else "stop"
@@ -671,7 +675,96 @@ def _page_images(i: Inputs) -> DataFrame:
  'transcriber' AS model, finish_reason, input_tokens, output_tokens FROM page_outputs""")
 def _(i):
     settings = inference.ModelSettings(max_tokens=views.MAX_TOKENS)
-    return inference.transcribe(_page_images(i), _reading_model, settings)
+    return inference.transcribe(_page_images(i), _reading_model, settings, window=4, media_types=True)
+
+
+def _unsteady_model(settings: inference.ModelSettings):
+    """The stand-in, which drops the first request of every page with an even length and never answers some others."""
+    reading, asked = _reading_model(settings), set()
+
+    def read(image: bytes, media_type: str) -> dict:
+        if len(image) % 97 == 5:
+            time.sleep(60)
+        if len(image) % 2 == 0 and id(image) not in asked:
+            asked.add(id(image))
+            raise ConnectionError("dropped")
+        asked.discard(id(image))
+        return reading(image)
+
+    return read
+
+
+LIMITED = """(SELECT *, 8 + octet_length(encode(text)) AS bytes, CAST(split_part(task_id, '/', 1) AS BIGINT) % 5 = 0 AS gif FROM page_outputs
+ WHERE CAST(split_part(task_id, '/', 2) AS BIGINT) = 1)"""
+
+
+@query("transcribe_limits", f"""SELECT task_id AS id, CASE WHEN gif OR bytes % 97 = 5 OR finish_reason = 'length' THEN 'failed' ELSE 'done' END AS status,
+ CASE WHEN gif THEN 'AppError(''TS-02: Failed image media_type parse for llm'')' WHEN bytes % 97 = 5 THEN 'TimeoutError(''no answer within 0.5 s'')'
+  WHEN finish_reason = 'length' THEN {TRUNCATED} ELSE '' END AS failure_reason,
+ CASE WHEN gif THEN 1 WHEN bytes % 97 = 5 OR bytes % 2 = 0 THEN 2 ELSE 1 END::bigint AS attempts, bytes % 97 = 5 AND NOT gif AS late FROM {LIMITED}""")
+def _(i):
+    """The first turn of every conversation, by path: kinds the model does not take, lost requests and requests without an answer."""
+    turns = i.page_outputs.filter("split_part(task_id, '/', 2) = '1'")
+    gif = F.split_part("task_id", F.lit("/"), F.lit(1)).cast("long") % 5 == 0
+    signature = F.when(gif, F.unhex(F.lit("4749463839610000"))).otherwise(F.unhex(F.lit("89504E470D0A1A0A")))
+    folder = i.fresh("images")  # a folder of small files stands in for an object store
+    turns.select(F.col("task_id").alias("id"), F.concat(signature, F.encode("text", "UTF-8")).alias("image")).write.parquet(folder)
+    images = i.spark.read.schema("id STRING, image BINARY").parquet(folder)
+    settings = inference.ModelSettings(max_tokens=views.MAX_TOKENS, timeout_s=0.5, backoff_s=0.01)
+    done = inference.transcribe(images, _unsteady_model, settings, window=16, media_types=True, cost=True)
+    return done.select("id", "status", "failure_reason", "attempts", (F.col("duration_s") >= 1).alias("late"))
+
+
+def _answering_model(settings: inference.ModelSettings):
+    return lambda image: {"text": f"p{len(image)}", "finish_reason": "length" if len(image) % 11 == 0 else "stop", "input_tokens": 1, "output_tokens": 7}
+
+
+WORKED = f"""WITH {_licq_sql(views.CLAIM)},
+ f AS (SELECT context_id, created_at AS c1, object_name AS c2, id AS c3 FROM q WHERE round = 1),
+ j AS (SELECT q.id, context_id, round, last, c1, c2, c3 FROM q JOIN c USING (context_id) JOIN f USING (context_id)),
+ k AS ({_numbered('round, last NULLS FIRST, c1, c2, c3', 'j')}),
+ w AS (SELECT t.*, CAST(id AS BIGINT) AS n, id IN (SELECT id FROM k)
+   OR (status = 'running' AND started_at < {SQL_NOW} - INTERVAL 5 MINUTE) AS worked FROM tasks t),
+ a AS (SELECT id, context_id, created_by, priority, n, CASE WHEN NOT worked THEN status WHEN n % 7 = 0 OR n % 11 = 0 THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN NOT worked THEN failure_reason WHEN n % 7 = 0 THEN 'FileNotFoundError(''no image'')'
+   WHEN n % 11 = 0 THEN 'AppError(''TS-03: Transcription truncated (finish_reason=length, output=7)'')' ELSE '' END AS failure_reason FROM w)"""
+
+
+def _one_round(i: Inputs) -> tuple[VersionedTable, Version, process.Round]:
+    table = VersionedTable(i.spark, i.fresh("tasks"), task_table.TASKS)
+    table.create(i.tasks.select(*task_table.TASKS.names))
+    number = F.col("id").cast("long")
+    paths = payload_fields(i.tasks).filter(number % 7 != 0)
+    images = paths.select("file_path", F.expr("CAST(repeat('x', CAST(11 + CAST(id AS BIGINT) % 11 AS INT)) AS BINARY)").alias("image"))
+    return table, *process.advance(table, images, _answering_model, i.fresh("pages"), 0, now(), views.CLAIM)
+
+
+@query("process_round", f"{WORKED} SELECT id, context_id, status, failure_reason FROM a")
+def _(i):
+    """A round of work on a versioned task table; only what it changed is written."""
+    table, version, _ = _one_round(i)
+    return table.read(version).select("id", "context_id", "status", "failure_reason")
+
+
+@query("process_changes", f"{WORKED} SELECT a.id, a.status FROM a JOIN w USING (id) WHERE worked")
+def _(i):
+    table, version, _ = _one_round(i)
+    return table.changes(version).select("id", "status")
+
+
+@query("task_versions", f"""{WORKED}, due AS (SELECT context_id FROM a GROUP BY 1
+  HAVING count(*) FILTER (WHERE status IN ('done', 'failed')) = count(*) AND count(*) FILTER (WHERE status = 'failed') > 0)
+SELECT id, context_id, CASE WHEN status = 'failed' AND context_id IN (SELECT * FROM due) THEN 'pending' ELSE status END AS status, 3::bigint AS version FROM a""")
+def _(i):
+    """Submission, a round, its replay, a retry and a compaction, of which the replay changes nothing."""
+    table, read, _ = _one_round(i)
+    replayed, again = process.advance(table, i.tasks.limit(0), _answering_model, i.fresh("pages"), 0, now(), views.CLAIM)
+    if again is not None or replayed != read:
+        raise AssertionError("a committed round ran again")
+    tasks = table.read(read)
+    retried = lifecycle.retry_failed(tasks).join(tasks.filter("status = 'failed'").select("id"), "id", "left_semi").filter("status = 'pending'")
+    last = table.compact(table.commit(retried.select(*tasks.columns), read))
+    return table.read(last).select("id", "context_id", "status", F.lit(last.number).cast("long").alias("version"))
 
 
 @query("truncation_check", f"""SELECT task_id, CASE WHEN finish_reason = 'length' THEN 'failed' ELSE 'done' END AS status,

@@ -31,7 +31,8 @@ BLOCK = 16
 # items of one index, which every task holds; more items are searched for index by index
 ITEMS = 20_000
 
-_SLOTS = 1 << 22
+# slots a term: few enough for a processor's cache, so many that hardly a word falls into one by chance
+_SLOTS_A_TERM = 16
 
 
 def _csr(owner: np.ndarray, count: int) -> np.ndarray:
@@ -115,8 +116,8 @@ def build_index(names: list, questions: list[str | None], answers: list[str | No
     np.maximum.at(block_rest, np.arange(count) // BLOCK, rest)
     by_term = np.flatnonzero(essential)[np.argsort(codes[essential], kind="stable")]
     posting_begins = _csr(codes[by_term], len(vocabulary))
-    slots = np.zeros(_SLOTS, dtype=bool)
-    slots[(vocabulary[np.diff(posting_begins) > 0] & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+    slots = np.zeros(1 << max(10, (len(vocabulary) * _SLOTS_A_TERM).bit_length()), dtype=bool)
+    slots[vocabulary[np.diff(posting_begins) > 0] & np.uint64(len(slots) - 1)] = True
     return Index(
         kept, vocabulary, slots, np.array(owners, dtype=np.int64), segment_begins, codes, weights,
         rest, posting_begins, owner[by_term], weights[by_term],
@@ -135,7 +136,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def retrieve(index: Index, words: np.ndarray, begins: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(row, item, best score) for every document row and item with a passage and a segment above the threshold."""
     slack = threshold - 1e-9
-    maybe = np.flatnonzero(index.slots[(words & np.uint64(_SLOTS - 1)).astype(np.int64)])
+    maybe = np.flatnonzero(index.slots.take((words & np.uint64(len(index.slots) - 1)).view(np.int64)))
     term = np.searchsorted(index.vocabulary, words[maybe])
     term[term == len(index.vocabulary)] = 0
     hit = index.vocabulary[term] == words[maybe] if len(index.vocabulary) else np.zeros(len(maybe), bool)
@@ -173,11 +174,15 @@ def retrieve(index: Index, words: np.ndarray, begins: np.ndarray, threshold: flo
     key, bound = _summed((window[entry] * segments + segment)[live], index.posting_weights[place][live])
     key = key[bound + index.rest[key % segments] >= slack]
     best: dict[tuple[int, int], float] = {}
+    own_window, own = -1, words[:0]
     for w, segment in zip((key // segments).tolist(), (key % segments).tolist(), strict=True):
         r = int(np.searchsorted(window_begins, w, side="right")) - 1
         at = begins[r] + (w - window_begins[r]) * STRIDE
+        if w != own_window:
+            own_window, own = w, np.sort(words[at : min(at + WINDOW, begins[r + 1])])
         a, b = index.segment_begins[segment], index.segment_begins[segment + 1]
-        present = np.isin(index.vocabulary[index.segment_terms[a:b]], words[at : min(at + WINDOW, begins[r + 1])])
+        terms = index.vocabulary[index.segment_terms[a:b]]
+        present = own[np.minimum(np.searchsorted(own, terms), len(own) - 1)] == terms
         score = float(index.segment_weights[a:b][present].sum())
         if score >= slack:
             found = r, int(index.segment_item[segment])

@@ -69,6 +69,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     # per-row work is heavy here (texts, models), so small stages are kept spread over the cores
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # sources written in Python take filters too
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

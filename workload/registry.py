@@ -25,7 +25,7 @@ from pageloom.plans.evaluate import evaluate
 from pageloom.plans.submit import submit
 from pageloom.schemas import ARCHIVES, OUTCOMES
 from pageloom.session import fresh_path, prepare, ship, stage
-from pageloom.sources import archives, evaljson, logs, objects
+from pageloom.sources import archives, evaljson, logs, objects, zipfiles
 from pageloom.sources import tasks as task_table
 from pageloom.sources.tasks import payload_fields
 from pageloom.sources.versions import Version, VersionedTable
@@ -144,21 +144,49 @@ PACKED_SQL = """a AS (SELECT concat(cast(conv_id AS varchar), '-', cast(floor(tu
  broken AS (SELECT archive FROM a WHERE idx = 0 AND role = 'system')"""
 
 
-@query("archive_entries", f"""WITH {PACKED_SQL}
+LISTED_SQL = f"""WITH {PACKED_SQL}
 SELECT archive, idx, concat('scans/', turn, '_', role, '.img') AS filename, false AS is_dir,
  CASE WHEN role = 'user' THEN 4 ELSE 8 END + strlen(text) AS size,
  left(concat(CASE WHEN role = 'user' THEN 'FFD8FFE0' ELSE '89504E470D0A1A0A' END, hex(encode(text))), 32) AS head, NULL AS code
 FROM a WHERE archive NOT IN (SELECT archive FROM broken)
-UNION ALL SELECT archive, -1, NULL, false, -1, NULL, 'ZIP-01' FROM broken""")
-def _(i):
-    listed = archives.archive_entries(packed_archives(i))
-    return listed.select(
+UNION ALL SELECT archive, -1, NULL, false, -1, NULL, 'ZIP-01' FROM broken"""
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    return entries.select(
         "archive", F.coalesce("idx", F.lit(-1)).alias("idx"), "filename",
         F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
         F.coalesce("size", F.lit(-1)).alias("size"), F.hex("head_bytes").alias("head"), "code",
     )
 
 
+@query("archive_entries", LISTED_SQL)
+def _(i):
+    return _listed(archives.archive_entries(packed_archives(i)))
+
+
+def _as_files(packed: DataFrame, folder: str) -> None:
+    """Each archive as a file of its own, written where its row is."""
+
+    def write(rows):
+        files, root = zipfiles._opened(folder)
+        files.create_dir(root)
+        for row in rows:
+            with files.open_output_stream(f"{root}/{row['archive']}") as out:
+                out.write(bytes(row["content"]))
+
+    packed.foreachPartition(write)
+
+
+@query("zip_entries", LISTED_SQL)
+def _(i):
+    """Archives listed where they lie, without their bytes in a row."""
+    folder = i.fresh("zips")
+    _as_files(packed_archives(i), folder)
+    i.spark.dataSource.register(zipfiles.ZipEntries)
+    return _listed(i.spark.read.format("zip_entries").load(folder))
+
+
 KEPT = """NOT is_dir AND filename NOT LIKE '\\_\\_MACOSX/%' ESCAPE '\\'
  AND regexp_extract(filename, '[^/]*$') <> '.DS_Store' AND regexp_extract(filename, '[^/]*$') NOT LIKE '.\\_%' ESCAPE '\\'"""
 

@@ -75,14 +75,17 @@ def read_page_text(spark: SparkSession, path: str) -> DataFrame:
 def write_transcripts(merged: DataFrame, path: str) -> None:
     """Store transcripts (context_id, part, text) in 256 folders, in order of context.
 
-    Range-partitioned, so a task writes few large files and a lookup reads few row groups.
+    Range-partitioned, so a task writes few large files and a lookup reads few row groups. What stood at ``path`` is
+    replaced as a whole, so a job that failed half-way can be repeated.
     """
     layout = ["bucket", "context_id", "part"]
     (
         merged.withColumn("bucket", bucket_of("context_id"))
         .repartitionByRange(*layout)
         .sortWithinPartitions(*layout)
-        .write.partitionBy("bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("bucket")
         .parquet(path)
     )
 

@@ -198,3 +198,11 @@ def test_rounds_on_a_versioned_table(spark, tmp_path):
     second, done = advance(table, images, open_model, store, 1, now, n_licq=4)
     assert table.changes(second).count() == 2 and done.transcripts.count() == 1
     assert {r["status"] for r in table.read().collect()} == {"done"} and second.number == 2
+
+
+def test_transcripts_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "transcripts")
+    merged = spark.createDataFrame([(f"c{k}", 0, f"text {k}") for k in range(40)], "context_id STRING, part BIGINT, text STRING")
+    for rows in (merged, merged.filter("context_id <> 'c7'")):
+        objects.write_transcripts(rows, path)
+    assert {r["context_id"] for r in objects.read_transcripts(spark, path).collect()} == {f"c{k}" for k in range(40)} - {"c7"}

@@ -36,8 +36,19 @@ def write_eval_json(records: DataFrame, path: str, digits: int = SHARD_DIGITS, p
     eval_json(records, digits, per_object).select("json").write.text(path)
 
 
-def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Rows (key, image, text). ``whole_file`` reads pretty-printed files of one object each."""
+# what an object that cannot be parsed is given
+BROKEN = "EVAL-01"
+
+
+def read_eval_json(spark: SparkSession, path: str, whole_file: bool = False, with_code: bool = False) -> DataFrame:
+    """Rows (key, image, text). ``whole_file`` reads pretty-printed files of one object each.
+
+    With ``with_code`` rows have a code, and an object that is broken is one row of nulls with EVAL-01; else it is left out.
+    """
     lines = spark.read.text(path, wholetext=whole_file)
-    entries = lines.select(F.explode(F.from_json("value", EVAL_MAP)).alias("key", "value"))
-    return entries.select("key", "value.image", "value.text")
+    parsed = lines.select(F.from_json("value", EVAL_MAP).alias("entries"), (F.trim("value") == "").alias("blank"))
+    if not with_code:
+        return parsed.select(F.explode("entries").alias("key", "value")).select("key", "value.image", "value.text")
+    told = parsed.filter("NOT blank AND (entries IS NULL OR size(entries) > 0)")
+    code = F.when(F.col("entries").isNull(), BROKEN).alias("code")
+    return told.select(code, F.explode_outer("entries").alias("key", "value")).select("key", "value.image", "value.text", "code")

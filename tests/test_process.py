@@ -11,7 +11,7 @@ from pageloom.operators import inference, lifecycle
 from pageloom.operators.merge import merge_transcripts
 from pageloom.plans.process import advance, process_round
 from pageloom.schemas import TASKS
-from pageloom.sources import objects
+from pageloom.sources import evaljson, objects
 from pageloom.sources.versions import Conflict, VersionedTable
 
 T = dt.datetime(2024, 1, 1)
@@ -206,3 +206,10 @@ def test_transcripts_can_be_written_again(spark, tmp_path):
     for rows in (merged, merged.filter("context_id <> 'c7'")):
         objects.write_transcripts(rows, path)
     assert {r["context_id"] for r in objects.read_transcripts(spark, path).collect()} == {f"c{k}" for k in range(40)} - {"c7"}
+
+
+def test_broken_evaluation_objects_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": {"image": "i", "text": "t"}}\n{"cut": {"image": "i", "te\n\n{}\n')
+    read = evaljson.read_eval_json(spark, str(tmp_path), with_code=True)
+    assert sorted(map(tuple, read.collect()), key=str) == [("k", "i", "t", None), (None, None, None, "EVAL-01")]
+    assert [tuple(r) for r in evaljson.read_eval_json(spark, str(tmp_path)).collect()] == [("k", "i", "t")]

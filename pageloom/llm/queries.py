@@ -150,13 +150,13 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op8_topk_search"] = """
 WITH v AS (
- SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+ SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
- SELECT q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_dot_product(q.v, c.v) AS BIGINT) AS score
- FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+ SELECT q.place, q.vec_id AS query_id, c.vec_id AS vec_id, cast(list_dot_product(q.v, c.v) AS BIGINT) AS score
+ FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.place <> q.place)
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
 

@@ -1,13 +1,14 @@
 """Exact top-k inner products of integer vectors: norm-sorted blocks, rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are sorted by length and packed into blocks. Each block of queries meets the candidate blocks from the longest
-on and keeps its best k so far. A block is skipped for the queries that its longest vector cannot
-help; for the others the first coordinates after a rotation to the principal axes, which carry most of
-a vector's length, give a partial sum, and the lengths of what is left bound the rest. Only pairs whose bound
+Vectors are sorted by length and packed into blocks. The longest blocks of all give each query a first bar; a block of queries
+is then only paired with candidate blocks whose longest vector can reach the bar of one of them, so other pairs are never moved.
+Each block of queries meets its candidate blocks from the longest on and keeps its best k so far. A block is skipped
+for the queries that its longest vector cannot help; for the others the first coordinates after a rotation to the principal axes,
+which carry most of a vector's length, give a partial sum, and the lengths of what is left bound the rest. Only pairs whose bound
 reaches the query's k-th score are summed, in integers. Bounds have a slack for rounding, so nothing is lost.
 
-The queries are a stated set: each of their blocks meets each candidate block in one task of several per query
-block. A task holds two blocks and k results per query.
+The queries are a stated set: a block of them is sent once to each of its tasks, ahead of the candidate blocks that it meets there.
+A task holds two blocks and k results per query.
 """
 
 from __future__ import annotations
@@ -22,27 +23,33 @@ from pyspark.sql import functions as F
 
 from pageloom.session import stage
 
-QUERY_BLOCK = 2048
+# components of queries that travel together, and the queries among them that are compared at a time
+QUERY_BLOCK = 1 << 21
+COMPARED = 2048
 BLOCK = 1024
 SEEDS = 4
 _SLACK = 1e-9
-_BUFFER = 1 << 20
 
-_BLOCKS = "block long, longest double, width int, ids binary, keys binary, numbers binary"
+_BLOCKS = "block long, longest double, width int, ids binary, rows binary, numbers binary"
 
 
-def integer_vectors(vectors: DataFrame, id_column: str, vector_column: str, factor: int) -> DataFrame:
-    """(id, key, v, length): floor(factor * component), without rows that have a null, non-finite or no vector or id.
+def integer_vectors(vectors: DataFrame, id_column: str, vector_column: str, factor: int, is_query: Column) -> DataFrame:
+    """(id, row, v, length, is_query): floor(factor * component), without rows that have a null, non-finite or no vector or id.
 
-    Rows that repeat both id and vector count once; ``key`` tells vectors with the same id apart.
+    ``row`` tells rows apart that repeat an id or a vector. Written down, as both sides of the search must see the same numbers.
     """
     v = F.col(vector_column)
     clean = ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     numbers = F.transform(v, lambda x: F.floor(x.cast("double") * factor).cast("long"))
     rows = vectors.filter(v.isNotNull() & F.coalesce(clean, F.lit(False)) & F.col(id_column).isNotNull())
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), numbers.alias("v")).distinct()
+    rows = rows.select(
+        F.col(id_column).cast("long").alias("id"),
+        F.monotonically_increasing_id().alias("row"),
+        numbers.alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("is_query"),
+    )
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return rows.select("id", F.xxhash64("v").alias("key"), "v", F.sqrt(squares).alias("length"))
+    return stage(rows.withColumn("length", F.sqrt(squares)), "vectors")
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -93,18 +100,18 @@ def _blocked(rows: DataFrame, width: int, size: int) -> DataFrame:
         longs = lambda name: part.column(name).to_numpy().astype(np.int64).tobytes()
         numbers = _matrix(part.column("v").chunk(0), width)
         small = np.abs(numbers).max(initial=0) < 1 << 31
-        values = [0, float(part.column("length")[0].as_py()), 4 if small else 8, longs("id"), longs("key")]
+        values = [0, float(part.column("length")[0].as_py()), 4 if small else 8, longs("id"), longs("row")]
         values.append(numbers.astype(np.int32 if small else np.int64).tobytes())
         types = [pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], "block longest width ids keys numbers".split())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], "block longest width ids rows numbers".split())
 
     ranged = rows.repartitionByRange(F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id")
-    blocks = ranged.select("id", "key", "v", "length").mapInArrow(pack, _BLOCKS)
+    blocks = ranged.select("id", "row", "v", "length").mapInArrow(pack, _BLOCKS)
     return stage(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 class Best:
-    """The k best candidates so far of each query of a block."""
+    """The k best candidates so far of each query of a block; ``ids`` are what tells a query's own row."""
 
     def __init__(self, ids: np.ndarray, numbers: np.ndarray, axes: np.ndarray, k: int):
         self.ids, self.numbers, self.k = ids, numbers, k
@@ -122,7 +129,9 @@ class Best:
         rests = np.sqrt(np.maximum(0, squares - (heads * heads).sum(axis=1)) + _SLACK * squares)
         return heads, np.sqrt(squares), rests
 
-    def meet(self, ids: np.ndarray, numbers: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Candidates by id; ``rows`` tells which is a query's own, the ids themselves without it."""
+        rows = ids if rows is None else rows
         if not len(ids) or not len(self.ids):
             return
         heads, lengths, rests = self._turned(numbers)
@@ -143,7 +152,7 @@ class Best:
             for low in range(0, len(q), 1 << 17):
                 part = slice(low, low + (1 << 17))
                 scores[part] = np.einsum("ij,ij->i", self.numbers[q[part]].astype(kind), numbers[c[part]].astype(kind)).astype(np.int64)
-        kept = (scores >= self.least[q]) & (ids[c] != self.ids[q])
+        kept = (scores >= self.least[q]) & (rows[c] != self.ids[q])
         self.new.append((q[kept], ids[c[kept]], scores[kept]))
         self._reduce()
 
@@ -163,38 +172,68 @@ class Best:
 
 
 def _open(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, numbers, rows of a block"""
     numbers = np.frombuffer(row["numbers"], dtype=np.int32 if row["width"] == 4 else np.int64).astype(np.int64)
-    ids, keys = (np.frombuffer(row[name], dtype=np.int64) for name in ("ids", "keys"))
-    return ids, keys, numbers.reshape(len(ids), width)
+    ids, rows = (np.frombuffer(row[name], dtype=np.int64) for name in ("ids", "rows"))
+    return ids, numbers.reshape(len(ids), width), rows
+
+
+def _with_bars(asked: DataFrame, axes: Broadcast, seeds: Broadcast, k: int, width: int) -> DataFrame:
+    """The query blocks with ``bars``, a score per query that its k-th best cannot be below, and ``reach``: no candidate
+    shorter than that can be among the best of any query of the block."""
+
+    def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [_open(seed, width) for seed in seeds.value]
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, numbers, rows = _open(row, width)
+                found, reach = [], np.inf
+                for low in range(0, len(rows), COMPARED):
+                    bar = Best(rows[low : low + COMPARED], numbers[low : low + COMPARED], axes.value, k)
+                    for seed in opened:
+                        bar.meet(*seed)
+                    found.append(bar.least)
+                    shortest = np.where(bar.least > 0, bar.least / np.maximum(bar.lengths, 1e-300), 0.0)
+                    reach = min(reach, float(shortest.min(initial=np.inf)))
+                bits = np.concatenate(found).tobytes() if found else b""
+                yield pa.RecordBatch.from_pylist([{**row, "bars": bits, "reach": reach / (1 + _SLACK)}], batch_schema)
+
+    batch_schema = pa.schema(
+        [("block", pa.int64()), ("longest", pa.float64()), ("width", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]
+        + [("numbers", pa.binary()), ("bars", pa.binary()), ("reach", pa.float64())]
+    )
+    return stage(asked.mapInArrow(bars, f"{_BLOCKS}, bars binary, reach double"), "asked")
 
 
-def _search(pairs: DataFrame, axes: Broadcast, seeds: Broadcast, k: int, width: int) -> DataFrame:
-    """Best candidates of each (query block, share) run of pairs, which stand together from the longest block on."""
+def _search(runs: DataFrame, axes: Broadcast, k: int, width: int) -> DataFrame:
+    """Best candidates of each (query block, share) run: the query block, then its candidate blocks from the longest on."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, best, keys = None, None, None
+        held: list[tuple[np.ndarray, Best]] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["q_block"], row["share"]) != run:
-                    if best is not None:
-                        yield out(best, keys)
-                    run = row["q_block"], row["share"]
-                    ids, keys, numbers = _open({n: row[f"q_{n}"] for n in ("width", "ids", "keys", "numbers")}, width)
-                    best = Best(ids, numbers, axes.value, k)
-                    # the longest vectors of all set the bar; each is found again where it belongs
-                    bar = Best(ids, numbers, axes.value, k)
-                    for seed in seeds.value:
-                        bar.meet(*_open(seed, width)[::2])
-                    best.least = bar.least
-                best.meet(*_open(row, width)[::2])
-        if best is not None:
-            yield out(best, keys)
-
-    def out(best: Best, keys: np.ndarray) -> pa.RecordBatch:
-        q, c, s = best.found
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (best.ids[q], keys[q], c, s)], ["query_id", "key", "vec_id", "score"])
-
-    return pairs.mapInArrow(search, "query_id long, key long, vec_id long, score long")
+                if row["bars"] is not None:
+                    yield from out(held)
+                    ids, numbers, rows = _open(row, width)
+                    bars = np.frombuffer(row["bars"])
+                    held = []
+                    for low in range(0, len(ids), COMPARED):
+                        part = slice(low, low + COMPARED)
+                        best = Best(rows[part], numbers[part], axes.value, k)
+                        best.least = bars[part].copy()
+                        held.append((ids[part], best))
+                    continue
+                block = _open(row, width)
+                for _, best in held:
+                    best.meet(*block)
+        yield from out(held)
+
+    def out(held: list[tuple[np.ndarray, Best]]) -> Iterator[pa.RecordBatch]:
+        for ids, best in held:
+            q, c, s = best.found
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], best.ids[q], c, s)], ["query_id", "row", "vec_id", "score"])
+
+    return runs.mapInArrow(search, "query_id long, row long, vec_id long, score long")
 
 
 def top_inner_products(
@@ -209,32 +248,37 @@ def top_inner_products(
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
     ``is_query`` is a condition on the table's rows. Components become floor(factor * x), x as double. Vectors (or ids)
-    that are null, or hold a null or non-finite component, take no part; shorter vectors are filled up with zeros. All
-    rows with the query's id are its own and no candidates. Rows that repeat id and vector count once; a query id with
-    several vectors has k results for each. With fewer candidates all are returned. Scores must fit a long.
-    An empty table gives no rows; other columns are not looked at.
+    that are null, or hold a null or non-finite component, take no part; shorter vectors are filled up with zeros. Every row
+    but the query's own is a candidate: rows that repeat an id, a vector or both count each, as candidates and as
+    queries. With fewer candidates all are returned. Scores must fit a long. An empty table gives no rows; other columns are not
+    looked at.
     """
     spark = vectors.sparkSession
-    all_rows = vectors.withColumn("_is_query", F.coalesce(is_query, F.lit(False)))
-    rows = stage(integer_vectors(all_rows, id_column, vector_column, factor), "vectors")
+    rows = integer_vectors(vectors, id_column, vector_column, factor, is_query)
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
     axes = spark.sparkContext.broadcast(rotation(rows, width))
     candidates = _blocked(rows, width, BLOCK)
-    asked = _blocked(integer_vectors(all_rows.filter("_is_query"), id_column, vector_column, factor), width, QUERY_BLOCK)
     # four blocks, whatever the table
     longest = candidates.orderBy(F.desc("longest"), "block").limit(SEEDS).collect()
     seeds = spark.sparkContext.broadcast([row.asDict() for row in longest])
-    named = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "width", "ids", "keys", "numbers")))
-    # block numbers of the queries are a list of the driver's, one per 2048 queries
-    numbers = sorted(row.q_block for row in named.select("q_block").collect())
-    if not numbers:
+    together = max(1, QUERY_BLOCK // width)
+    asked = _with_bars(_blocked(rows.filter("is_query"), width, together), axes, seeds, k, width)
+    # two numbers per block of queries
+    reaches = sorted((row.block, row.reach) for row in asked.select("block", "reach").collect())
+    if not reaches:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    spread = candidates.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")).withColumn(
-        "q_block", F.explode(F.lit(numbers).cast("array<bigint>"))
+    asking = F.array(*(F.struct(F.lit(b).alias("q_block"), F.lit(r).alias("reach")) for b, r in reaches))
+    meant = F.explode(F.filter(asking, lambda x: x["reach"] <= F.col("longest"))).alias("x")
+    bytes_of = ["width", "ids", "rows", "numbers"]
+    share = F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int").alias("share")
+    met = candidates.select(share, "longest", *bytes_of, meant).select(
+        F.col("x.q_block").alias("q_block"), "share", "longest", *bytes_of, F.lit(None).cast("binary").alias("bars")
     )
-    pairs = spread.join(named, "q_block")
-    pairs = pairs.repartition(F.col("q_block"), F.col("share")).sortWithinPartitions("q_block", "share", F.desc("longest"))
-    found = _search(pairs, axes, seeds, k, width)
-    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    each_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    heads = asked.select(F.col("block").alias("q_block"), each_share, F.lit(None).cast("double").alias("longest"), *bytes_of, "bars")
+    runs = heads.unionByName(met).repartition(F.col("q_block"), F.col("share"))
+    runs = runs.sortWithinPartitions("q_block", "share", F.desc_nulls_first("longest"))
+    found = _search(runs, axes, k, width)
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,6 @@
 """Shards cut from a Hilbert curve over several metadata dimensions. DataFrame functions only.
 
-Each dimension is quantised to a few bits, the cell's place on the curve is its index, rows are sorted by that index
+Each dimension is quantised to a few bits by table-wide quantiles that keep its order, the cell's place on the curve is its index, rows are sorted by that index
 and the order is cut into runs. Rows close in all dimensions lie in the same shard, so a filter on any of them
 skips most files by their minima and maxima. The order spans the table: it is numbered over
 range-partitioned slices, so neither one cell nor one group of copies is a single task.
@@ -46,16 +46,52 @@ def hilbert_index(cell: str, axes: int, bits: int) -> Column:
     return F.expr(f"transform(array({coded}), x -> {woven})[0]")
 
 
-def _quantised(column: str, kind: str, bits: int, low, high) -> Column:
-    """A cell from 0 to 2**bits - 1: numbers by their range over the table, others by hash; null is cell 0."""
-    top = (1 << bits) - 1
-    if kind in ("string", "binary", "boolean"):
-        return F.coalesce(F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(1 << bits))), F.lit(0)).cast("int")
-    if low is None or high is None or not low < high:
+def _is_number(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "timestamp") or kind.startswith("decimal")
+
+
+def _number(column: str, kind: str) -> Column:
+    """The column as double, null where it is not finite."""
+    value = F.col(column).cast("int").cast("double") if kind == "boolean" else F.col(column).cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def cuts(docs: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> dict[str, list]:
+    """Per dimension at most 2**bits - 1 ascending values that cut the whole table into parts of like many rows.
+
+    Numbers by their quantiles, all other kinds by the running count of their distinct values in order. A value that many rows
+    share is never cut, so a part may be larger, and there are fewer cuts than asked for.
+    """
+    kinds, parts = dict(docs.dtypes), 1 << bits
+    numbers = [c for c in dimensions if _is_number(kinds[c])]
+    found: dict[str, list] = {c: [] for c in dimensions}
+    if numbers:
+        shares = [i / parts for i in range(1, parts)]
+        row = docs.agg(*(F.percentile_approx(_number(c, kinds[c]), shares).alias(f"q{i}") for i, c in enumerate(numbers))).first()
+        found |= {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numbers)}
+    for c in dimensions:
+        if c in numbers:
+            continue
+        counted = docs.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+        upto = running_sum(counted, [], [F.col("value")], F.col("n"), "upto")
+        total = upto.agg(F.sum("n")).first()[0]
+        if total:
+            part = F.expr(f"CAST((CAST(upto - n AS DECIMAL(28,0)) * {parts}) DIV CAST({total} AS DECIMAL(28,0)) AS INT)")
+            # one row a part
+            firsts = upto.groupBy(part.alias("part")).agg(F.min("value").alias("value")).filter("part > 0").collect()
+            found[c] = sorted(bytes(r.value) if kinds[c] == "binary" else r.value for r in firsts)
+    return found
+
+
+def _quantised(column: str, kind: str, cut: Sequence) -> Column:
+    """A cell from 0 on, the number of cuts that the value reaches; null and what is not finite are cell 0.
+
+    Cells keep the order of values, so the minima and maxima of a run of the curve tell which values it cannot hold.
+    """
+    if not cut:
         return F.lit(0)
-    share = (F.col(column).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
-    cell = F.floor(share * (top + 1)).cast("int")
-    return F.coalesce(F.least(F.greatest(F.nanvl(cell.cast("double"), F.lit(0.0)).cast("int"), F.lit(0)), F.lit(top)), F.lit(0))
+    value = _number(column, kind) if _is_number(kind) else F.col(column)
+    return F.coalesce(F.when(value.isNotNull(), F.size(F.filter(F.array(*map(F.lit, cut)), lambda x: x <= value))), F.lit(0))
 
 
 def hilbert_shards(
@@ -71,18 +107,13 @@ def hilbert_shards(
 
     Law ``rows``: shard sizes in rows are at most one apart. Law ``bytes``: runs of near equal ``weight``, which is
     a positive long; a row is in the shard in which its first unit falls. ``ties`` orders rows of one cell; rows equal in
-    those too are interchangeable. Numbers are quantised by their range over the table, other values
-    by hash, null and NaN to cell 0. Repeated rows each have a slot. An empty table gives no rows. Columns named as the
+    those too are interchangeable. Each dimension is quantised by cuts of the whole table into 2**bits parts of like many rows, in
+    the order of its values (``cuts``); null, NaN and infinities are in cell 0. Repeated rows each have a slot. An empty table gives no rows. Columns named as the
     added ones are replaced.
     """
     kinds = dict(docs.dtypes)
-    numeric = [c for c in dimensions if kinds[c] not in ("string", "binary", "boolean")]
-    limits = {}
-    if numeric:
-        finite = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")) for c in numeric}
-        row = docs.agg(*(f(finite[c]).alias(f"{n}{i}") for i, c in enumerate(numeric) for n, f in (("low", F.min), ("high", F.max)))).first()
-        limits = {c: (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(numeric)}
-    cells = [_quantised(c, kinds[c], bits, *limits.get(c, (None, None))) for c in dimensions]
+    cut = cuts(docs, dimensions, bits)
+    cells = [_quantised(c, kinds[c], cut[c]) for c in dimensions]
     rows = docs.withColumn("_cell", F.array(*(c.cast("int") for c in cells)))
     rows = rows.withColumn("curve", hilbert_index("_cell", len(cells), bits)).drop("_cell")
     unit = F.lit(1).cast("long") if law == "rows" else weight

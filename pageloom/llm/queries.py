@@ -81,15 +81,15 @@ SHARDS = 40
 
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in 40 shards of equally many rows along a Hilbert curve over language, source, size and id."""
+    """Documents in 40 shards of equally many rows along a Hilbert curve over language, source and size."""
     docs = table(spark, sf_dir, "documents")
     encoded = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     listed = docs.select(
         "doc_id", "lang", "source", (F.octet_length(encoded) + 16).cast("long").alias("size"), F.crc32(encoded).alias("text_crc32")
     )
-    placed = hilbert_shards(listed, ["lang", "source", "size", "doc_id"], SHARDS, ties=[F.col("text_crc32"), F.col("doc_id")])
+    placed = hilbert_shards(listed, ["lang", "source", "size"], SHARDS, ties=[F.col("text_crc32"), F.col("doc_id")])
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
 
 

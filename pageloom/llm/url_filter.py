@@ -42,11 +42,15 @@ def _grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path with their ends marked; repeats count once."""
 
     def of(part: str, text: Column) -> Column:
-        marked = F.concat(F.lit("<"), text, F.lit(">"))
+        letters = F.split(F.concat(F.lit("<"), text, F.lit(">")), "")
 
+        # by index into the list of characters: taking substrings would walk a long URL from its start at every place
         def runs(n: int) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.char_length(marked) - n + 1, F.lit(1)))
-            return F.transform(places, lambda i: F.concat(F.lit(part), F.substring(marked, i, F.lit(n))))
+            def at(c: Column) -> Column:
+                places = F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0)))
+                return F.transform(places, lambda i: F.concat(F.lit(part), *(F.coalesce(F.get(c, i + k), F.lit("")) for k in range(n))))
+
+            return F.transform(F.array(letters), at)[0]
 
         return F.concat(*map(runs, GRAMS))
 

@@ -1,6 +1,13 @@
 """Rules by hand, the model on held-out hosts, and odd rows."""
 
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from pageloom.llm import url_filter
 from pageloom.llm.queries import QUERIES, URL_RULES
+from pageloom.llm.tables import table
 from pageloom.llm.url_filter import judge_urls
 
 CASES = [
@@ -51,6 +58,39 @@ def test_no_or_one_kind_of_labels(spark):
     assert judge_urls(pages.limit(0), URL_RULES).collect() == []
 
 
+def test_long_urls_take_time_by_their_length(spark):
+    pages = spark.createDataFrame([(i, f"http://a{i}.com/" + "é/x" * 40_000) for i in range(3)], "page_id long, url string")
+    labelled = spark.createDataFrame([("http://b.com/x", True), ("http://c.com/y", False)], "url string, blocked boolean")
+    begun = time.monotonic()
+    out = judge_urls(pages, [("block", "a1.com/")], labelled).collect()
+    assert time.monotonic() - begun < 60 and [r.rule for r in sorted(out)] == [None, "a1.com/", None] and all(len(r.path) == 120_001 for r in out)
+
+
+def test_characters_are_code_points(spark):
+    grams = spark.createDataFrame([("a\U0001f600b", "")], "h string, p string").select(url_filter._grams(F.col("h"), F.col("p"))).first()[0]
+    assert grams == ["h<a\U0001f600", "ha\U0001f600b", "h\U0001f600b>", "h<a\U0001f600b", "ha\U0001f600b>", "p<>"]
+
+
+def plain_rule(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"(?s)[^/?#]*", rest)[0]
+    path = re.match(r"(?s)[^?#]*", rest[len(host):])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [t for _, t in URL_RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_query_against_plain_rules(spark):
+    folder = "/root/testdata/sf0.01"
+    kind = {text: verdict for verdict, text in URL_RULES}
+    out = {r.page_id: r for r in QUERIES["op3_url_filter"](spark, folder).collect()}
+    pages = table(spark, folder, "pages").collect()
+    assert len(out) == len(pages)
+    for p in pages:
+        r = out[p.page_id]
+        assert (r.host, r.path, r.rule) == plain_rule(p.url) and r.verdict == kind.get(r.rule, r.verdict)
+
+
 def test_query_is_mostly_of_one_mind_with_its_rules(spark):
     out = QUERIES["op3_url_filter"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) > 0 and {r.verdict for r in out} <= {"allow", "block"}

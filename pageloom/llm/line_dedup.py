@@ -7,16 +7,16 @@ get an exact distinct count, over the rows of those lines. DataFrame functions o
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.tables import unused
 from pageloom.session import stage
 
 MIN_SITES = 5
 MIN_CHARS = 20
-MAX_PERCENT = 50
+# of a text more than this in shared lines makes it worth asking whether it is a copy
+MINOR_PERCENT = 50
 PRECISION = 12
 # three standard errors of a sketch of that precision
 BAND = 3 * 1.04 / 2 ** (PRECISION / 2)
@@ -58,8 +58,8 @@ def boilerplate_lines(
     return stage(sketched.filter(~near).select("line", F.col("estimate").alias("sites")).unionByName(exact), "boilerplate")
 
 
-def _judged(docs: DataFrame, lines: DataFrame, text_column: str, site_column: str, min_sites: int, min_chars: int, max_percent: int) -> DataFrame:
-    """(_key, _bad): per text, told by its hash, the lines to take out when copies are told by evidence."""
+def _judged(docs: DataFrame, lines: DataFrame, text_column: str, site_column: str, min_sites: int, min_chars: int, minor_percent: int) -> DataFrame:
+    """(_key, _bad): per text, told by its hash, the lines to take out."""
     text = F.col(text_column).cast("string")
     listed = F.transform(
         F.split(text, "\n"),
@@ -78,7 +78,7 @@ def _judged(docs: DataFrame, lines: DataFrame, text_column: str, site_column: st
         .groupBy("_key")
         .agg(F.array_sort(F.collect_set("x")).alias("x"), F.max("total").alias("total"), F.count("*").alias("places"))
         .withColumns({"rows": F.expr("places DIV size(x)"), "chars": F.expr("aggregate(x, 0L, (a, v) -> a + v.chars)")})
-        .select("_key", F.col("x.line").alias("_all"), "rows", (F.col("chars") * 100 > F.col("total") * max_percent).alias("mostly"))
+        .select("_key", F.col("x.line").alias("_all"), "rows", (F.col("chars") * 100 > F.col("total") * minor_percent).alias("mostly"))
     )
     texts = stage(texts, "shared")
     doubtful = texts.filter("mostly")
@@ -124,51 +124,34 @@ def line_dedup(
     site_column: str = "source",
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
-    max_percent: int = MAX_PERCENT,
-    by_evidence: bool = False,
+    minor_percent: int = MINOR_PERCENT,
+    name: str = "removed_lines",
 ) -> DataFrame:
-    """All columns of ``docs`` with the boilerplate lines taken out of the text, and ``removed_lines``.
+    """All columns of ``docs`` with the boilerplate lines taken out of the text, and ``name``, how many went.
 
     A line is what stands between line feeds, compared without spaces, tabs and carriage returns at its ends; one
-    of fewer than ``min_chars`` characters is never boilerplate. A document more than ``max_percent`` of whose
-    characters are in such lines is a copy of a whole document rather than a page with boilerplate:
-    it stays as it is, for document deduplication to judge. A null text stays null with 0 lines removed, an
-    empty one stays empty. A null site counts as no site. Repeated rows are all kept; a line repeated inside
-    a document goes at each place. An empty table gives no rows. A column that is already named
-    ``removed_lines`` is replaced; other columns may have any names.
-
-    With ``by_evidence`` the share alone exempts nothing. Such a document stays a copy if another row has the same text,
-    or another such document the same two shared lines one after the other (own and freely spread lines between them
-    aside); it then still loses the lines that are on ``min_sites`` sites by documents they are a minor part of. All others lose every shared line.
+    of fewer than ``min_chars`` characters is never boilerplate. A document loses all its lines that are on ``min_sites`` sites,
+    whatever their share, unless it is a copy of a whole document, which is left for document deduplication. Copies are told by
+    evidence: lines on enough sites are more than ``minor_percent`` of the text, and another row has the same text, or another
+    such document has the same two shared lines one after the other (freely spread and own lines between them aside). A
+    copy still loses the lines that are on ``min_sites`` sites by documents which they are a minor part of.
+
+    A null text stays null with 0 lines removed, an empty one stays empty; texts may be of any length. A null site counts
+    as no site. Repeated rows are all kept; a line repeated inside a document goes at each place. An empty table gives no
+    rows. A column that is already named as ``name`` is replaced; other columns may have any names.
     """
     text = F.col(text_column).cast("string")
     lines = boilerplate_lines(docs, text_column, site_column, min_sites, min_chars).select(F.col("line").alias("_line"))
-    if by_evidence:
-        joined = docs.withColumn("_key", F.xxhash64(text)).join(
-            _judged(docs, lines, text_column, site_column, min_sites, min_chars, max_percent), "_key", "left"
-        )
-        return _taken_out(joined, text_column, lambda bad: F.col("_bad").isNotNull())
-    hits = (
-        docs.select(F.xxhash64(text).alias("_key"), F.explode(_candidates(text, min_chars)).alias("_line"))
-        .join(lines, "_line", "left_semi")
-        .groupBy("_key")
-        .agg(F.collect_set("_line").alias("_bad"))
-    )
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(hits, "_key", "left")
-    without_feeds = F.char_length(F.regexp_replace(text, "\n", ""))
-    minor = lambda bad: F.char_length(F.array_join(bad, "")) * 100 <= without_feeds * max_percent
-    return _taken_out(joined, text_column, lambda bad: F.col("_bad").isNotNull() & minor(bad))
-
-
-def _taken_out(joined: DataFrame, text_column: str, touched: Callable[[Column], Column]) -> DataFrame:
-    """The texts without the lines in ``_bad`` where ``touched`` of the removed lines says so."""
-    text = F.col(text_column).cast("string")
+    judged = _judged(docs, lines, text_column, site_column, min_sites, min_chars, minor_percent)
+    key, bad = unused("_key", docs.columns), unused("_bad", docs.columns)
+    judged = judged.withColumnsRenamed({"_key": key, "_bad": bad})
+    joined = docs.withColumn(key, F.xxhash64(text)).join(judged, key, "left")
     parts = F.split(text, "\n")
-    is_bad = lambda x: F.array_contains("_bad", _line_hash(x))
-    bad = F.filter(parts, is_bad)
+    is_bad = lambda x: F.array_contains(bad, _line_hash(x))
+    touched = F.col(bad).isNotNull()
     return joined.withColumns(
         {
-            "removed_lines": F.when(touched(bad), F.size(bad)).otherwise(0),
-            text_column: F.when(touched(bad), F.array_join(F.filter(parts, lambda x: ~is_bad(x)), "\n")).otherwise(text),
+            name: F.when(touched, F.size(F.filter(parts, is_bad))).otherwise(0),
+            text_column: F.when(touched, F.array_join(F.filter(parts, lambda x: ~is_bad(x)), "\n")).otherwise(text),
         }
-    ).drop("_key", "_bad")
+    ).drop(key, bad)

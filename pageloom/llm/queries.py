@@ -53,17 +53,29 @@ WITH lines AS (
  SELECT DISTINCT trim(line, e' \t\r') AS line, source FROM (SELECT unnest(string_split(text, chr(10))) AS line, source FROM documents)
  WHERE source IS NOT NULL),
 bad AS (SELECT line FROM lines WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 5),
-listed AS (SELECT list(line) AS bad FROM bad),
-parts AS (
- SELECT doc_id, text, string_split(text, chr(10)) AS all_lines,
-  list_filter(string_split(text, chr(10)), lambda x: list_contains(bad, trim(x, e' \t\r'))) AS hit,
-  list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x, e' \t\r'))) AS kept
- FROM documents, listed),
-judged AS (
- SELECT *, len(hit) > 0 AND length(array_to_string(hit, '')) * 100 <= length(array_to_string(all_lines, '')) * 50 AS touched FROM parts)
-SELECT doc_id, CASE WHEN touched THEN array_to_string(kept, chr(10)) ELSE text END AS text,
- cast(CASE WHEN touched THEN len(hit) ELSE 0 END AS INTEGER) AS removed_lines
-FROM judged
+places AS (
+ SELECT text, n_rows, unnest(range(1, len(parts) + 1)) AS place, trim(unnest(parts), e' \t\r') AS line, length(unnest(parts)) AS chars
+ FROM (SELECT text, count(*) AS n_rows, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL GROUP BY text)),
+shared AS (SELECT * FROM places SEMI JOIN bad USING (line)),
+texts AS (
+ SELECT text, n_rows, sum(chars) * 100 > length(replace(text, chr(10), '')) * 50 AS mostly FROM shared GROUP BY text, n_rows),
+own AS (
+ SELECT line FROM shared JOIN documents USING (text) WHERE text NOT IN (SELECT text FROM texts WHERE mostly)
+ GROUP BY line HAVING count(DISTINCT source) >= 5),
+tied AS (
+ SELECT text, line, lead(line) OVER (PARTITION BY text ORDER BY place) AS following
+ FROM shared SEMI JOIN (SELECT text FROM texts WHERE mostly) AS m USING (text) WHERE line NOT IN (SELECT line FROM own)),
+again AS (SELECT line, following FROM tied WHERE following IS NOT NULL GROUP BY ALL HAVING count(DISTINCT text) > 1),
+copies AS (SELECT text FROM texts WHERE mostly AND n_rows > 1 UNION SELECT text FROM tied SEMI JOIN again USING (line, following)),
+taken AS (
+ SELECT text, list(DISTINCT line) AS taken FROM shared
+ WHERE text NOT IN (SELECT text FROM copies) OR line IN (SELECT line FROM own) GROUP BY text)
+SELECT doc_id,
+ CASE WHEN taken IS NULL THEN text
+  ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(taken, trim(x, e' \t\r'))), chr(10)) END AS text,
+ cast(CASE WHEN taken IS NULL THEN 0
+  ELSE len(list_filter(string_split(text, chr(10)), lambda x: list_contains(taken, trim(x, e' \t\r')))) END AS INTEGER) AS removed_lines
+FROM documents LEFT JOIN taken USING (text)
 """
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

@@ -31,13 +31,15 @@ def test_far_above_the_threshold_is_estimated(spark):
 
 def test_copies_short_lines_and_odd_rows(spark):
     copies = [(i, f"{OWN.format(0)}\n{NOTE}", f"s{i}", None, None) for i in range(9)]
-    short = [(100 + i, f"{OWN.format(i)}\nThe.", f"s{i}", None, None) for i in range(9)]
+    short = [(100 + i, f"{OWN.format(100 + i)}\nThe.", f"s{i}", None, None) for i in range(9)]
     odd = [(200, None, "s1", None, None), (201, "", None, None, None), (None, NOTE, None, None, None), (202, "\n" * 3, "s", None, None)]
     long = [(300 + i, ("word " * 200_000) + f"{i}\n{NOTE}", f"s{i}", None, None) for i in range(6)]
     out = cleaned(spark, copies + short + odd + long)
-    assert all(out[i] == (f"{OWN.format(0)}\n{NOTE}", 0) for i in range(9))
-    assert all(out[100 + i] == (f"{OWN.format(i)}\nThe.", 0) for i in range(9))
-    assert out[200] == (None, 0) and out[201] == ("", 0) and out[None] == (NOTE, 0) and out[202] == ("\n" * 3, 0)
+    # the long texts spread the note freely, so the copies lose it too and keep what only copies share
+    assert all(out[i] == (OWN.format(0), 1) for i in range(9))
+    assert all(v == (f"{OWN.format(0)}\n{NOTE}", 0) for v in cleaned(spark, copies).values())
+    assert all(out[100 + i] == (f"{OWN.format(100 + i)}\nThe.", 0) for i in range(9))
+    assert out[200] == (None, 0) and out[201] == ("", 0) and out[None] == ("", 1) and out[202] == ("\n" * 3, 0)
     assert all(out[300 + i] == (("word " * 200_000) + str(i), 1) for i in range(6))
     assert cleaned(spark, []) == {}
 
@@ -49,6 +51,15 @@ def test_repeated_rows_and_clashing_columns_stay(spark):
     assert out.filter((F.col("removed_lines") == 1) & (F.col("line") == "kept")).count() == 10
 
 
+def test_columns_of_any_name(spark):
+    rows = [(f"{OWN.format(i)}\n{NOTE}", f"s{i}", 1, [2], "x", "y") for i in range(5)]
+    frame = spark.createDataFrame(rows, "text string, source string, _key int, _bad array<int>, _line string, removed_lines string")
+    out = line_dedup(frame, name="gone").collect()
+    assert {tuple(r) for r in [(r.text, r._key, tuple(r._bad), r._line, r.removed_lines, r.gone) for r in out]} == {
+        (OWN.format(i), 1, (2,), "x", "y", 1) for i in range(5)
+    }
+
+
 def test_copies_by_evidence(spark):
     pages = [(i, f"{OWN.format(i)}\n{NOTE}", f"s{i}", None, None) for i in range(5)]
     short = [(10, f"Own words.\n{NOTE}", "s1", None, None), (11, f"Other own words.\n{NOTE}", "s2", None, None)]
@@ -56,12 +67,12 @@ def test_copies_by_evidence(spark):
     near = [(30 + i, "\n".join(f"edit {i} of it" if k == i else OWN.format(f"n{k}") for k in range(7)), f"s{i}", None, None) for i in range(7)]
     passage = [(40 + i, f"{OWN.format('p')}\nA page of {i}.", f"s{i}", None, None) for i in range(5)]
     rows = pages + short + exact + near + passage
-    out = cleaned(spark, rows, by_evidence=True)
+    out = cleaned(spark, rows)
     assert all(out[i] == (OWN.format(i), 1) for i in range(5))
     assert out[10] == ("Own words.", 1) and out[11] == ("Other own words.", 1)
     assert all(out[20 + i] == (f"{OWN.format('x')}\n{OWN.format('y')}", 1) for i in range(6))
     assert all(out[30 + i] == (near[i][1], 0) for i in range(7))
     assert all(out[40 + i] == (f"A page of {i}.", 1) for i in range(5))
     odd = [(200, None, "s1", None, None), (201, "", None, None, None), (202, "\n" * 3, "s", None, None)]
-    assert cleaned(spark, odd, by_evidence=True) == {200: (None, 0), 201: ("", 0), 202: ("\n" * 3, 0)}
-    assert cleaned(spark, [], by_evidence=True) == {}
+    assert cleaned(spark, odd) == {200: (None, 0), 201: ("", 0), 202: ("\n" * 3, 0)}
+    assert cleaned(spark, []) == {}

@@ -1,7 +1,8 @@
 """The pipeline's stages against plain Python on a whole small table, and on odd rows."""
 
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -27,12 +28,26 @@ def plain_lines(rows):
             if len(line) >= 20 and r["source"] is not None:
                 sites[line].add(r["source"])
     bad = {line for line, s in sites.items() if len(s) >= 5}
+    by_text = defaultdict(list)
+    for r in rows:
+        by_text[r["text"] or ""].append(r["source"])
+    shared = {t: [x.strip(SPACE) for x in t.split("\n") if x.strip(SPACE) in bad] for t in by_text}
+    shared = {t: x for t, x in shared.items() if x}
+    mostly = {t for t in shared if sum(len(x) for x in t.split("\n") if x.strip(SPACE) in bad) * 100 > len(t.replace("\n", "")) * 50}
+    free = defaultdict(set)
+    for t in shared.keys() - mostly:
+        for line in shared[t]:
+            free[line] |= set(by_text[t]) - {None}
+    free = {line for line, s in free.items() if len(s) >= 5}
+    pairs = {t: set(itertools.pairwise([x for x in shared[t] if x not in free])) for t in mostly}
+    seen = Counter(p for found in pairs.values() for p in found)
+    copies = {t for t in mostly if len(by_text[t]) > 1 or any(seen[p] > 1 for p in pairs[t])}
     out = []
     for r in rows:
-        lines = (r["text"] or "").split("\n")
-        hit = [x for x in lines if x.strip(SPACE) in bad]
-        if hit and sum(map(len, hit)) * 100 <= sum(map(len, lines)) * 50:
-            text = "\n".join(x for x in lines if x.strip(SPACE) not in bad)
+        t = r["text"] or ""
+        gone = set(shared.get(t, ())) & (free if t in copies else bad)
+        if gone:
+            text = "\n".join(x for x in t.split("\n") if x.strip(SPACE) not in gone)
             r = {**r, "text": text, "n_chars": len(text)}
         out.append(r)
     return out
@@ -66,6 +81,20 @@ def test_whole_pipeline(spark):
         assert np.array_equal(ids, np.append(made.whole(d["text"]), 0))
 
 
+def test_line_stage_against_plain_python(spark):
+    frame = table(spark, "/root/testdata/sf0.01", "documents")
+    key = lambda d: d["doc_id"]
+    out = sorted((r.asDict() for r in corpus_pipeline.drop_shared_lines(spark, frame, FOLDER).collect()), key=key)
+    assert out == sorted(plain_lines([r.asDict() for r in frame.collect()]), key=key)
+
+
+def test_line_stage_keeps_a_column_with_the_name_of_its_count(spark):
+    note = "All rights reserved by the publisher."
+    frame = spark.createDataFrame([(i, f"Own words of page {i}.\n{note}", f"s{i}", "mine") for i in range(6)], "doc_id long, text string, source string, removed_lines string")
+    out = corpus_pipeline.drop_shared_lines(spark, frame, FOLDER).collect()
+    assert {(r.text, r.removed_lines) for r in out} == {(f"Own words of page {i}.", "mine") for i in range(6)}
+
+
 def test_odd_rows_in_every_stage(spark):
     rows = [(None, None, None, None, None, "x"), (1, "", "en", "s", 0, "x"), (1, "a b c d e f g", "en", "s", 13, "x"), (1, "a b c d e f g", None, None, None, "y")]
     rows += [(None, "a b c d e f g", "en", "s", 13, None), (2, "w " * 200_000 + "end", "en", "s", 400_003, "z")]

@@ -17,7 +17,7 @@ from pageloom.llm.ngram_join import ngram_join
 from pageloom.llm.packing import pack_documents
 from pageloom.llm.quality import CUT, fit_quality, score_quality
 from pageloom.llm.queries import tokenizer_path
-from pageloom.llm.tables import opened, table
+from pageloom.llm.tables import opened, table, unused
 from pageloom.session import stage
 
 _ROW, _SCORE = "_row_of_stage", "_score_of_stage"
@@ -39,13 +39,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that five or more sources share; every document stays and ``n_chars`` follows its text."""
+    """Texts without the lines that five or more sources share; every document stays and ``n_chars`` follows its text.
+
+    Null and empty texts stay as they are, repeated rows are all kept, an empty table stays empty, other columns may have any names.
+    """
     opened(spark)
     columns = docs.columns
-    cleaned = line_dedup(docs, by_evidence=True)
+    removed = unused("removed_lines", columns)
+    cleaned = line_dedup(docs, name=removed)
     if "n_chars" in columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, length).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars")))
     return cleaned.select(*columns)
 
 
@@ -68,7 +72,10 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences of up to 1024 tokens, with the token ids."""
+    """All documents as pieces of sequences of up to 1024 tokens, with the token ids.
+
+    A null or empty text is the end token alone, a repeated row is packed again, an empty table gives no pieces.
+    """
     opened(spark)
     return pack_documents(docs, tokenizer_path())
 

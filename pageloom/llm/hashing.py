@@ -2,17 +2,20 @@
 
 A word hash is a polynomial over random 64-bit values of its bytes, taken for all words of a batch from one
 running sum; a shingle hash is a weighted sum of mixed word hashes, mixed again. Two different shingles
-agree with a chance of about 2**-64.
+agree with a chance of about 2**-64. Of long words a digest is taken: a polynomial modulo 2**64 tells some words of
+a thousand regularly alternating bytes not apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _STEP = 1 << 20
+LONG_WORD = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, 5 modulo 8
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240131)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -43,6 +46,19 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words that begin and end there in a run of bytes, A-Z lower-cased."""
+    powers, inverses = _power_tables(len(part) + 1)
+    running = np.zeros(len(part) + 1, dtype=np.uint64)
+    np.cumsum(_LOWER_VALUES[part] * powers[: len(part)], out=running[1:])
+    sizes = ends - starts
+    hashes = mix((running[ends] - running[starts]) * inverses[starts] + sizes.astype(np.uint64))
+    for at in np.flatnonzero(sizes >= LONG_WORD):
+        word = _LOWER[part[starts[at] : ends[at]]].tobytes()
+        hashes[at] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return hashes
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """The values without repeats, in order."""
     values = np.sort(values)
@@ -98,10 +114,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inner = inner[inner > 0]
         stops[inner - 1] |= ink[inner - 1]
         ends = np.flatnonzero(stops) + 1
-        powers, inverses = _power_tables(high - low + 1)
-        running = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_LOWER_VALUES[data[low:high]] * powers[: high - low], out=running[1:])
-        hashes.append(mix((running[ends] - running[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)))
+        hashes.append(word_hashes(data[low:high], starts, ends))
         first.append(starts + low)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)

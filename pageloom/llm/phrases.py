@@ -22,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.hashing import _LOWER, _LOWER_VALUES, _power_tables, _ranges, bytes_of, mix
+from pageloom.llm.hashing import _LOWER, _ranges, bytes_of, mix, word_hashes
 from pageloom.session import stage
 
 MAX_WORDS, MIN_COUNT = 3, 10
@@ -75,11 +75,8 @@ def _steps(data: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> Iterator[
         inner = inner[inner > 0]
         last[inner - 1] |= ink[inner - 1]
         ends = np.flatnonzero(last) + 1
-        powers, inverses = _power_tables(high - low + 1)
-        running = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_LOWER_VALUES[part] * powers[: high - low], out=running[1:])
         rows = np.searchsorted(bounds, starts + low, side="right") - 1
-        hashes = mix(mix((running[ends] - running[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)) + seeds[rows])
+        hashes = mix(word_hashes(part, starts, ends) + seeds[rows])
         stops = np.cumsum(stop, dtype=np.int64) + stops_before
         stops_before = int(stops[-1])
         yield [hashes, starts + low, ends + low, stops[starts] + rows, rows, np.ones(len(starts), bool)]
@@ -169,8 +166,10 @@ def _counted(data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now,
         fresh = ~(old[at] & old[at - 1])
         yield from batch(size, at[fresh], told[fresh])
         if size < max_words:  # nothing is built on the longest phrases
+            # the map may know by chance what was not counted before, as its inner phrases were not known
+            was = ~fresh & _known(before, told)
             hashes, known, old = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-            hashes[at], known[at], old[at] = told, now is None or _known(now, told), _known(before, told)
+            hashes[at], known[at], old[at] = told, now is None or _known(now, told), was
 
 
 def _seeds(langs: pa.Array) -> np.ndarray:

@@ -93,6 +93,49 @@ def test_a_full_bit_map_changes_nothing(spark):
     assert mined(spark, rows, filter_bytes=8) == brute(rows)
 
 
+def _counts(rows, now, before):
+    import pyarrow as pa
+
+    langs, texts = pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.large_string())
+    total = Counter()
+    for data, run in phrases._runs(texts, phrases._seeds(langs), 2):
+        for batch in phrases._counted(data, run, langs, 3, now, before, False):
+            total.update(dict(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+    return total
+
+
+def test_a_chance_hit_of_the_map_before_loses_nothing():
+    """Phrases of a new word whose pairs the map before knew by chance alone are counted by the pass that allows them."""
+    import pyarrow as pa
+
+    def hashes(*words):
+        run = next(phrases._runs(pa.array([" ".join(words)], pa.large_string()), phrases._seeds(pa.array(["en"])), 2))[1].hashes
+        pairs = phrases.mix(run[:-1] * phrases._CHAIN + run[1:])
+        return list(run), list(pairs)
+
+    def mapped(found):
+        bits = np.zeros(1 << 12, np.uint64)
+        for place in phrases._probes(np.array(found, np.uint64), len(bits) * 64):
+            np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
+        return bits
+
+    words, pairs = hashes("a", "b", "c")
+    before, now = mapped([words[0], words[2], *pairs]), mapped([*words, *pairs])  # before: "b" is not known, its pairs are by chance
+    rows = [("en", "a b c")] * 10
+    assert _counts(rows, before, None) == {}
+    assert _counts(rows, now, before) == {"a b\ten": 10, "b c\ten": 10, "a b c\ten": 10}
+
+
+def test_regular_long_words_are_told_apart(spark):
+    opened(spark)
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [("en", f"{word} q, {other} q, {other} Q")] * 12
+    assert mined(spark, rows) == brute(rows)
+
+
 def test_runs_and_steps_overlap(spark, monkeypatch):
     """A long text is counted in runs, cut anywhere, each beginning with the last words of the one before."""
     import pyarrow as pa

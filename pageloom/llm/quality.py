@@ -8,7 +8,7 @@ documents, and the reported score is a logistic that takes the value ``cut`` the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import hashing
+from pageloom.session import stage
 
-# learned from at most so many labelled documents of each kind, those with the lowest hash of their id
+# so many labelled documents of a kind are paired with each other; of more, groups of about as many
 LABELLED = 5_000
+GROUP_RARE = 50
 PAIRS_EACH = 8
 RIDGE = 1e-3
 CUT = 0.3
@@ -75,22 +77,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights - self.cut + np.log(CUT / (1 - CUT)), -500, 500)))
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Model:
-    """Bradley-Terry weights from pairs of a good and a bad row; all zero where one kind is missing."""
-    if not len(good) or not len(bad):
-        return Model(np.zeros(FEATURES), 0.0)
+def _wins(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Feature differences of pairs of a good and a bad row, every row in ``PAIRS_EACH`` or more."""
     draws = np.random.Generator(np.random.PCG64(11))
     count = PAIRS_EACH * max(len(good), len(bad))
-    wins = good[np.arange(count) % len(good)] - bad[draws.permutation(count) % len(bad)]
+    return good[np.arange(count) % len(good)] - bad[draws.permutation(count) % len(bad)]
+
+
+def _sums(wins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Slope and curve of the likelihood over pairs, as one row of numbers."""
+    chance = 1 / (1 + np.exp(-np.clip(wins @ weights, -30, 30)))
+    curve = (wins * (chance * (1 - chance))[:, None]).T @ wins
+    return np.concatenate([wins.T @ (1 - chance), curve.ravel()])
+
+
+def _climb(sums: Callable[[np.ndarray], np.ndarray], count: int) -> np.ndarray:
+    """The weights of the greatest likelihood, by the sums over all ``count`` pairs at given weights."""
     weights = np.zeros(FEATURES)
     for _ in range(30):
-        chance = 1 / (1 + np.exp(-np.clip(wins @ weights, -30, 30)))
-        slope = RIDGE * weights - wins.T @ (1 - chance) / count
-        curve = (wins * (chance * (1 - chance))[:, None]).T @ wins / count + RIDGE * np.eye(FEATURES)
+        told = sums(weights)
+        slope = RIDGE * weights - told[:FEATURES] / count
+        curve = told[FEATURES:].reshape(FEATURES, FEATURES) / count + RIDGE * np.eye(FEATURES)
         step = np.linalg.solve(curve, slope)
         weights = weights - step
         if np.abs(step).max() < 1e-8:
             break
+    return weights
+
+
+def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Model:
+    """Bradley-Terry weights from pairs of a good and a bad row; all zero where one kind is missing."""
+    if not len(good) or not len(bad):
+        return Model(np.zeros(FEATURES), 0.0)
+    wins = _wins(good, bad)
+    weights = _climb(lambda w: _sums(wins, w), len(wins))
     worths = np.concatenate([good @ weights, bad @ weights])
     shares = np.concatenate([np.full(len(good), (1 - bad_share) / len(good)), np.full(len(bad), bad_share / len(bad))])
     order = np.argsort(worths)
@@ -98,39 +118,101 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Model:
     return Model(weights, float(worths[order[below : below + 2]].mean()))
 
 
+def _matrix(flat: bytes) -> np.ndarray:
+    return np.frombuffer(flat).reshape(-1, FEATURES)
+
+
+def _grouped(rows: DataFrame, counts: list[int], most: int) -> DataFrame:
+    """(good, bad): the features of all rows (id, quality, features) in groups of about ``most`` of the commoner kind, as bytes.
+
+    Rows of the rarer kind go to so many groups that each has some ``GROUP_RARE``, or all there are.
+    """
+    groups = -(-max(counts) // most)
+    rare = int(counts[1] < counts[0])
+    copies = min(groups, max(1, -(-GROUP_RARE * groups // counts[rare])))
+    spread = F.explode(F.sequence(F.lit(0), F.when(F.col("quality") == rare, copies - 1).otherwise(0)))
+    placed = rows.withColumn("_copy", spread).withColumn("_group", F.pmod(F.xxhash64("id") + F.col("_copy"), F.lit(groups)))
+
+    def packed(group):
+        import pandas as pd
+
+        group = group.sort_values("id")
+        kinds = [np.array(group.features[group.quality == q].tolist()).reshape(-1, FEATURES).tobytes() for q in (1, 0)]
+        return pd.DataFrame([kinds], columns=["good", "bad"])
+
+    return placed.groupBy("_group").applyInPandas(packed, "good BINARY, bad BINARY")
+
+
+def _cut(worths: DataFrame, counts: list[int], bad_share: float) -> float:
+    """The value of the worths (quality, worth) below which the share of bad documents lies."""
+    tallied = worths.groupBy("worth").agg(*(F.count_if(F.col("quality") == q).alias(f"n{q}") for q in (0, 1)))
+    parts = stage(tallied.repartitionByRange("worth").withColumn("part", F.spark_partition_id()), "worths")
+
+    def passed(table, before):
+        return (before[0] + table.n0.cumsum()) * bad_share / counts[0] + (before[1] + table.n1.cumsum()) * (1 - bad_share) / counts[1]
+
+    whole = parts.groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("part").toPandas()
+    place = min(int(np.searchsorted(passed(whole, (0, 0)), bad_share - 1e-9)), len(whole) - 1)
+    before = whole[:place][["n0", "n1"]].sum().tolist()
+    table = parts.filter(F.col("part") == int(whole.part[place])).orderBy("worth").toPandas()  # one of the range's parts
+    row = min(int(np.searchsorted(passed(table, before), bad_share - 1e-9)), len(table) - 1)
+    worth = float(table.worth[row])
+    following = parts.filter(F.col("worth") > worth).agg(F.min("worth")).scalar()
+    ends = worths.sparkSession.range(1).select(following.alias("after"), parts.filter(F.col("worth") < worth).agg(F.max("worth")).scalar().alias("before")).first()
+    other = ends.after if ends.after is not None else ends.before
+    return worth if other is None else (worth + other) / 2
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = LABELLED) -> Model:
-    """Learn from ``labels`` (id, quality 1 or 0), at most ``most`` documents of each kind; other labels are left out.
+    """Learn from all ``labels`` (id, quality 1 or 0); other labels are left out.
 
-    A repeated label counts once, contradicting ones both count; labels without a document and documents
+    With more than ``most`` documents of a kind they are dealt into groups by their id, pairs are drawn in each group and the likelihood is
+    summed over all groups. A repeated label counts once, contradicting ones both count; labels without a document and documents
     without a label play no part.
     """
     marked = labels.filter("quality IN (0, 1)").select(F.col(id_column).alias("id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.filter("id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    counts = {row.quality: row["count"] for row in marked.groupBy("quality").count().collect()}
-    # bounded by the parameter, so small enough to send to every task
-    chosen = [marked.filter(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(most) for q in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionAll(chosen[1]))
+    labelled = {row.quality: row["count"] for row in marked.groupBy("quality").count().collect()}
+    bad_share = labelled.get(0, 0) / max(1, sum(labelled.values()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features(batch.column(2))
+            rows = features(batch.column(1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, FEATURES, dtype=np.int32)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["id", "quality", "features"])
-
-    schema = T.StructType(
-        [
-            T.StructField("id", texts.schema["id"].dataType),
-            T.StructField("quality", T.IntegerType()),
-            T.StructField("features", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    found = texts.join(chosen, "id").select("id", "quality", "text").mapInArrow(measured, schema)
-    # one row of numbers per chosen label, whatever the number of rows with its id
-    rows = found.groupBy("id", "quality").agg(F.min("features").alias("features")).orderBy("id", "quality").collect()
-    parts = [np.array([row.features for row in rows if row.quality == q]).reshape(-1, FEATURES) for q in (0, 1)]
-    bad, good = counts.get(0, 0), counts.get(1, 0)
-    return fit_pairs(parts[1], parts[0], bad / max(1, bad + good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "features"])
+
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    # numbers and not texts are joined; one row of them per label, whatever the number of rows with its id
+    found = texts.filter("id IS NOT NULL").mapInArrow(measured, schema).join(marked, "id")
+    rows = stage(found.groupBy("id", "quality").agg(F.min("features").alias("features")), "labelled")
+    sizes = {row.quality: row["count"] for row in rows.groupBy("quality").count().collect()}
+    counts = [sizes.get(q, 0) for q in (0, 1)]
+    if max(counts) <= most:
+        told = rows.orderBy("id", "quality").collect()  # bounded by the parameter
+        bad, good = (np.array([row.features for row in told if row.quality == q]).reshape(-1, FEATURES) for q in (0, 1))
+        return fit_pairs(good, bad, bad_share)
+    if not min(counts):
+        return Model(np.zeros(FEATURES), 0.0)
+    groups = stage(_grouped(rows, counts, most), "groups")
+
+    def summed(weights: np.ndarray) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + FEATURES + FEATURES**2)
+            for batch in batches:
+                for good, bad in zip(batch.column(0), batch.column(1), strict=True):
+                    good, bad = _matrix(good.as_py()), _matrix(bad.as_py())
+                    if len(good) and len(bad):
+                        wins = _wins(good, bad)
+                        total += np.concatenate([[len(wins)], _sums(wins, weights)])
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        # a row of fixed length per task, added up in the order of their values, so that a run is like the next
+        return np.sum(sorted(row.sums for row in groups.mapInArrow(work, "sums ARRAY<DOUBLE>").collect()), axis=0)
+
+    weights = _climb(lambda w: summed(w)[1:], int(summed(np.zeros(FEATURES))[0]))
+    worth = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights.tolist())), lambda x, w: x * w), F.lit(0.0), lambda x, y: x + y)
+    return Model(weights, _cut(rows.select("quality", worth.alias("worth")), counts, bad_share))
 
 
 def score_quality(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:

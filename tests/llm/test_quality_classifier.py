@@ -44,3 +44,22 @@ def test_odd_tables(spark):
     assert out.columns == ["doc_id", "text", "score"] and len(out.collect()) == 5 and scores[1] > scores[3]
     assert score_quality(docs.limit(0), model).collect() == []
     assert {r.score for r in score_quality(docs, fit_quality(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_all_labels_are_learned_from(spark):
+    """Groups of labelled documents give the model of all of them, of a rare kind too; no label is left out."""
+    opened(spark)
+    draws = np.random.default_rng(4)
+    texts = [("word " if i % 9 else "!! ") * int(draws.integers(1, 30)) + "x" * int(draws.integers(0, 9)) for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0 if i % 50 else i % 9 == 0)) for i in range(900)], "doc_id long, quality int")
+    whole, parted = fit_quality(docs, labels), fit_quality(docs, labels, most=100)
+    rows = features(pa.array(texts))
+    assert np.corrcoef(whole.score(rows), parted.score(rows))[0, 1] > 0.99
+    bad = labels.filter("quality = 0").count() / 900
+    assert abs((parted.score(rows) < CUT).mean() - bad) < 0.02
+    # labels beyond the first 100 by hash change the model
+    turned = labels.selectExpr("doc_id", "IF(doc_id >= 600, 1 - quality, quality) AS quality")
+    assert abs(fit_quality(docs, turned, most=100).weights - parted.weights).max() > 0.1
+    one = labels.selectExpr("doc_id", "int(doc_id > 0) AS quality")
+    assert np.isfinite(fit_quality(docs, one, most=100).weights).all() and fit_quality(docs, one, most=100).weights.any()

@@ -70,11 +70,12 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column and where each row begins; a null is empty."""
+    """All bytes of a text column, those of its own rows alone if it is a slice, and where each row begins; a null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), bounds
+    low, high = (int(bounds[0]), int(bounds[-1])) if len(bounds) else (0, 0)
+    return (np.frombuffer(data, dtype=np.uint8)[low:high] if data else np.zeros(0, np.uint8)), bounds - low
 
 
 def _ranges(space: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:

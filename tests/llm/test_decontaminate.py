@@ -75,3 +75,17 @@ def test_question_and_answer(spark):
     texts = spark.createDataFrame([("One. Two? Three!",), ("Only one.",), (None,), ("",)], "text string")
     out = [(r.question, r.answer) for r in d.question_and_answer(texts).collect()]
     assert out == [("One. Two?", "Three!"), ("Only one.", None), (None, None), ("", None)]
+
+
+def test_a_slice_costs_its_own_bytes_alone():
+    """The runs of one row of a batch, which are asked for of every row found, look at no other row's text."""
+    texts = pa.array(["one Two three four five six", None, "", "x" * 300 + " seven\teight", "nine"] * 400)
+    words, begins = hashing.words(texts)
+    for row in (0, 1, 2, 3, 4, 1003, 1999):
+        one = texts.slice(row, 1)
+        data, bounds = hashing.bytes_of(one)
+        assert data.tobytes().decode() == (one[0].as_py() or "") and bounds.tolist() == [0, len(data)]
+        own, ends = hashing.words(one)
+        assert own.tolist() == words[begins[row] : begins[row + 1]].tolist() and ends.tolist() == [0, len(own)]
+    data, bounds = hashing.bytes_of(texts.slice(2000))
+    assert len(data) == 0 and bounds.tolist() == [0]

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 REMEMBERED = 1_000_000
+AT_ONCE = 1 << 19  # bytes of text encoded together, which bounds the room for their pieces and ids
 _ENDS = frozenset(",.;:!?")
 # fixed value: the pre-token pattern of this kind of tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,6 +75,15 @@ class Encoder:
         texts = texts.cast(pa.large_string()).fill_null("")
         if self._pieces is None:
             return _joined([self.whole(x) for x in texts.to_pylist()])
+        runs = np.cumsum(pc.binary_length(texts).to_numpy()) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]
+        parts = [self._encoded(texts.slice(low, high - low)) for low, high in itertools.pairwise(cuts)]
+        ids, bounds = zip(*parts, strict=True)
+        ends = np.cumsum([0, *map(len, ids)])
+        return np.concatenate(ids), np.concatenate([[0], *(x[1:] + end for x, end in zip(bounds, ends, strict=False))]).astype(np.int64)
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of texts that are no nulls, all at once."""
         split = pc.split_pattern(texts, " ")
         flat = split.flatten()
         rows = np.diff(split.offsets.to_numpy()).astype(np.int64)

@@ -87,3 +87,21 @@ def test_query_against_the_library(spark):
     for row in rows:
         size[row[4]] += len(row[2])
     checked([(*row, size[row[4]], 0) for row in rows], ids, (1024,))
+
+
+def test_a_column_is_encoded_in_parts_of_bounded_size(monkeypatch):
+    """The room for the pieces of a batch follows the part and not the batch; ids and bounds are those of the library."""
+    from pageloom.llm import tokens
+    from pageloom.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(tokens, "AT_ONCE", 64)
+    coder, seen, encoded = tokens.Encoder(tokenizer_path()), [], tokens.Encoder._encoded
+    monkeypatch.setattr(tokens.Encoder, "_encoded", lambda self, texts: (seen.append(texts.nbytes), encoded(self, texts))[1])
+    texts = ["A few words, here.", None, "", "x  y\n z", "long word " * 50, "Übung 12!", ""] * 9
+    ids, bounds = coder.encode(pa.array(texts))
+    assert len(seen) > 9 and len(bounds) == len(texts) + 1
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == coder.whole(text or "").tolist()
+    for none in ([], [None], ["", None]):
+        ids, bounds = coder.encode(pa.array(none, pa.string()))
+        assert len(ids) == 0 and bounds.tolist() == [0] * (len(none) + 1)

@@ -20,6 +20,8 @@ from pageloom.llm.queries import tokenizer_path
 from pageloom.llm.tables import opened, table, unused
 from pageloom.session import stage
 
+# the last stages run in executors that the ones before have filled, and what they hold goes with the batch
+SMALL_BATCH = 4 * 1024 * 1024
 _ROW, _SCORE = "_row_of_stage", "_score_of_stage"
 
 
@@ -64,7 +66,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; null and empty texts stay."""
-    opened(spark)
+    opened(spark, SMALL_BATCH)
     numbered = _numbered(docs)
     items = question_and_answer(table(spark, sf_dir, "benchmark"))
     found = contaminated(numbered.select(_ROW, "text"), items, _ROW).select(_ROW).distinct()
@@ -76,7 +78,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end token alone, a repeated row is packed again, an empty table gives no pieces.
     """
-    opened(spark)
+    opened(spark, SMALL_BATCH)
     return pack_documents(docs, tokenizer_path())
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.session import ship
 
 
-def opened(spark: SparkSession) -> SparkSession:
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def opened(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     """Gives the workers this package and bounds an Arrow batch by bytes, as texts may be very long."""
     ship(spark, "pageloom")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 

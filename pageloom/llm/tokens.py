@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000  # pieces that a worker holds, some 250 bytes each
 AT_ONCE = 1 << 19  # bytes of text encoded together, which bounds the room for their pieces and ids
 _ENDS = frozenset(",.;:!?")
 # fixed value: the pre-token pattern of this kind of tokenizer

@@ -1,6 +1,7 @@
 """Packing: every id once and in its place, no gaps, full windows; and the encoder against the library."""
 
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -105,3 +106,17 @@ def test_a_column_is_encoded_in_parts_of_bounded_size(monkeypatch):
     for none in ([], [None], ["", None]):
         ids, bounds = coder.encode(pa.array(none, pa.string()))
         assert len(ids) == 0 and bounds.tolist() == [0] * (len(none) + 1)
+
+
+def test_what_a_worker_remembers_is_small():
+    """Two workers stand beside the JVM in an executor; pieces of a text that has only new ones must not fill it."""
+    coder = Encoder(tokenizer_path())
+    held = lambda: sys.getsizeof(coder._known) + sum(sys.getsizeof(x) for pair in coder._known.items() for x in pair)
+    most = 0
+    for low in range(0, 400_000, 20_000):
+        texts = [" ".join(f"q{i:x}z" for i in range(at, at + 1_000)) for at in range(low, low + 20_000, 1_000)]
+        coder.encode(pa.array(texts))
+        most = max(most, held())
+    assert 0 < most < 32_000_000
+    ids, _ = coder.encode(pa.array(["q0z, again q1z"]))
+    assert ids.tolist() == coder.whole("q0z, again q1z").tolist()

@@ -109,3 +109,14 @@ def test_odd_rows_in_every_stage(spark):
             elif name != "packing" and name != "quality classifier":
                 assert out.count() == len(part)
         assert out.columns[0] == "doc_id" and (out.count() > 0) == bool(part)
+
+
+def test_the_last_stages_take_small_batches(spark):
+    """They run where the earlier ones have filled the executors; the next run's first stage has large ones again."""
+    frame = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    size = lambda: int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    corpus_pipeline.drop_shared_lines(spark, frame.selectExpr("*", "'s' AS source"), FOLDER)
+    assert size() == 16 << 20
+    for last in (corpus_pipeline.drop_benchmarks, corpus_pipeline.pack):
+        last(spark, frame, FOLDER)
+        assert size() == 4 << 20

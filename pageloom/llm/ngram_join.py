@@ -31,13 +31,14 @@ from pageloom.session import stage
 SIZE = 5
 PERCENT = 80
 # the order's list of frequent shingles: it only makes the join cheaper, whatever is in it
-FREQUENT = 1 << 16
-# so many ids of documents to verify are sent to all tasks; with more the join is Spark's to plan
+FREQUENT = 1 << 19
+# so many ids of documents or classes to verify are sent to all tasks; with more the join is Spark's to plan
 BROADCAST_IDS = 1_000_000
 _COUNTED = 1 << 22  # shingles counted at once in a task
 _REPEATED = 3
+_SHARE_BITS = 20
 
-_SLOTS = 1 << 20
+_SLOTS = 1 << 22
 
 
 def _digest(*parts: bytes) -> int:
@@ -50,7 +51,8 @@ def _digest(*parts: bytes) -> int:
 def frequent_shingles(texts: DataFrame, size: int = SIZE, most: int = FREQUENT) -> np.ndarray:
     """The shingles seen in most texts, rarest first: at most ``most``, counted over all rows of ``texts``.
 
-    A task reports what repeats among the texts that it reads together; equal texts there count once.
+    A task reports what repeats among the texts that it reads together; equal texts there count once. Of the shingles with
+    the least count that still has room an even share by hash is taken.
     """
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -72,15 +74,18 @@ def frequent_shingles(texts: DataFrame, size: int = SIZE, most: int = FREQUENT)
         if parts:
             yield counted(parts)
 
-    found = (
-        texts.mapInArrow(count, "token long, rows long")
-        .groupBy("token")
-        .agg(F.sum("rows").alias("rows"))
-        .orderBy(F.desc("rows"), "token")
-        .limit(most)
-        .collect()
-    )
-    return np.array([row.token for row in reversed(found)], dtype=np.int64).view(np.uint64)
+    every = texts.mapInArrow(count, "token long, rows long").groupBy("token").agg(F.sum("rows").alias("rows"))
+    every = stage(every, "repeated")
+    room, least, share = most, 0, 1 << _SHARE_BITS
+    for rows, tokens in every.groupBy("rows").agg(F.count("*")).orderBy(F.desc("rows")).collect():
+        if tokens >= room:
+            least, share = rows, (room << _SHARE_BITS) // tokens
+            break
+        room -= tokens
+    part = F.col("token").bitwiseAND((1 << _SHARE_BITS) - 1) < share
+    found = every.filter((F.col("rows") > least) | (F.col("rows") == least) & part).toArrow()
+    tokens, rows = (found.column(c).to_numpy() for c in ("token", "rows"))
+    return tokens[np.lexsort((tokens, -rows))[:most]][::-1].view(np.uint64)
 
 
 def prefix_length(count: int, percent: int) -> int:
@@ -163,9 +168,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stage(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(cls) of the pairs (a, b); each side is made distinct first, as a class may be in very many pairs."""
+    sides = (pairs.select(F.col(side).alias("cls")).distinct() for side in "ab")
+    return next(sides).unionAll(next(sides)).distinct()
+
+
 def _possible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes share enough, which all similar ones do."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    named = _ends(pairs)
+    if 2 * pairs.count() <= BROADCAST_IDS:  # else the prefixes of all documents are shuffled
+        named = F.broadcast(named)
     heads = rows.select("cls", "n", "prefix").join(named, "cls", "left_semi").dropDuplicates(["cls"])
     left, right = (heads.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "prefix"))) for x in "ab")
     met = pairs.join(left, F.col("a") == F.col("cls_a")).join(right, F.col("b") == F.col("cls_b"))
@@ -188,7 +201,7 @@ def _verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, pairs: DataF
                 kept.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    named = _ends(pairs)
     sets = _sets(docs, classes.join(named, "cls", "left_semi").select("id", "cls"), size)
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("right"))
@@ -261,12 +274,16 @@ def ngram_join(
     rows = stage(_prefixes(docs, frequent, size, percent), "prefixes")
     filled = rows.filter("n > 0")
     classes = filled.groupBy("cls", "n", "grp").agg(F.min("id").alias("id"))
+    group = Window.partitionBy("n", "grp")
+    classes = stage(
+        classes.withColumns({"rep": F.min("cls").over(group), "before": F.lag("cls").over(group.orderBy("cls"))}).drop("grp"), "classes"
+    )
 
     groups = filled.groupBy("n", "grp").agg(
         F.first("prefix").alias("prefix"), F.min("cls").alias("low"), F.max("cls").alias("high")
     )
     posted = groups.select(
-        "grp", "n", F.col("low").alias("rep"), (F.col("low") != F.col("high")).alias("many"), F.posexplode("prefix").alias("pos", "token")
+        "n", F.col("low").alias("rep"), (F.col("low") != F.col("high")).alias("many"), F.posexplode("prefix").alias("pos", "token")
     )
     along = Window.partitionBy("token").orderBy("n", "rep")
     near = {f"{name}_before": F.lag(name).over(along) for name in ("rep", "n", "pos")}
@@ -279,13 +296,13 @@ def ngram_join(
 
     before = shared.filter(_first_shared("n_before", "n", "pos_before", "pos", percent))
     before = before.select(F.col("rep_before").alias("a"), F.col("n_before").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    inside = classes.select(F.lag("cls").over(Window.partitionBy("n", "grp").orderBy("cls")).alias("a"), F.col("cls").alias("b"))
+    inside = classes.select(F.col("before").alias("a"), F.col("cls").alias("b"))
     hubs = _hub_pairs(shared.select("token", "pos", "n", F.col("rep").alias("cls")), percent)
     likely = _likeliest(before, percent).unionAll(_likeliest(hubs, percent)).unionAll(inside.filter("a IS NOT NULL"))
     links = _verified(docs, rows, classes, stage(likely.distinct(), "likely"), size, percent)
     labels = stage(components(links), "labels")
 
-    posted = shared.select("token", "pos", "n", "grp").join(classes.drop("id"), ["grp", "n"])
+    posted = shared.select("token", "pos", "n", "rep").join(classes.select("rep", "n", "cls"), ["rep", "n"])
     members = stage(_apart(posted, labels), "members")
     hubs = _hub_pairs(members, percent)
     more = _verified(docs, rows, classes, stage(_likeliest(hubs, percent), "likely"), size, percent)

@@ -4,7 +4,7 @@ import random
 import re
 
 from pageloom.llm.components import components
-from pageloom.llm.ngram_join import ngram_join
+from pageloom.llm.ngram_join import _possible, frequent_shingles, ngram_join
 from pageloom.llm.tables import opened
 
 
@@ -86,3 +86,26 @@ def test_components_of_chains_and_hubs(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1300), 1000)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_the_list_of_frequent_shingles_holds_what_repeats(spark):
+    """All that 65,536 places leave out would stand in prefixes and be joined; a shorter list takes the most frequent first."""
+    opened(spark)
+    words = " ".join(f"w{i}" for i in range(70_004))
+    often = "some words that very often come again"
+    rows = [(f"{words} {i}",) for i in range(3)] + [(f"{often} {i}",) for i in range(7)]
+    texts = spark.createDataFrame(rows, "text string").coalesce(1)
+    every = frequent_shingles(texts).tolist()
+    assert len(every) == len(set(every)) == 70_003
+    short = frequent_shingles(texts, most=1_000).tolist()
+    assert short[-3:] == every[-3:] and 900 < len(short) <= 1_000 and set(short) <= set(every)
+    assert len(frequent_shingles(texts.limit(0))) == 0
+
+
+def test_pairs_are_not_written_out_by_class(spark):
+    """A class of a large group is in very many pairs; their prefixes are looked up once a class."""
+    pairs = spark.createDataFrame([(a, b) for b in range(9) for a in range(b)], "a long, b long")
+    for common, kept in (([1, 2], 36), ([1], 0)):
+        rows = spark.createDataFrame([(i, 5, [*common, i + 10]) for i in range(9)], "cls long, n long, prefix array<long>")
+        found = _possible(rows, pairs, 80)
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == kept

@@ -1,56 +1,82 @@
 """Keyed state with an end: completions that count their own totals, and alerts on event-time timers.
 
 State is one value per key and read and written once per batch. A hot context is spread over ``buckets`` keys by task; what the
-buckets say is added up per context from at most one row a bucket and batch.
+buckets say is added up per context from at most one row a bucket and batch. Completions keep the values of many keys in one of
+``slots`` maps, as calling the processor costs more than a key's own work: a slot is called once per batch and reads and writes the values of that batch's keys alone.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ENDED = ("done", "failed")
 BUCKETS = 8
+SLOTS = 1024
+SWEEPS = 4  # timers per slot and delay
 
-_DELTAS = "context_id STRING, generation BIGINT, opened BIGINT, done BIGINT, failed BIGINT, ts TIMESTAMP"
+# inside the processors a generation is a string: pandas has no null in a column of numbers
+_DELTAS = "context_id STRING, generation STRING, opened BIGINT, done BIGINT, failed BIGINT, ts TIMESTAMP"
+_TOLD = "context_id STRING, generation STRING, total BIGINT, done BIGINT, failed BIGINT"
 COMPLETIONS = "context_id STRING, generation BIGINT, total BIGINT, done BIGINT, failed BIGINT"
 ALERTS = "task_id STRING, context_id STRING, started_at TIMESTAMP"
 
 
 class _Ending(StatefulProcessor):
-    """A value per key with a timer at the key's latest row: when no row of its time can come any more, ``over`` drops the value."""
+    """Values by (context, generation), each due at its latest row: when no row of its time can come any more, ``over`` drops the value.
+
+    A slot has a timer at every multiple of ``grain`` milliseconds that follows a due time, so a value goes at most that much later.
+    """
 
     layout = ""
+    empty: tuple = ()
+    says: tuple = ()
+
+    def __init__(self, grain: int):
+        self.grain = grain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("value", f"{self.layout}, timer BIGINT")
-
-    def read(self) -> tuple | None:
-        return self.value.get()
-
-    def write(self, value: tuple, latest: dt.datetime, timer: int | None) -> None:
-        due = max(int(latest.timestamp() * 1000) + 1, timer or 0)
-        if timer != due:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.value.update((*value, due))
+        self.values = handle.getMapState("values", "context_id STRING, generation STRING", f"{self.layout}, due BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[tuple, list[tuple]] = {}
+        for frame in rows:
+            of, told = frame.columns[1:3], frame.columns[3:]  # after the slot
+            keys = zip(*(frame[x].tolist() for x in of), strict=True)
+            for one, row in zip(keys, zip(*(frame[x].tolist() for x in told), strict=True), strict=True):
+                arrived.setdefault(one, []).append(row)
+        timers, found = set(), []
+        for of, own in arrived.items():
+            *value, due = self.values.getValue(of) or (*self.empty, 0)
+            own.sort(key=itemgetter(-1))
+            value, told = self.add(value, own)
+            due = max(own[-1][-1] // 1000 + 1, due)
+            self.values.updateValue(of, (*value, due))
+            timers.add(-(-due // self.grain) * self.grain)
+            if told:
+                found.append((*of, *told))
+        for timer in timers.difference(self.handle.listTimers()):
+            self.handle.registerTimer(timer)
+        if found:
+            yield pd.DataFrame(found, columns=self.says)
+
+    def add(self, value: list, rows: list[tuple]) -> tuple[tuple, tuple | None]:
+        """The value with a key's rows, which end in their time and its microseconds and are in its order, and what is to be said of them."""
+        raise NotImplementedError
 
-    def over(self, value: tuple) -> bool:
+    def over(self, value: list) -> bool:
         raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        *value, timer = self.read()
-        if timer == expiredTimerInfo.getExpiryTimeInMs():
-            if self.over(value):
-                self.value.clear()
-            else:
-                self.value.update((*value, 0))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for of in [of for of, (*value, due) in self.values.iterator() if due <= now and self.over(value)]:
+            self.values.removeKey(of)
         yield from ()
 
     def close(self) -> None:
@@ -61,23 +87,21 @@ class _Tally(_Ending):
     """Per (context, generation, bucket): tasks newly opened and newly ended, each once however often it is reported."""
 
     layout = "opened ARRAY<STRING>, done ARRAY<STRING>, failed ARRAY<STRING>"
+    empty = ((), (), ())
+    says = ("context_id", "generation", "opened", "done", "failed", "ts")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        *known, timer = self.read() or ((), (), (), 0)
-        sets = [set(x) for x in known]
+    def add(self, value: list, rows: list[tuple]) -> tuple[tuple, tuple | None]:
+        sets = [set(x) for x in value]
         before = [len(x) for x in sets]
-        rows = sorted(rows, key=lambda r: r.ts)
-        for row in rows:
-            if row.status == "pending":
-                sets[0].add(row.task_id)
-            elif row.task_id not in sets[1] and row.task_id not in sets[2]:
-                sets[ENDED.index(row.status) + 1].add(row.task_id)
-        self.write(tuple(sorted(x) for x in sets), rows[-1].ts, timer)
+        for task, status, *_ in rows:
+            if status == "pending":
+                sets[0].add(task)
+            elif task not in sets[1] and task not in sets[2]:
+                sets[ENDED.index(status) + 1].add(task)
         new = [len(x) - n for x, n in zip(sets, before, strict=True)]
-        if any(new):
-            yield Row(context_id=key[0], generation=key[1], opened=new[0], done=new[1], failed=new[2], ts=rows[-1].ts)
+        return tuple(sorted(x) for x in sets), (*new, rows[-1][-2]) if any(new) else None
 
-    def over(self, value: tuple) -> bool:
+    def over(self, value: list) -> bool:
         return not set(value[0]) - set(value[1]) - set(value[2])
 
 
@@ -85,34 +109,40 @@ class _Complete(_Ending):
     """Per (context, generation): one row when as many tasks have ended as were opened."""
 
     layout = "total BIGINT, done BIGINT, failed BIGINT, told BOOLEAN"
+    empty = (0, 0, 0, False)
+    says = ("context_id", "generation", "total", "done", "failed")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        total, done, failed, told, timer = self.read() or (0, 0, 0, False, 0)
-        latest = None
-        for row in rows:
-            total, done, failed = total + row.opened, done + row.done, failed + row.failed
-            latest = row.ts if latest is None else max(latest, row.ts)
+    def add(self, value: list, rows: list[tuple]) -> tuple[tuple, tuple | None]:
+        total, done, failed, told = value
+        for opened, new, lost, *_ in rows:
+            total, done, failed = total + opened, done + new, failed + lost
         due = not told and total > 0 and done + failed == total
-        self.write((total, done, failed, told or due), latest, timer)
-        if due:
-            yield Row(context_id=key[0], generation=key[1], total=total, done=done, failed=failed)
+        return (total, done, failed, told or due), (total, done, failed) if due else None
 
-    def over(self, value: tuple) -> bool:
+    def over(self, value: list) -> bool:
         return value[3] or not value[0]
 
 
-def stream_completion(changes: DataFrame, delay: str, buckets: int = BUCKETS) -> DataFrame:
+def stream_completion(changes: DataFrame, delay: str, buckets: int = BUCKETS, slots: int = SLOTS) -> DataFrame:
     """Contexts whose last open task has ended: (context_id, generation, total, done, failed), each (context, generation) once (append mode).
 
     A generation's total is the number of tasks that became pending in it, as the stream itself says: new ones in generation 0, retried ones in
     later ones. The tasks of a submission must not be split over batches by tasks that end in between. Ends may come before their task's opening;
-    repeats count nothing. ``delay`` says how late a change may come; state of what is complete goes when it has passed, so
-    only open tasks are remembered for longer.
+    repeats count nothing. ``delay`` says how late a change may come; state of what is complete goes when it has passed, at most a quarter of
+    it later, so only open tasks are remembered for longer. A checkpoint keeps to the ``buckets`` and ``slots`` it began with.
     """
     told = changes.filter(F.col("status").isin("pending", *ENDED)).withWatermark("ts", delay)
-    keyed = told.select("context_id", "generation", F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int").alias("bucket"), "task_id", "status", "ts")
-    tallied = keyed.groupBy("context_id", "generation", "bucket").transformWithState(_Tally(), _DELTAS, "Append", "EventTime", eventTimeColumnName="ts")
-    return tallied.groupBy("context_id", "generation").transformWithState(_Complete(), COMPLETIONS, "Append", "EventTime")
+    millis = changes.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {delay})").head()[0]
+    grain = max(millis // SWEEPS, 1)
+    slot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int").alias("slot")
+    at = F.unix_micros("ts").alias("at")
+    generation = F.col("generation").cast("string").alias("generation")
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets))
+    keyed = told.select(slot("context_id", "generation", bucket), "context_id", generation, "task_id", "status", "ts", at)
+    tallied = keyed.groupBy("slot").transformWithStateInPandas(_Tally(grain), _DELTAS, "Append", "EventTime", eventTimeColumnName="ts")
+    summed = tallied.select(slot("context_id", "generation"), *tallied.columns, at)
+    found = summed.groupBy("slot").transformWithStateInPandas(_Complete(grain), _TOLD, "Append", "EventTime")
+    return found.withColumn("generation", F.col("generation").cast("long"))
 
 
 class _Overdue(StatefulProcessor):

@@ -75,3 +75,20 @@ def test_alerts_on_timers(spark, tmp_path, log):  # noqa: F811
     run(processors.stream_stale(log.stream(), 5, "30 minutes", buckets=2), tmp_path, "out", told)
     assert len(rows(spark, tmp_path, "out", processors.ALERTS)) == 5  # the restart of "end" that nothing answered
     assert told[-1]["stateOperators"][0]["numRowsTotal"] <= 2  # only the last starts still wait
+
+
+def test_many_contexts_share_a_slot(spark, tmp_path, log):  # noqa: F811
+    """A slot's timers are few however many contexts it holds, and each context keeps its own count and end."""
+    told = []
+    rows_of = [walk(f"{n}-{t}", f"c{n}", n % 7, n % 7 + 1 + t) for n in range(40) for t in range(2)]
+    log.add([x for own in rows_of for x in own] + walk("open", "c3", 2, None) + [("null", None, None, "pending", 0, at(1)), ("null", None, "running", "done", 0, at(2))])
+    run(processors.stream_completion(log.stream(), "1 day", buckets=2, slots=2), tmp_path, "out", told)
+    done = lambda: set(map(tuple, spark.read.schema(processors.COMPLETIONS).parquet(f"{tmp_path}/out").collect()))
+    assert done() == {(f"c{n}", 0, 2, 2, 0) for n in range(40) if n != 3} | {(None, 0, 1, 1, 0)}
+    timers = [int(s["customMetrics"]["numRegisteredTimers"]) for p in told[:1] for s in p["stateOperators"]]
+    assert all(0 < n <= 4 for n in timers)
+    log.add([("open", "c3", "running", "done", 0, at(9))])
+    log.add(walk("later", "z", 6000, 6001))
+    run(processors.stream_completion(log.stream(), "1 day", buckets=2, slots=2), tmp_path, "out", told)
+    assert ("c3", 0, 3, 3, 0) in done()
+    assert [s["numRowsTotal"] for s in told[-1]["stateOperators"]] == [1, 1]  # only "z" is young

@@ -3,7 +3,10 @@
 A phrase is frequent only if all phrases inside it are. A sample of the texts proposes phrases by a lowered threshold. The full
 pass counts every phrase whose inner phrases are all proposed: the proposals and their negative border. Phrases of the border
 that prove frequent are failures of the sample; they join the proposals, and a further pass counts only what these newly
-allow, until a pass has no failure. Every phrase is counted in exactly one pass, over all texts.
+allow, until a pass has no failure. Every phrase is counted as text in at most one pass, over all texts.
+
+The sample counts by 64-bit hashes alone, and the first full pass does so with the border below ``max_words``, as most of it is rare. Phrases
+that share a hash are counted together, so this only rules out: what reaches the threshold is suspect and counted as text, exactly, by the next pass.
 
 Tasks know the proposals as a bit map of fixed size (``filter_bytes``), the only thing broadcast. A bit map lets some phrases through
 that are not proposed, and more so the more it holds; they are counted for nothing and change no result. In a task the
@@ -30,10 +33,13 @@ SAMPLE_RATE, LOWERING = 0.25, 0.8
 FILTER_BYTES = 8 << 20
 PROBES = 3
 RUN_WORDS = 200_000
+MERGE_ROWS = 400_000  # phrases that occur again and again are added up in a task until there are so many
+NEW, KNOWN = 0, 1  # marks of keys counted as text, by what the map says of them; a hash has no key
 HOT_SHARE = 1024  # a part that more than one in so many lookups asks for is broadcast: there are at most as many of them
 
 # a phrase and its lang leave a task as one key: no word holds a tab
 _ARROW = pa.schema([("key", pa.string()), ("f", pa.int64())])
+_HASHED = pa.schema([("hash", pa.int64()), ("f", pa.int64())])
 _TAB = pa.scalar("\t", pa.large_string())
 _SPACE = pa.scalar(" ", pa.large_string())
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
@@ -98,11 +104,11 @@ def _runs(texts: pa.Array, seeds: np.ndarray, overlap: int, run_words: float = R
         yield data, _Run(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def _words(data: np.ndarray, run: _Run) -> pa.Array:
-    """The words of a run as strings, A-Z lower-cased."""
-    sizes = run.ends - run.starts
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words that begin and end there as strings, A-Z lower-cased."""
+    sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    flat = _LOWER[data[np.repeat(run.starts - offsets[:-1], sizes) + np.arange(offsets[-1])]]
+    flat = _LOWER[data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]]
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
@@ -112,50 +118,86 @@ def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(hashes + step * np.uint64(i)) & np.uint64(bits - 1) for i in range(PROBES)]
 
 
-def _known(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    if bitmap is None:
-        return np.zeros(len(hashes), bool)
-    found = np.ones(len(hashes), bool)
-    for place in _probes(hashes, len(bitmap) * 64):
-        found &= (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _known(maps: list[np.ndarray | None], hashes: np.ndarray) -> list[np.ndarray]:
+    """Per map, which phrases it knows; None knows nothing."""
+    found = [np.full(len(hashes), x is not None) for x in maps]
+    sizes = {len(x) for x in maps if x is not None}
+    for size in sizes:
+        for place in _probes(hashes, size * 64):
+            cell, bit = place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
+            for known, bitmap in zip(found, maps, strict=True):
+                if bitmap is not None:
+                    known &= (bitmap[cell] & bit) != 0
     return found
 
 
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where a sorted column has a new value."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _counted(data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now, before, words_too: bool) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of a run whose inner phrases ``now`` knows, less those whose inner phrases ``before`` knew.
 
     ``now`` of None stands for a map that knows every phrase.
     """
+    for _, _, batch in _told(data, run, langs, max_words, now, before, words_too, False, False):
+        yield batch
 
-    def batch(size: int, last: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _told(
+    data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now, before, words_too: bool, by_hash: bool, resolve: bool
+) -> Iterator[tuple[int | None, bool, pa.RecordBatch]]:
+    """Mark, whether the phrases are likely to occur again, and counts.
+
+    With ``by_hash`` phrases below ``max_words`` that ``now`` does not know are counted by hash, without a map all phrases. ``resolve`` says that
+    the pass before did so: of those, what ``now`` knows is counted as text.
+    """
+    sample = by_hash and now is None
+    whole: list[pa.Array] = []
+    wide_langs = langs.cast(pa.large_string())
+
+    def words(places: np.ndarray, many: bool) -> pa.Array:
+        if not many:
+            return _words(data, run.starts[places], run.ends[places])
+        if not whole:
+            whole.append(_words(data, run.starts, run.ends))
+        return whole[0].take(pa.array(places))
+
+    def batch(size: int, last: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         """Of occurrences by the place of their last word and the hash of the phrase."""
         own = run.own[last]
         last, keys = last[own], keys[own]
-        if not len(keys):
-            return
         order = np.argsort(keys)
-        new = np.ones(len(keys), bool)
-        np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
-        begins = np.flatnonzero(new)
+        begins = _first(keys[order])
         total = np.zeros(len(run.hashes), np.int64)
         total[last[order[begins]]] = np.diff(begins, append=len(keys))
         places = np.flatnonzero(total)  # in the order of the text, whose words are then read in order
-        amounts = total[places]
-        apart = [words.take(pa.array(places - k)) for k in range(size - 1, -1, -1)]
+        many = 4 * size * len(places) > len(run.hashes)
+        apart = [words(places - k, many) for k in range(size - 1, -1, -1)]
         told = pc.binary_join_element_wise(*apart, _SPACE) if size else pa.array([""] * len(places), pa.large_string())
         told = pc.binary_join_element_wise(told, wide_langs.take(pa.array(run.rows[places])), _TAB)
-        yield pa.record_batch([told.cast(pa.string()), pa.array(amounts)], schema=_ARROW)
+        return pa.record_batch([told.cast(pa.string()), pa.array(total[places])], schema=_ARROW)
 
-    words, wide_langs = _words(data, run), langs.cast(pa.large_string())
+    def hashed(last: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        keys = np.sort(keys[run.own[last]])
+        begins = _first(keys)
+        return pa.record_batch([pa.array(keys[begins].view(np.int64)), pa.array(np.diff(begins, append=len(keys)))], schema=_HASHED)
 
-    if words_too:
-        everywhere = np.arange(len(run.hashes))
-        yield from batch(1, everywhere, run.hashes)
-        yield from batch(0, everywhere, langs.dictionary_encode().indices.to_numpy(zero_copy_only=False)[run.rows])
     # per place of a last word: the hash of the phrase that ends there, and whether the maps know it
     hashes = run.hashes
-    known = np.ones(len(hashes), bool) if now is None else _known(now, hashes)
-    old = _known(before, hashes)
+    known, old = _known([now, before], hashes)
+    if words_too:
+        everywhere = np.arange(len(hashes))
+        if sample:
+            yield None, False, hashed(everywhere, hashes)
+        else:
+            yield KNOWN, True, batch(1, everywhere[known], hashes[known])
+            yield NEW, False, batch(1, everywhere[~known], hashes[~known])
+            yield KNOWN, True, batch(0, everywhere, langs.dictionary_encode().indices.to_numpy(zero_copy_only=False)[run.rows])
+    known |= now is None
     together = np.zeros(len(hashes), bool)
     together[1:] = run.pieces[1:] == run.pieces[:-1]
     for size in range(2, max_words + 1):
@@ -164,12 +206,43 @@ def _counted(data: np.ndarray, run: _Run, langs: pa.Array, max_words: int, now,
         at = np.flatnonzero(fits)
         told = mix(hashes[at - 1] * _CHAIN + run.hashes[at])
         fresh = ~(old[at] & old[at - 1])
-        yield from batch(size, at[fresh], told[fresh])
-        if size < max_words:  # nothing is built on the longest phrases
-            # the map may know by chance what was not counted before, as its inner phrases were not known
-            was = ~fresh & _known(before, told)
-            hashes, known, old = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-            hashes[at], known[at], old[at] = told, now is None or _known(now, told), was
+        if size == max_words and not sample:  # nothing is built on the longest phrases
+            yield NEW, False, batch(size, at[fresh], told[fresh])
+            return
+        knows, knew = _known([now, before], told)
+        new = fresh & ~knows
+        yield (None, False, hashed(at[new], told[new])) if by_hash else (NEW, False, batch(size, at[new], told[new]))
+        knows |= now is None
+        met = ~new & knows & (fresh | ~knew if resolve else fresh)
+        if not sample:
+            yield KNOWN, by_hash, batch(size, at[met], told[met])
+        hashes, known, old = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+        # the map may know by chance what was not counted before, as its inner phrases were not known
+        hashes[at], known[at], old[at] = told, knows, ~fresh & knew
+
+
+def _merged(told: Iterator[tuple[int | None, bool, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, hash, f): hashes without a key, keys with their mark; what occurs again is added up over the runs of a task."""
+
+    def out(mark: int | None, batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        first, f = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in batch.columns)
+        alone = pa.nulls(len(f), pa.string()) if mark is None else pa.array(np.full(len(f), mark, np.int64))
+        return pa.record_batch([alone, first, f] if mark is None else [first, alone, f], names=["key", "hash", "f"])
+
+    held: list[pa.Table] = []
+    for mark, again, batch in told:
+        if again:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(x.num_rows for x in held) > 2 * MERGE_ROWS:
+                one = pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("f", "sum")])
+                held = [one.select(["key", "f_sum"]).rename_columns(["key", "f"])]
+                if one.num_rows > MERGE_ROWS:
+                    yield out(KNOWN, held.pop())
+        elif len(batch):
+            yield out(mark, batch)
+    for table in held:
+        if len(table):
+            yield out(KNOWN, table)
 
 
 def _seeds(langs: pa.Array) -> np.ndarray:
@@ -196,28 +269,51 @@ def _column(table: pa.Table, place: int, kind: pa.DataType) -> pa.Array:
     return chunks.chunk(0) if chunks.num_chunks == 1 else pa.concat_arrays(chunks.chunks)
 
 
-def count_phrases(docs: DataFrame, max_words: int, now: Broadcast | None, before: Broadcast | None, words_too: bool, least: int) -> DataFrame:
-    """(lang, size, phrase, f) of phrases that occur ``least`` times in docs (lang, text); with ``words_too`` the words, and as the empty phrase their total."""
+def count_phrases(
+    docs: DataFrame,
+    max_words: int,
+    now: Broadcast | None,
+    before: Broadcast | None,
+    words_too: bool,
+    least: int,
+    by_hash: bool = False,
+    resolve: bool = False,
+) -> DataFrame:
+    """(lang, size, phrase, f, hash) of phrases that occur ``least`` times in docs (lang, text); with ``words_too`` the words, and as the empty phrase their total.
+
+    With ``by_hash`` the border, without ``now`` every phrase, comes as a hash without a phrase; ``resolve`` says that the pass before did so.
+    The ``hash`` of phrases counted as text is 1 if ``now`` knows them, else 0.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [None if x is None else np.frombuffer(x.value, np.uint64) for x in (now, before)]
-        for table in _together(batches, 2 << 20):
-            langs = _column(table, 0, pa.string())
-            for data, run in _runs(_column(table, 1, pa.large_string()), _seeds(langs), max_words - 1):
-                yield from _counted(data, run, langs, max_words, *maps, words_too)
 
-    counted = docs.select("lang", "text").mapInArrow(work, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+        def told():
+            for table in _together(batches, 2 << 20):
+                langs = _column(table, 0, pa.string())
+                for data, run in _runs(_column(table, 1, pa.large_string()), _seeds(langs), max_words - 1):
+                    yield from _told(data, run, langs, max_words, *maps, words_too, by_hash, resolve)
+
+        yield from _merged(told())
+
+    counted = docs.select("lang", "text").mapInArrow(work, "key string, hash long, f long").groupBy("key", "hash").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", "\t", 1)
-    size = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))
+    size = F.when(phrase == "", 0).when(phrase.isNotNull(), F.size(F.split(phrase, " ", -1)))
     return counted.filter((F.col("f") >= least) | F.startswith("key", F.lit("\t"))).select(
-        F.expr("substring(key, locate('\t', key) + 1)").alias("lang"), size.alias("size"), phrase.alias("phrase"), "f"
+        F.expr("substring(key, locate('\t', key) + 1)").alias("lang"), size.alias("size"), phrase.alias("phrase"), "f", "hash"
     )
 
 
-def bit_map(phrases: DataFrame, size: int) -> Broadcast:
-    """Phrases (lang, phrase) as a bit map of ``size`` bytes, a power of two, for all tasks."""
+def bit_map(phrases: DataFrame, size: int, hashes: DataFrame | None = None, known: Broadcast | None = None) -> Broadcast:
+    """Phrases (lang, phrase) and hashes of others (hash) as a bit map of ``size`` bytes, a power of two, for all tasks; with all that ``known`` knows."""
     bits = size * 8
 
+    def cells(found: np.ndarray) -> pa.RecordBatch:
+        places = np.unique(np.concatenate(_probes(found, bits)))
+        cells, starts = np.unique(places >> np.uint64(6), return_index=True)
+        masks = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), starts)
+        return pa.record_batch([pa.array(cells.astype(np.int64)), pa.array(masks.view(np.int64))], names=["cell", "mask"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _together(batches, 4 << 20):
             langs = _column(table, 0, pa.string())
@@ -225,19 +321,25 @@ def bit_map(phrases: DataFrame, size: int) -> Broadcast:
                 # words of one phrase follow each other: chain them as the counting does
                 begins = np.flatnonzero(np.concatenate([[True], run.rows[1:] != run.rows[:-1]]))
                 sizes = np.diff(np.concatenate([begins, [len(run.rows)]]))
-                hashes = run.hashes[begins]
+                chained = run.hashes[begins]
                 for k in range(1, int(sizes.max())):
                     longer = sizes > k
-                    hashes[longer] = mix(hashes[longer] * _CHAIN + run.hashes[begins[longer] + k])
-                places = np.unique(np.concatenate(_probes(hashes, bits)))
-                cells, starts = np.unique(places >> np.uint64(6), return_index=True)
-                masks = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), starts)
-                yield pa.record_batch([pa.array(cells.astype(np.int64)), pa.array(masks.view(np.int64))], names=["cell", "mask"])
-
-    cells = phrases.select("lang", "phrase").mapInArrow(work, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask"))
-    told = cells.toArrow()  # at most size / 8 rows
+                    chained[longer] = mix(chained[longer] * _CHAIN + run.hashes[begins[longer] + k])
+                yield cells(chained)
+
+    def work_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _together(batches, 4 << 20):
+            if len(table):
+                yield cells(_column(table, 0, pa.int64()).to_numpy().view(np.uint64))
+
+    found = phrases.select("lang", "phrase").mapInArrow(work, "cell long, mask long")
+    if hashes is not None:
+        found = found.unionByName(hashes.select("hash").mapInArrow(work_hashes, "cell long, mask long"))
+    told = found.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most size / 8 rows
     bitmap = np.zeros(size // 8, np.uint64)
     bitmap[told["cell"].to_numpy()] = told["mask"].to_numpy().view(np.uint64)
+    if known is not None:
+        bitmap |= np.frombuffer(known.value, np.uint64)
     return phrases.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
@@ -251,20 +353,21 @@ def frequent_phrases(
 ) -> DataFrame:
     """All phrases of up to ``max_words`` words with at least ``min_count`` occurrences, and totals as size 0, of docs (lang, text)."""
     lowered = max(1, int(min_count * rate * LOWERING))
-    sampled = count_phrases(docs.sample(rate, seed=seed), max_words - 1, None, None, True, lowered)
-    proposed = stage(sampled.filter("size > 0"), "proposed")
-    now, before = bit_map(proposed, filter_bytes), None
+    proposed = stage(count_phrases(docs.sample(rate, seed=seed), max_words - 1, None, None, True, lowered, True), "proposed")
+    now, before = bit_map(proposed.filter("phrase IS NOT NULL"), filter_bytes, proposed), None
     found: DataFrame | None = None
+    passes = 0
     while True:
-        counted = stage(count_phrases(docs, max_words, now, before, found is None, min_count), "counted")
-        found = counted if found is None else found.unionByName(counted)
-        # what proved frequent without having been proposed and may be part of something longer
-        inner = counted.filter((F.col("size") > 0) & (F.col("size") < max_words))
-        failures = stage(inner.join(proposed, ["lang", "phrase"], "left_anti"), "failures")
-        if failures.isEmpty():
+        counted = stage(count_phrases(docs, max_words, now, before, passes == 0, min_count, passes == 0, passes == 1), "counted")
+        texts = counted.filter("phrase IS NOT NULL").select("lang", "size", "phrase", "f")
+        found = texts if found is None else found.unionByName(texts)
+        # what proved frequent, was not known and may be part of something longer
+        failures = counted.filter((F.col("size") > 0) & (F.col("size") < max_words) & (F.col("hash") == NEW))
+        suspects = counted.filter("phrase IS NULL") if passes == 0 else None
+        if failures.isEmpty() and (suspects is None or suspects.isEmpty()):
             return found
-        proposed = proposed.unionByName(failures)
-        now, before = bit_map(proposed, filter_bytes), now
+        now, before = bit_map(failures, filter_bytes, suspects, now), now
+        passes += 1
 
 
 def _looked_up(wanted: DataFrame, counts: DataFrame) -> DataFrame:

@@ -296,7 +296,7 @@ def count_phrases(
 
         yield from _merged(told())
 
-    counted = docs.select("lang", "text").mapInArrow(work, "key string, hash long, f long").groupBy("key", "hash").agg(F.sum("f").alias("f"))
+    counted = docs.select("lang", "text").mapInArrow(work, "key string, hash long, f long").repartition("key", "hash").groupBy("key", "hash").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", "\t", 1)
     size = F.when(phrase == "", 0).when(phrase.isNotNull(), F.size(F.split(phrase, " ", -1)))
     return counted.filter((F.col("f") >= least) | F.startswith("key", F.lit("\t"))).select(

@@ -229,20 +229,21 @@ def _merged(told: Iterator[tuple[int | None, bool, pa.RecordBatch]]) -> Iterator
         alone = pa.nulls(len(f), pa.string()) if mark is None else pa.array(np.full(len(f), mark, np.int64))
         return pa.record_batch([alone, first, f] if mark is None else [first, alone, f], names=["key", "hash", "f"])
 
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("key", use_threads=False).aggregate([("f", "sum")]).select(["key", "f_sum"]).rename_columns(["key", "f"])
+
     held: list[pa.Table] = []
     for mark, again, batch in told:
         if again:
             held.append(pa.Table.from_batches([batch]))
             if sum(x.num_rows for x in held) > 2 * MERGE_ROWS:
-                one = pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("f", "sum")])
-                held = [one.select(["key", "f_sum"]).rename_columns(["key", "f"])]
-                if one.num_rows > MERGE_ROWS:
+                held = [added(held)]
+                if held[0].num_rows > MERGE_ROWS:
                     yield out(KNOWN, held.pop())
         elif len(batch):
             yield out(mark, batch)
-    for table in held:
-        if len(table):
-            yield out(KNOWN, table)
+    if any(map(len, held)):
+        yield out(KNOWN, added(held))
 
 
 def _seeds(langs: pa.Array) -> np.ndarray:

@@ -126,6 +126,60 @@ def test_a_chance_hit_of_the_map_before_loses_nothing():
     assert _counts(rows, now, before) == {"a b\ten": 10, "b c\ten": 10, "a b c\ten": 10}
 
 
+def test_the_border_is_counted_by_hash_and_what_is_suspect_as_text():
+    import pyarrow as pa
+
+    rows = [("en", "a b c")] * 12 + [("en", "b a")] * 2
+    langs, texts = pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.large_string())
+    data, run = next(phrases._runs(texts, phrases._seeds(langs), 2))
+
+    def mapped(found):
+        bits = np.zeros(1 << 12, np.uint64)
+        for place in phrases._probes(np.array(found, np.uint64), len(bits) * 64):
+            np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(int), np.uint64(1) << (place & np.uint64(63)))
+        return bits
+
+    def counts(now, before, words_too, by_hash, resolve):
+        texts, hashes = Counter(), Counter()
+        for mark, _, batch in phrases._told(data, run, langs, 3, now, before, words_too, by_hash, resolve):
+            (hashes if mark is None else texts).update(dict(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        return texts, {np.int64(h).view(np.uint64): n for h, n in hashes.items()}
+
+    words, (ab, bc) = list(run.hashes[:3]), phrases.mix(run.hashes[:2] * phrases._CHAIN + run.hashes[1:3])
+    ba = phrases.mix(run.hashes[1:2] * phrases._CHAIN + run.hashes[:1])[0]
+    assert counts(None, None, True, True, False)[0] == {}  # the sample
+    now = mapped([*words, ab])
+    texts, hashes = counts(now, None, True, True, False)
+    assert texts == {"a\ten": 14, "b\ten": 14, "c\ten": 12, "\ten": 40, "a b\ten": 12} and hashes == {bc: 12, ba: 2}
+    texts, hashes = counts(now | mapped([bc]), now, False, False, True)
+    assert texts == {"b c\ten": 12, "a b c\ten": 12} and hashes == {}
+
+
+@pytest.mark.parametrize("rows", [1, 5, 1000])
+def test_what_occurs_again_is_added_up_in_a_task(rows, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "MERGE_ROWS", rows)
+    batch = pa.record_batch([pa.array([f"{n}\ten" for n in range(7)]), pa.array(range(1, 8), pa.int64())], schema=phrases._ARROW)
+    hashed = pa.record_batch([pa.array([5, -6]), pa.array([1, 2])], schema=phrases._HASHED)
+    total, emitted = Counter(), 0
+    told = [(phrases.KNOWN, True, batch), (None, False, hashed), (phrases.NEW, False, batch.slice(2, 1)), (phrases.NEW, False, batch.slice(0, 0))]
+    for out in phrases._merged(iter(told * 4)):
+        emitted += out.num_rows
+        for key, mark, f in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            total[key, mark] += f
+    assert total == {**{(f"{n}\ten", phrases.KNOWN): 4 * n + 4 for n in range(7)}, (None, 5): 4, (None, -6): 8, ("2\ten", phrases.NEW): 12}
+    assert rows < 1000 or emitted == 7 + 3 * 4
+
+
+def test_rows_are_added_up_behind_the_shuffle_alone(spark):
+    """Tasks have added up their runs: a second sum before the shuffle took most of the time."""
+    opened(spark)
+    docs = frame(spark, [("en", "a b c")] * 3).select("lang", "text")
+    plan = phrases.count_phrases(docs, 3, None, None, True, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") and "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
 def test_regular_long_words_are_told_apart(spark):
     opened(spark)
     word = "a"
